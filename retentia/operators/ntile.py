@@ -51,7 +51,7 @@ def global_row_number(df: DataFrame, order: list, name: str = "rn",
         F.sum("__cnt").over(Window.partitionBy()).alias("__total"))
     out = (tagged.join(F.broadcast(offsets), _PID)
            .withColumn(name, F.col("__off") + (F.col(_MID) - F.col("__first")) + 1))
-    return out.drop(_PID, _MID, "__first", "__off").withColumnRenamed("__total", f"__{name}_total")
+    return out.drop(_PID, _MID, "__first", "__off").withColumnRenamed("__total", f"{name}_total")
 
 
 def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:

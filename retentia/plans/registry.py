@@ -10,7 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from retentia.operators import churn as ch
+from retentia.operators import clean as cl
+from retentia.operators import quality as dq
 from retentia.operators import revenue as rv
+from retentia.operators import rfm
+from retentia.operators import rootcause as rc
 from retentia.sources.roles import Roles
 
 # Order looked up by the point-lookup style queries (present at every scale factor).
@@ -93,5 +100,262 @@ def _b13(r: Roles):
     return rv.state_pareto(r.orders, r.customers, r.order_payments)
 
 
+# -------------------------------------------------------------------- rfm (R)
+@register("rfm_classic")
+def _r1(r: Roles):
+    return rfm.rfm_classic(r.orders, r.customers, r.order_payments, n=5, limit=50)
+
+
+@register("rfm_diagonal")
+def _r2(r: Roles):
+    return rfm.rfm_diagonal(rfm.rfm_scores(r.orders, r.customers, r.order_payments))
+
+
+@register("rfm_hybrid")
+def _r3(r: Roles):
+    return rfm.rfm_hybrid(r.orders, r.customers, r.order_payments)
+
+
+@register("rfm_segment_summary")
+def _r4(r: Roles):
+    return rfm.rfm_segment_summary(rfm.rfm_hybrid(r.orders, r.customers, r.order_payments))
+
+
+# -------------------------------------------------------------- root cause (T)
+# The test data has 39 to 75 persons per first-purchase category.
+MIN_CATEGORY_PERSONS = 50
+
+
+@register("delivery_by_segment")
+def _t1(r: Roles):
+    return rc.delivery_by_segment(r.orders, r.customers, r.order_payments)
+
+
+@register("delivery_one_time_vs_repeat")
+def _t2(r: Roles):
+    return rc.delivery_one_time_vs_repeat(r.orders, r.customers)
+
+
+@register("reviews_one_time_vs_repeat")
+def _t3(r: Roles):
+    return rc.reviews_one_time_vs_repeat(r.orders, r.customers, r.order_reviews)
+
+
+@register("top_categories_side_by_side")
+def _t4(r: Roles):
+    return rc.top_categories(r.orders, r.customers, r.order_items, r.products,
+                             r.category_translation, k=5)
+
+
+@register("category_repeat_rate_ranked")
+def _t5(r: Roles):
+    return rc.category_repeat_rate_ranked(r.orders, r.customers, r.order_items, r.products,
+                                          r.category_translation,
+                                          min_customers=MIN_CATEGORY_PERSONS, limit=20)
+
+
+@register("category_repeat_rate_vs_baseline")
+def _t6(r: Roles):
+    return rc.category_repeat_rate_vs_baseline(r.orders, r.customers, r.order_items, r.products,
+                                               r.category_translation,
+                                               min_customers=MIN_CATEGORY_PERSONS, baseline=3.0)
+
+
+@register("handoff_by_segment")
+def _t7(r: Roles):
+    return rc.handoff_by_segment(r.orders, r.customers, r.order_payments)
+
+
+@register("handoff_one_time_vs_repeat")
+def _t8(r: Roles):
+    return rc.handoff_one_time_vs_repeat(r.orders, r.customers)
+
+
+@register("freight_burden")
+def _t9(r: Roles):
+    return rc.freight_burden(r.order_items, r.orders, r.customers)
+
+
+@register("category_loyalty")
+def _t10(r: Roles):
+    return rc.category_loyalty(r.orders, r.customers, r.order_items, r.products,
+                               r.category_translation)
+
+
+# ------------------------------------------------------------------- churn (C)
+@register("second_purchase_stats")
+def _c1(r: Roles):
+    return ch.second_purchase_stats(r.orders, r.customers)
+
+
+@register("second_purchase_stats_excl_same_day")
+def _c2(r: Roles):
+    return ch.second_purchase_stats(r.orders, r.customers, min_gap=1)
+
+
+@register("purchase_window_distribution")
+def _c3(r: Roles):
+    return ch.purchase_windows(r.orders, r.customers, edges=(7, 30, 90, 180))
+
+
+@register("churn_status")
+def _c4(r: Roles):
+    return ch.churn_status(r.orders, r.customers, active=75, at_risk=150)
+
+
+# ---------------------------------------------------------- published only (X)
+@register("purchase_funnel")
+def _x1(r: Roles):
+    return ch.purchase_funnel(r.orders, r.customers, r.order_payments, steps=4)
+
+
+@register("repeat_rate_opportunity")
+def _x2(r: Roles):
+    return ch.repeat_rate_opportunity(r.orders, r.customers, r.order_payments, factor=2.0)
+
+
+@register("same_day_repeat_share")
+def _x3(r: Roles):
+    return ch.same_day_repeat_share(r.orders, r.customers)
+
+
+@register("top_category_overlap")
+def _x4(r: Roles):
+    return rc.top_category_overlap(r.orders, r.customers, r.order_items, r.products,
+                                   r.category_translation, k=5)
+
+
+# ------------------------------------------------------- ingest checks (E)
+def _role_tables(r: Roles) -> dict:
+    return {"customers": r.customers, "orders": r.orders, "order_items": r.order_items,
+            "order_payments": r.order_payments, "order_reviews": r.order_reviews,
+            "products": r.products, "product_category_name_translation": r.category_translation,
+            "sellers": r.sellers, "geolocation_raw": r.geolocation_raw}
+
+
+@register("row_counts")
+def _e1(r: Roles):
+    return dq.row_counts(_role_tables(r))
+
+
+@register("duplicate_rows")
+def _e2(r: Roles):
+    return dq.duplicate_rows(r.geolocation_raw, ["zip_code_prefix", "lat", "lng"])
+
+
+def geolocation(r: Roles):
+    return cl.clean_geolocation(r.geolocation_raw, "zip_code_prefix", "lat", "lng", "city", "state")
+
+
+@register("geo_collapse")
+def _e3(r: Roles):
+    # floating means depend on summation order in the last bits: compare at 6 digits
+    g = geolocation(r)
+    return g.select("zip_code_prefix", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"),
+                    "city", "state")
+
+
+@register("dup_keys")
+def _e4(r: Roles):
+    return dq.dup_keys(r.order_reviews, ["review_id"])
+
+
+@register("dup_keys_payment_orders")
+def _e4b(r: Roles):
+    return dq.dup_keys(r.order_payments, ["order_id"])
+
+
+@register("point_lookup")
+def _e5(r: Roles):
+    return dq.lookup(r.order_items, "order_id", LOOKUP_ORDER_ID)
+
+
+# --------------------------------------------------------- data quality (D)
+@register("value_range")
+def _d1(r: Roles):
+    return dq.value_range(r.order_items, "price")
+
+
+@register("null_audit")
+def _d2(r: Roles):
+    return dq.null_audit({
+        "customers": (r.customers, ["customer_id", "customer_unique_id"]),
+        "orders": (r.orders, ["order_id", "customer_id", "order_purchase_timestamp"]),
+        "order_items": (r.order_items, ["order_id", "order_item_id", "product_id", "seller_id",
+                                        "price", "freight_value"]),
+        "order_payments": (r.order_payments, ["order_id", "payment_sequential", "payment_value"]),
+        "order_reviews": (r.order_reviews, ["review_id", "order_id", "review_score"]),
+        "products": (r.products, ["product_id", "product_category_name"]),
+        "sellers": (r.sellers, ["seller_id"]),
+        "geolocation": (geolocation(r), ["zip_code_prefix", "lat", "lng"]),
+    })
+
+
+@register("id_cardinality")
+def _d3(r: Roles):
+    return dq.id_cardinality(r.customers)
+
+
+@register("shared_reviews")
+def _d4(r: Roles):
+    return dq.shared_reviews(r.order_reviews, limit=20)
+
+
+@register("composite_key_check")
+def _d5(r: Roles):
+    return dq.composite_key_check(r.order_reviews, ["review_id", "order_id"])
+
+
+@register("orphan_audit")
+def _d6(r: Roles):
+    return dq.orphan_audit([
+        ("orders.customer_id", r.orders, "customer_id", r.customers, "customer_id"),
+        ("order_items.order_id", r.order_items, "order_id", r.orders, "order_id"),
+        ("order_items.product_id", r.order_items, "product_id", r.products, "product_id"),
+        ("order_items.seller_id", r.order_items, "seller_id", r.sellers, "seller_id"),
+        ("order_payments.order_id", r.order_payments, "order_id", r.orders, "order_id"),
+        ("order_reviews.order_id", r.order_reviews, "order_id", r.orders, "order_id"),
+    ])
+
+
+@register("ghost_orders")
+def _d7(r: Roles):
+    return dq.ghost_orders(r.orders, r.order_items, "delivered")
+
+
+@register("payment_reconciliation")
+def _d8(r: Roles):
+    return dq.payment_reconciliation(r.order_items, r.order_payments, tolerance=1.00)
+
+
+@register("payment_reconciliation_voucher")
+def _d9(r: Roles):
+    return dq.payment_reconciliation_voucher(r.order_items, r.order_payments, tolerance=1.00)
+
+
+@register("discrepancy_by_installments")
+def _d10(r: Roles):
+    return dq.discrepancy_by_installments(r.order_items, r.order_payments, tolerance=1.00)
+
+
+@register("orders_without_items_by_status")
+def _d11(r: Roles):
+    return dq.orders_without_items_by_status(r.orders, r.order_items)
+
+
+@register("multi_method_payments")
+def _d12(r: Roles):
+    return dq.multi_method_payments(r.order_payments)
+
+
+# The test orders run from 1995-01-01 to 2001-08-01; "now" is fixed for determinism.
+IMPOSSIBLE_LOWER, IMPOSSIBLE_AS_OF = "1995-01-01", "2001-07-01"
+
+
+@register("impossible_dates")
+def _d13(r: Roles):
+    return dq.impossible_dates(r.orders, lower=IMPOSSIBLE_LOWER, as_of=IMPOSSIBLE_AS_OF)
+
+
 def queries() -> dict[str, Query]:
     return dict(_REG)
