@@ -1,46 +1,60 @@
-"""Global ROW_NUMBER and NTILE without a single-partition window.
-
-``ntile(k) OVER (ORDER BY x)`` with no PARTITION BY makes Spark move every row
-into one task. Here the rows are range-partitioned on a *total* order key
-(the metric plus the entity key, so even a value shared by most rows is split
-across partitions), sorted inside each partition, and tagged with their
-position. The tagged relation is checkpointed to the shared checkpoint folder:
-the range bounds come from sampling, so a recomputation after an executor loss
-must not be allowed to move rows between partitions. Per-partition counts (one
-row per partition, a proven size bound) give each partition's offset, which is
-broadcast back. Result: exact global row numbers, every step distributed.
+"""Global ROW_NUMBER and NTILE with a size-checked strategy.
+
+``ntile(k) OVER (ORDER BY x)`` with no PARTITION BY moves every row into one
+task. That is only acceptable when the row count is known to be small, so the
+input is first written to the shared checkpoint folder (it is read several
+times, and this cuts its lineage) and counted:
+
+* up to ``retentia.ntile.maxSinglePartitionRows`` rows (default 1,000,000) the
+  built-in window is used - one task, but over a proven number of rows;
+* beyond that, the rows are range-partitioned on a *total* order key (the
+  metric plus the entity key, so even one value shared by most rows is split
+  over many partitions), sorted inside each partition and tagged with their
+  position; the tagged rows are written to the checkpoint folder (range bounds
+  come from sampling, so a recomputation must not be allowed to move rows), the
+  per-partition counts (one row per partition, a proven size bound) give each
+  partition's offset, which is broadcast back. Exact global row numbers, every
+  step distributed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retentia.session import checkpoint_dir
 
 _PID, _MID = "__pid", "__mid"
+MAX_SINGLE_PARTITION_ROWS = 1_000_000
+CONF_KEY = "retentia.ntile.maxSinglePartitionRows"
 
 
 def _order_columns(order: list) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def global_row_number(df: DataFrame, order: list, name: str = "rn",
-                      partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = ROW_NUMBER() OVER (ORDER BY *order*) (1-based).
+def single_partition_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get(CONF_KEY, str(MAX_SINGLE_PARTITION_ROWS)))
 
-    ``order`` must be a total order (end it with a unique key); ties would
-    otherwise be numbered arbitrarily, as in the built-in.
-    """
+
+def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back (lineage cut)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/retentia-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _distributed_row_number(df: DataFrame, order: list[Column], name: str,
+                            partitions: int | None) -> DataFrame:
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    cols = _order_columns(order)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *cols)
-              .sortWithinPartitions(*cols)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = materialize(df.repartitionByRange(n, *order)
+                         .sortWithinPartitions(*order)
+                         .withColumn(_PID, F.spark_partition_id())
+                         .withColumn(_MID, F.monotonically_increasing_id()), "rn")
     per_part = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"),
                                          F.min(_MID).alias("__first"))
     # one row per partition: a window over it is tiny
@@ -54,6 +68,25 @@ def global_row_number(df: DataFrame, order: list, name: str = "rn",
     return out.drop(_PID, _MID, "__first", "__off").withColumnRenamed("__total", f"{name}_total")
 
 
+def global_row_number(df: DataFrame, order: list, name: str = "rn",
+                      partitions: int | None = None, distributed: bool | None = None) -> DataFrame:
+    """Add ``name`` = ROW_NUMBER() OVER (ORDER BY *order*) and ``{name}_total`` = row count.
+
+    ``order`` must be a total order (end it with a unique key). ``distributed``
+    forces a strategy; by default it is chosen from the measured row count.
+    """
+    cols = _order_columns(order)
+    base = materialize(df, "in")
+    total = base.count()
+    if distributed is None:
+        distributed = total > single_partition_limit(df.sparkSession)
+    if distributed:
+        return _distributed_row_number(base, cols, name, partitions)
+    w = Window.orderBy(*cols)
+    return (base.withColumn(name, F.row_number().over(w).cast("long"))
+            .withColumn(f"{name}_total", F.lit(total).cast("long")))
+
+
 def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
     """NTILE(k) bucket of the rn-th of ``total`` ordered rows (SQL semantics).
 
@@ -67,9 +100,26 @@ def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
     return F.when(rn <= big, first).otherwise(rest).cast("int")
 
 
+def global_ntiles(df: DataFrame, k: int, orders: dict[str, list],
+                  partitions: int | None = None, distributed: bool | None = None) -> DataFrame:
+    """Add one NTILE(k) column per entry of ``orders`` ({column: order}), sharing one size check."""
+    base = materialize(df, "in")
+    total = base.count()
+    if distributed is None:
+        distributed = total > single_partition_limit(df.sparkSession)
+    out = base
+    for name, order in orders.items():
+        cols = _order_columns(order)
+        if distributed:
+            out = _distributed_row_number(out, cols, "__rn", partitions)
+            out = (out.withColumn(name, ntile_from_rank(F.col("__rn"), F.col("__rn_total"), k))
+                   .drop("__rn", "__rn_total"))
+        else:
+            out = out.withColumn(name, F.ntile(k).over(Window.orderBy(*cols)))
+    return out
+
+
 def global_ntile(df: DataFrame, k: int, order: list, name: str = "ntile",
-                 partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = NTILE(k) OVER (ORDER BY *order*), computed in parallel."""
-    ranked = global_row_number(df, order, "__rn", partitions)
-    return (ranked.withColumn(name, ntile_from_rank(F.col("__rn"), F.col("__rn_total"), k))
-            .drop("__rn", "__rn_total"))
+                 partitions: int | None = None, distributed: bool | None = None) -> DataFrame:
+    """Add ``name`` = NTILE(k) OVER (ORDER BY *order*)."""
+    return global_ntiles(df, k, {name: order}, partitions, distributed)

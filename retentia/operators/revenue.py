@@ -165,17 +165,14 @@ def category_gmv(i: DataFrame, pr: DataFrame, tr: DataFrame, limit: int | None =
                  unknown: str = "Unknown") -> DataFrame:
     """Item GMV (price + freight) per translated category, share of the total GMV.
 
-    The share is of *all* categories (computed before the limit). The product
-    dimension is translated first, then the fact joins it once.
+    The share is of *all* categories (computed before the limit). The fact
+    meets the product dimension first and the translation second.
     """
-    cats = (pr.select("product_id", "product_category_name")
-            .join(tr, "product_category_name", "left")
-            .select("product_id",
-                    F.coalesce("product_category_name_english", F.lit(unknown)).alias("category")))
     gmv = F.col("price") + F.col("freight_value")
-    per_cat = (i.select("order_id", "product_id", gmv.alias("gmv"))
-               .join(cats, "product_id")
-               .groupBy("category")
+    items = i.select("order_id", "product_id", gmv.alias("gmv"))
+    per_cat = (items.join(pr.select("product_id", "product_category_name"), "product_id")
+               .join(tr, "product_category_name", "left")
+               .groupBy(F.coalesce("product_category_name_english", F.lit(unknown)).alias("category"))
                .agg(F.countDistinct("order_id").alias("orders"),
                     money(F.sum("gmv")).alias("item_revenue"),
                     avg_of(F.sum("gmv"), F.count("gmv")).alias("avg_item_value")))

@@ -1,9 +1,10 @@
 """RFM segmentation: classic quintiles over all persons, hybrid rules over repeat persons.
 
-Quintiles are global NTILEs; they run through ``retentia.operators.ntile``
-(range partitioning + offsets), never through a one-partition window. Every
-ordering ends with the person key, so ties are broken the same way on every
-run.
+Quintiles are global NTILEs computed by ``retentia.operators.ntile``: the
+per-person base is written once and counted, then scored with the built-in
+window only below a measured row bound, else by range partitioning + offsets.
+Every ordering ends with the person key, so ties are broken the same way on
+every run.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from retentia.functions import avg_of, date_days_between, money, pct, pg_concat_
 from retentia.operators.common import (
     PERSON, grand_total, payment_totals, person_orders, snapshot_date, top_k, with_scalar,
 )
-from retentia.operators.ntile import global_ntile
+from retentia.operators.ntile import global_ntiles
 
 # The hybrid segment names and their action priority (1 = act first).
 SEGMENTS = {
@@ -56,18 +57,19 @@ def _direction(name: str, ascending: bool) -> Column:
 
 
 def score(base: DataFrame, n: int = 5, frequency_ascending: bool = False,
-          monetary_ascending: bool = False, recency_ascending: bool = False) -> DataFrame:
+          monetary_ascending: bool = False, recency_ascending: bool = False,
+          distributed: bool | None = None) -> DataFrame:
     """Add r_score, f_score, m_score = NTILE(n) over each metric (ties by person key).
 
     ``*_ascending=False`` orders the metric DESC, so bucket 1 holds the largest
     values; the reference's classic scoring does this for all three metrics.
+    ``distributed`` forces the NTILE strategy (default: chosen by row count).
     """
-    out = base
-    for metric, col, asc in (("recency_days", "r_score", recency_ascending),
-                             ("frequency", "f_score", frequency_ascending),
-                             ("monetary", "m_score", monetary_ascending)):
-        out = global_ntile(out, n, [_direction(metric, asc), F.col(PERSON).asc()], col)
-    return out
+    return global_ntiles(base, n, {
+        "r_score": [_direction("recency_days", recency_ascending), F.col(PERSON).asc()],
+        "f_score": [_direction("frequency", frequency_ascending), F.col(PERSON).asc()],
+        "m_score": [_direction("monetary", monetary_ascending), F.col(PERSON).asc()],
+    }, distributed=distributed)
 
 
 def rfm_scores(o: DataFrame, c: DataFrame, p: DataFrame, n: int = 5,

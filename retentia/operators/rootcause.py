@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.functions import avg_of, extract_days_between, pct, ratio, round_half
-from retentia.operators.common import PERSON, delivered, person_orders, top_k
+from retentia.functions import avg_of, extract_days_between, pct, round_half
+from retentia.operators.common import PERSON, person_orders, top_k
 from retentia.operators.rfm import rfm_hybrid
 
 # Group labels used by the reference's comparisons.
@@ -141,25 +141,29 @@ def reviews_one_time_vs_repeat(o: DataFrame, c: DataFrame, r: DataFrame,
 
 
 # ---------------------------------------------------------------- categories
-def product_categories(pr: DataFrame, tr: DataFrame, fallback_native: bool = True,
-                       unknown: str = "Unknown", inner: bool = False) -> DataFrame:
-    """(product_id, category): English name, else native name, else 'Unknown'.
+def with_category(fact: DataFrame, pr: DataFrame, tr: DataFrame, fallback_native: bool = True,
+                  unknown: str = "Unknown", inner: bool = False) -> DataFrame:
+    """Attach ``category`` to rows carrying ``product_id``.
 
-    ``inner=True`` keeps only translated products (no fallback).
+    English name, else native name, else 'Unknown'; ``inner=True`` keeps only
+    translated products. The fact meets the product dimension first and the
+    (category-sized) translation second, so size estimates stay per table.
     """
-    j = pr.select("product_id", "product_category_name").join(
-        tr, "product_category_name", "inner" if inner else "left")
+    j = (fact.join(pr.select("product_id", "product_category_name"), "product_id")
+         .join(tr, "product_category_name", "inner" if inner else "left"))
     if inner:
-        return j.select("product_id", F.col("product_category_name_english").alias("category"))
-    parts = ["product_category_name_english"] + (["product_category_name"] if fallback_native else [])
-    return j.select("product_id", F.coalesce(*parts, F.lit(unknown)).alias("category"))
+        cat = F.col("product_category_name_english")
+    else:
+        parts = ["product_category_name_english"] + (["product_category_name"] if fallback_native else [])
+        cat = F.coalesce(*parts, F.lit(unknown))
+    return j.withColumn("category", cat).drop("product_category_name", "product_category_name_english")
 
 
-def _person_categories(o, c, i, cats, status) -> DataFrame:
+def _person_categories(o, c, i, pr, tr, status) -> DataFrame:
     """(person, category, orders): distinct orders per person and category."""
+    items = with_category(i.select("order_id", "product_id"), pr, tr)
     return (person_orders(o, c, status, ())
-            .join(i.select("order_id", "product_id"), "order_id")
-            .join(cats, "product_id")
+            .join(items, "order_id")
             .groupBy(PERSON, "category")
             .agg(F.countDistinct("order_id").alias("orders")))
 
@@ -168,7 +172,7 @@ def top_categories(o: DataFrame, c: DataFrame, i: DataFrame, pr: DataFrame, tr:
                    k: int = 5, status: str = "delivered", labels=CATEGORY_GROUPS) -> DataFrame:
     """Top-k categories by distinct persons for repeat and one-time persons, side by side."""
     freq = person_orders(o, c, status, ()).groupBy(PERSON).agg(F.count(F.lit(1)).alias("frequency"))
-    pc = _person_categories(o, c, i, product_categories(pr, tr), status)
+    pc = _person_categories(o, c, i, pr, tr, status)
     typed = pc.join(freq, PERSON).withColumn(
         "customer_type", _repeat_label(F.col("frequency"), labels))
     counts = typed.groupBy("customer_type", "category").agg(
@@ -206,8 +210,8 @@ def _first_category_rates(o, c, i, pr, tr, min_customers, status) -> DataFrame:
     """
     po = person_orders(o, c, status)
     freq = po.groupBy(PERSON).agg(F.count(F.lit(1)).alias("total_orders"))
-    firsts = (po.join(i.select("order_id", "order_item_id", "product_id"), "order_id")
-              .join(product_categories(pr, tr), "product_id")
+    items = with_category(i.select("order_id", "order_item_id", "product_id"), pr, tr)
+    firsts = (po.join(items, "order_id")
               .groupBy(PERSON)
               .agg(F.min(F.struct(F.col("order_purchase_timestamp").isNull().alias("a"),
                                   F.col("order_purchase_timestamp").alias("b"),
@@ -248,9 +252,9 @@ def category_loyalty(o, c, i, pr, tr, min_orders: int = 2, status: str = "delive
     Untranslated categories are dropped (inner join to the translation).
     """
     freq = person_orders(o, c, status, ()).groupBy(PERSON).agg(F.count(F.lit(1)).alias("total_orders"))
+    items = with_category(i.select("order_id", "product_id"), pr, tr, inner=True)
     pairs = (person_orders(o, c, status, ())
-             .join(i.select("order_id", "product_id"), "order_id")
-             .join(product_categories(pr, tr, inner=True), "product_id")
+             .join(items, "order_id")
              .select(PERSON, "category").distinct())
     n = F.count(F.lit(1))
     rep = F.count_if(F.col("total_orders") >= min_orders)
@@ -338,6 +342,5 @@ __all__ = [
     "delivery_by_segment", "delivery_one_time_vs_repeat", "reviews_one_time_vs_repeat",
     "top_categories", "top_category_overlap", "category_repeat_rate_ranked",
     "category_repeat_rate_vs_baseline", "handoff_by_segment", "handoff_one_time_vs_repeat",
-    "freight_burden", "category_loyalty", "product_categories", "hybrid_segments", "ratio",
-    "delivered",
+    "freight_burden", "category_loyalty", "with_category", "hybrid_segments",
 ]

@@ -100,7 +100,7 @@ def main(argv: list[str]) -> int:
     from retentia.session import get_session
     import __spark_entry__ as E
     spark = get_session("local[8]", shuffle_partitions=8,
-                        extra_conf={"spark.driver.memory": "8g"})
+                        extra_conf={"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     bad = []
