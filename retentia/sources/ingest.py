@@ -27,7 +27,7 @@ def read_raw(spark: SparkSession, table: str, path: str, multiline: bool = False
     ``'quarantine'`` returns ``(good, bad)`` where ``bad`` holds the original
     text of each malformed line in ``_corrupt_record``. ``multiline=True``
     allows quoted fields spanning lines (a multi-line file is read by one task,
-    so split big inputs into many files).
+    so split big inputs into many files); a CRLF inside quotes comes back as LF.
     """
     if on_bad not in _MODES:
         raise ValueError(f"on_bad must be one of {sorted(_MODES)}")
