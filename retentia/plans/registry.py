@@ -18,7 +18,7 @@ from retentia.operators import quality as dq
 from retentia.operators import revenue as rv
 from retentia.operators import rfm
 from retentia.operators import rootcause as rc
-from retentia.sources.roles import Roles
+from retentia.sources.roles import Roles, roles_for
 
 # Order looked up by the point-lookup style queries (present at every scale factor).
 LOOKUP_ORDER_ID = 7
@@ -29,7 +29,7 @@ _REG: dict[str, Query] = {}
 
 def register(name: str):
     def deco(fn: Callable[[Roles], DataFrame]) -> Callable[[Roles], DataFrame]:
-        _REG[name] = lambda spark, sf_dir: fn(Roles(spark, sf_dir))
+        _REG[name] = lambda spark, sf_dir: fn(roles_for(spark, sf_dir))
         return fn
     return deco
 

@@ -13,6 +13,9 @@ executed, so Catalyst prunes the columns and pushes filters into the scans.
 
 from __future__ import annotations
 
+import hashlib
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +23,11 @@ from pyspark.sql import functions as F
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
+ROLE_TABLES = ("customers", "orders", "order_items", "order_payments", "order_reviews",
+               "products", "category_translation", "sellers", "geolocation_raw")
+CONF_MATERIALIZE = "retentia.roles.materialize"
+_LAYERS: dict[tuple[str, str], "MaterializedRoles"] = {}
+_LOCK = threading.Lock()
 
 
 class Roles:
@@ -166,3 +174,49 @@ class Roles:
                         (-F.col("c_acctbal")).alias("lng"),
                         F.col("c_name").alias("city"),
                         F.col("n_name").alias("state")))
+
+
+class MaterializedRoles(Roles):
+    """Role tables written once to the shared checkpoint folder and read back.
+
+    The equivalent of building the cleaned schema once and querying it many
+    times: the derivations (joins, windows, aggregations over the driver
+    tables) run in one job per table instead of inside every query.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str):
+        super().__init__(spark, sf_dir)
+        self.root = root
+        for name in ROLE_TABLES:
+            self.__dict__[name] = spark.read.parquet(f"{root}/{name}")
+
+    @classmethod
+    def build(cls, spark: SparkSession, sf_dir: str) -> "MaterializedRoles":
+        from retentia.session import checkpoint_dir
+        src = Roles(spark, sf_dir)
+        tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+        root = f"{checkpoint_dir(spark).rstrip('/')}/retentia-roles-{tag}-{spark.sparkContext.applicationId}"
+        frames = {name: getattr(src, name) for name in ROLE_TABLES}  # plans built on this thread
+
+        def write(name: str) -> None:
+            frames[name].write.mode("overwrite").parquet(f"{root}/{name}")
+
+        # independent jobs: submitted together so the scheduler overlaps them
+        with ThreadPoolExecutor(max_workers=min(4, len(frames))) as pool:
+            list(pool.map(write, frames))
+        return cls(spark, sf_dir, root)
+
+
+def roles_for(spark: SparkSession, sf_dir: str) -> Roles:
+    """Role tables for a folder: materialized once per application unless disabled.
+
+    ``retentia.roles.materialize=false`` derives them lazily inside each query.
+    """
+    if spark.conf.get(CONF_MATERIALIZE, "true").lower() != "true":
+        return Roles(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    with _LOCK:
+        layer = _LAYERS.get(key)
+        if layer is None:
+            layer = _LAYERS[key] = MaterializedRoles.build(spark, sf_dir)
+    return layer
