@@ -89,13 +89,11 @@ def extract_days_between(end, start) -> Column:
     return F.extract(F.lit("DAY"), _c(end) - _c(start))
 
 
-def _micros(x) -> Column:
-    return F.unix_micros(_c(x).cast("timestamp"))
+def micros_between(end, start) -> Column:
+    """``end - start`` in whole microseconds (no time zone involved for TIMESTAMP_NTZ)."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
 
 
 def epoch_days_between(end, start) -> Column:
-    """``EXTRACT(EPOCH FROM end - start) / 86400``: fractional days (DOUBLE).
-
-    Needs the session time zone UTC so the NTZ -> TIMESTAMP cast is exact.
-    """
-    return (_micros(end) - _micros(start)).cast("double") / F.lit(86400000000.0)
+    """``EXTRACT(EPOCH FROM end - start) / 86400``: fractional days (DOUBLE)."""
+    return micros_between(end, start).cast("double") / F.lit(86400000000.0)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.functions import avg_of, extract_days_between, pct, round_half
+from retentia.functions import avg_of, extract_days_between, micros_between, pct, round_half
 from retentia.operators.common import PERSON, person_orders, top_k
 from retentia.operators.rfm import rfm_hybrid
 
@@ -269,8 +269,7 @@ def _handoff_per_person(o: DataFrame, c: DataFrame, status: str, fast: int, slow
     """Per person: exact microsecond sums of purchase -> carrier handoff times."""
     po = person_orders(o, c, status, ("order_purchase_timestamp", "order_delivered_carrier_date"))
     have = F.col("order_delivered_carrier_date").isNotNull()
-    us = (F.unix_micros(F.col("order_delivered_carrier_date").cast("timestamp"))
-          - F.unix_micros(F.col("order_purchase_timestamp").cast("timestamp")))
+    us = micros_between("order_delivered_carrier_date", "order_purchase_timestamp")
     return po.groupBy(PERSON).agg(
         F.count(F.lit(1)).alias("frequency"),
         F.count_if(have).alias("n"),

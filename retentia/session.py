@@ -7,9 +7,10 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every operator relies on: ANSI casts (fail fast like PostgreSQL),
-# UTC session time zone (fractional-day arithmetic goes through epoch micros),
-# and AQE so shuffle partition counts and skewed joins are re-planned at runtime.
+# Settings the operators are written for: ANSI casts (fail fast like PostgreSQL),
+# a UTC session time zone (all timestamps are TIMESTAMP_NTZ, whose arithmetic
+# does not depend on it, but casts from text do), and AQE so shuffle partition
+# counts and skewed joins are re-planned at runtime.
 REQUIRED_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",

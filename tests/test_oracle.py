@@ -25,3 +25,14 @@ def test_entry_smoke(spark):
     assert df.columns == ["purchase_month", "total_orders", "monthly_revenue",
                           "avg_order_value", "revenue_growth_pct"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("key", ["executive_summary", "rfm_hybrid", "handoff_by_segment",
+                                 "category_repeat_rate_ranked", "second_purchase_stats"])
+def test_lazy_roles_match_oracle(spark, con, key):
+    """Same results when the role tables are derived inside the query instead of materialized."""
+    spark.conf.set("retentia.roles.materialize", "false")
+    try:
+        assert compare(spark, key, SF01, con, verbose=False)
+    finally:
+        spark.conf.unset("retentia.roles.materialize")
