@@ -25,15 +25,22 @@ LOOKUP_ORDER_ID = 7
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REG: dict[str, Query] = {}
+_ON_ROLES: dict[str, Callable[[Roles], DataFrame]] = {}
 
 
 def register(name: str):
     def deco(fn: Callable[[Roles], DataFrame]) -> Callable[[Roles], DataFrame]:
         _REG[name] = lambda spark, sf_dir: fn(roles_for(spark, sf_dir))
+        _ON_ROLES[name] = fn
         return fn
     return deco
 
 
+def run_on_roles(name: str, roles: Roles) -> DataFrame:
+    """Run a registered query on a given set of role tables."""
+    return _ON_ROLES[name](roles)
+
+
 # ---------------------------------------------------------------- revenue (B)
 @register("order_total_vs_paid")
 def _b1(r: Roles):
