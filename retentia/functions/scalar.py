@@ -53,6 +53,30 @@ def avg_of(total, count, digits: int | None = 2) -> Column:
     return ratio(total, count, digits)
 
 
+def percentile_from_histogram(values: list, counts: list, p: float) -> Column:
+    """PERCENTILE_CONT(p) of a multiset given as ``counts[k]`` copies of ``values[k]`` (ascending).
+
+    Linear interpolation between the order statistics at floor/ceil of
+    ``p * (n - 1)``, as the SQL aggregate does; NULL when the multiset is empty.
+    """
+    cnt = [_c(c) for c in counts]
+    n = sum(cnt[1:], cnt[0])
+    h = (n - F.lit(1)).cast("double") * F.lit(float(p))
+    lo, hi = F.floor(h), F.ceil(h)
+
+    def value_at(pos: Column) -> Column:
+        expr, cum = None, None
+        for v, c in zip(values[:-1], cnt[:-1]):
+            cum = c if cum is None else cum + c
+            expr = (F.when(pos < cum, F.lit(v)) if expr is None
+                    else expr.when(pos < cum, F.lit(v)))
+        last = F.lit(values[-1])
+        return last if expr is None else expr.otherwise(last)
+
+    v_lo, v_hi = value_at(lo).cast("double"), value_at(hi).cast("double")
+    return F.when(n > 0, v_lo + (h - lo) * (v_hi - v_lo))
+
+
 def nullif_blank(x, trim: bool = True) -> Column:
     """``NULLIF(TRIM(x), '')``: empty strings become NULL before a cast."""
     col = F.trim(_c(x)) if trim else _c(x)

@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.functions import avg_of, extract_days_between, micros_between, pct, round_half
+from retentia.functions import (
+    avg_of, extract_days_between, micros_between, pct, percentile_from_histogram, round_half,
+)
 from retentia.operators.common import PERSON, person_orders, top_k
 from retentia.operators.rfm import rfm_hybrid
 
@@ -121,19 +123,15 @@ def reviews_one_time_vs_repeat(o: DataFrame, c: DataFrame, r: DataFrame,
         F.sum("orders").alias("total_orders"),
         F.sum("with_review").alias("orders_with_reviews"),
         *[F.sum(x).alias(x) for x in cols])
-    # exact median from the 5-bucket histogram (a few rows per group)
-    stack = ", ".join(f"{k}, r_{k}" for k in scores)
-    hist = g.selectExpr("customer_type", f"stack({len(scores)}, {stack}) AS (score, freq)") \
-        .where(F.col("freq") > 0)
-    med = hist.groupBy("customer_type").agg(
-        F.percentile(F.col("score"), 0.5, F.col("freq")).alias("__median"))
     n = F.col("r_n")
     low = sum((F.col(f"r_{k}") for k in scores if k <= 2), F.lit(0))
-    return g.join(med, "customer_type", "left").select(
+    # exact median from the score histogram, in the same pass (no second branch)
+    median = percentile_from_histogram(list(scores), [f"r_{k}" for k in scores], 0.5)
+    return g.select(
         "customer_type", "total_customers", "total_orders", "orders_with_reviews",
         pct("orders_with_reviews", "total_orders").alias("review_rate_pct"),
         avg_of("r_sum", n).alias("avg_review_score"),
-        round_half("__median", 1).alias("median_review_score"),
+        round_half(median, 1).alias("median_review_score"),
         *[pct(f"r_{k}", n).alias(f"pct_{k}_star") for k in sorted(scores, reverse=True)],
         low.alias("negative_reviews"),
         pct(low, n).alias("negative_review_pct"),

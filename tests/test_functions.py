@@ -59,3 +59,21 @@ def test_epoch_days_is_fractional(spark):
     df = spark.createDataFrame([(ts("2018-01-01 00:00:00"), ts("2018-01-02 12:00:00"))],
                                "a timestamp_ntz, b timestamp_ntz")
     assert df.select(epoch_days_between("b", "a")).first()[0] == 1.5
+
+
+def test_percentile_from_histogram_equals_percentile_cont(spark):
+    import random
+    from retentia.functions import percentile_from_histogram
+    rnd = random.Random(7)
+    for _ in range(20):
+        counts = [rnd.choice([0, 0, 1, 2, 5, 9]) for _ in range(5)]
+        if sum(counts) == 0:
+            continue
+        rows = [(v,) for v, c in zip(range(1, 6), counts) for _ in range(c)]
+        want = spark.createDataFrame(rows, "x int").agg(
+            F.percentile("x", 0.5).alias("m"), F.percentile("x", 0.9).alias("q")).first()
+        wide = spark.createDataFrame([tuple(counts)], "c1 long, c2 long, c3 long, c4 long, c5 long")
+        cols = ["c1", "c2", "c3", "c4", "c5"]
+        got = wide.select(percentile_from_histogram([1, 2, 3, 4, 5], cols, 0.5).alias("m"),
+                          percentile_from_histogram([1, 2, 3, 4, 5], cols, 0.9).alias("q")).first()
+        assert abs(got.m - want.m) < 1e-9 and abs(got.q - want.q) < 1e-9, counts
