@@ -44,9 +44,19 @@ def item_totals(i: DataFrame) -> DataFrame:
 
 def person_orders(o: DataFrame, c: DataFrame, status: str | None = "delivered",
                   columns: tuple[str, ...] = ("order_purchase_timestamp",)) -> DataFrame:
-    """Orders of a status with the person key attached (inner join on customer_id)."""
+    """Orders of a status with the person key attached (inner join on customer_id).
+
+    When the orders table already carries the person key (the cleaned layer
+    resolves it once at load, under the customers primary key), the join is
+    replaced by dropping orders without a person, which is the same result and
+    saves a join of the two largest tables in every person-level query.
+    """
     cols = ["order_id", "customer_id", *columns]
-    return (delivered(o, status).select(*dict.fromkeys(cols))
+    sel = delivered(o, status)
+    if PERSON in o.columns:
+        return (sel.where(F.col(PERSON).isNotNull())
+                .select(*dict.fromkeys(cols), PERSON))
+    return (sel.select(*dict.fromkeys(cols))
             .join(c.select("customer_id", PERSON), "customer_id"))
 
 

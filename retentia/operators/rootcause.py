@@ -318,8 +318,7 @@ def freight_burden(i: DataFrame, o: DataFrame, c: DataFrame, status: str = "deli
         F.sum("freight_value").alias("i_freight"),
         F.sum(ratio_col).alias("i_ratio"), F.count(ratio_col).alias("i_ratio_n"))
     dl = F.col("order_status") == F.lit(status)
-    per_person = (o.select("order_id", "customer_id", "order_status")
-                  .join(c.select("customer_id", PERSON), "customer_id")
+    per_person = (person_orders(o, c, None, ("order_status",))
                   .join(per_order, "order_id", "left")
                   .groupBy(PERSON)
                   .agg(F.count(F.lit(1)).alias("total_orders"),

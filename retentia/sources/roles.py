@@ -181,7 +181,8 @@ class MaterializedRoles(Roles):
 
     The equivalent of building the cleaned schema once and querying it many
     times: the derivations (joins, windows, aggregations over the driver
-    tables) run in one job per table instead of inside every query.
+    tables) run in one job per table instead of inside every query. The orders
+    table also stores each order's person key, resolved once here.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, root: str):
@@ -197,6 +198,10 @@ class MaterializedRoles(Roles):
         tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
         root = f"{checkpoint_dir(spark).rstrip('/')}/retentia-roles-{tag}-{spark.sparkContext.applicationId}"
         frames = {name: getattr(src, name) for name in ROLE_TABLES}  # plans built on this thread
+        # resolve the person of each order once (customers.customer_id is the primary key)
+        frames["orders"] = frames["orders"].join(
+            frames["customers"].select("customer_id", "customer_unique_id"), "customer_id", "left") \
+            .select(*src.orders.columns, "customer_unique_id")
 
         def write(name: str) -> None:
             frames[name].write.mode("overwrite").parquet(f"{root}/{name}")
