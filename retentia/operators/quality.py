@@ -91,13 +91,17 @@ def composite_key_check(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def orphan_audit(fks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """(fk, orphans): child rows whose key has no parent row, per foreign key."""
+    """(fk, orphans): child rows whose key has no parent row, per foreign key.
+
+    A NULL child key counts as an orphan, as in LEFT JOIN ... WHERE parent IS NULL.
+    """
     frames = []
     for name, child, ckey, parent, pkey in fks:
         parents = parent.select(F.col(pkey).alias("__k"))
-        n = (child.select(F.col(ckey).alias("__k"))
-             .join(parents, "__k", "left_anti")
-             .agg(F.count(F.lit(1)).alias("orphans")))
+        # count child rows per key first (partial aggregate): only distinct keys are joined
+        per_key = child.groupBy(F.col(ckey).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+        n = (per_key.join(parents, "__k", "left_anti")
+             .agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("orphans")))
         frames.append(n.select(F.lit(name).alias("fk"), "orphans"))
     return _union(frames)
 
@@ -105,7 +109,7 @@ def orphan_audit(fks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataF
 def ghost_orders(o: DataFrame, i: DataFrame, status: str | None = "delivered") -> DataFrame:
     """Orders of a status that have no item."""
     return (delivered(o, status).select("order_id", "order_status")
-            .join(i.select("order_id"), "order_id", "left_anti"))
+            .join(i.select("order_id").distinct(), "order_id", "left_anti"))
 
 
 def _reconcile(i: DataFrame, p: DataFrame, tolerance: float) -> DataFrame:
