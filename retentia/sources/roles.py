@@ -26,6 +26,8 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 ROLE_TABLES = ("customers", "orders", "order_items", "order_payments", "order_reviews",
                "products", "category_translation", "sellers", "geolocation_raw")
 CONF_MATERIALIZE = "retentia.roles.materialize"
+CONF_BUCKETS = "retentia.roles.orderBuckets"
+ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")
 _LAYERS: dict[tuple[str, str], "MaterializedRoles"] = {}
 _LOCK = threading.Lock()
 
@@ -185,31 +187,54 @@ class MaterializedRoles(Roles):
     table also stores each order's person key, resolved once here.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, root: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str, tables: dict[str, str]):
         super().__init__(spark, sf_dir)
         self.root = root
         for name in ROLE_TABLES:
-            self.__dict__[name] = spark.read.parquet(f"{root}/{name}")
+            self.__dict__[name] = (spark.table(tables[name]) if name in tables
+                                   else spark.read.parquet(f"{root}/{name}"))
 
     @classmethod
     def build(cls, spark: SparkSession, sf_dir: str) -> "MaterializedRoles":
         from retentia.session import checkpoint_dir
         src = Roles(spark, sf_dir)
-        tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-        root = f"{checkpoint_dir(spark).rstrip('/')}/retentia-roles-{tag}-{spark.sparkContext.applicationId}"
+        app = spark.sparkContext.applicationId
+        tag = hashlib.sha1(f"{sf_dir.rstrip('/')}|{app}".encode()).hexdigest()[:12]
+        root = f"{checkpoint_dir(spark).rstrip('/')}/retentia-roles-{tag}"
         frames = {name: getattr(src, name) for name in ROLE_TABLES}  # plans built on this thread
         # resolve the person of each order once (customers.customer_id is the primary key)
         frames["orders"] = frames["orders"].join(
             frames["customers"].select("customer_id", "customer_unique_id"), "customer_id", "left") \
             .select(*src.orders.columns, "customer_unique_id")
+        buckets = bucket_count(spark)
+        tables = {name: f"retentia_roles_{tag}_{name}" for name in ORDER_KEYED} if buckets else {}
 
         def write(name: str) -> None:
-            frames[name].write.mode("overwrite").parquet(f"{root}/{name}")
+            if name in tables:
+                # co-located on order_id: per-order aggregates and order joins need no exchange
+                (frames[name].write.mode("overwrite")
+                 .bucketBy(buckets, "order_id").sortBy("order_id")
+                 .option("path", f"{root}/{name}")
+                 .saveAsTable(tables[name]))
+            else:
+                frames[name].write.mode("overwrite").parquet(f"{root}/{name}")
 
         # independent jobs: submitted together so the scheduler overlaps them
         with ThreadPoolExecutor(max_workers=min(4, len(frames))) as pool:
             list(pool.map(write, frames))
-        return cls(spark, sf_dir, root)
+        return cls(spark, sf_dir, root, tables)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets for the order-keyed role tables (0 = plain files).
+
+    ``retentia.roles.orderBuckets``; by default the shuffle partition count, so
+    the bucketed side lines up with the shuffled side of any other join.
+    """
+    value = spark.conf.get(CONF_BUCKETS, None)
+    if value is None:
+        value = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(value)
 
 
 def roles_for(spark: SparkSession, sf_dir: str) -> Roles:
