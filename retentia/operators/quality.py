@@ -29,6 +29,20 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
                    for name, df in tables.items()])
 
 
+def row_count_check(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(table_name, raw_rows, cleaned_rows, counts_match) for each (raw, cleaned) pair.
+
+    A row-wise load keeps every row; a collapsing one (geolocation) shows
+    how many rows it folded.
+    """
+    return _union([
+        raw.agg(F.count(F.lit(1)).alias("raw_rows"))
+        .crossJoin(cleaned.agg(F.count(F.lit(1)).alias("cleaned_rows")))  # two one-row counts
+        .select(F.lit(name).alias("table_name"), "raw_rows", "cleaned_rows",
+                (F.col("raw_rows") == F.col("cleaned_rows")).alias("counts_match"))
+        for name, (raw, cleaned) in pairs.items()])
+
+
 def duplicate_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """Total rows and rows beyond the first per distinct value of ``cols``.
 

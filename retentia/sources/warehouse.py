@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.operators.clean import CLEANERS
-from retentia.operators.quality import check_constraints, foreign_key_violations, primary_key_violations
+from retentia.operators.quality import (
+    check_constraints, foreign_key_violations, primary_key_violations, row_count_check,
+)
 from retentia.sources.ingest import read_raw, write_table
 from retentia.sources.schemas import CONSTRAINTS, FOREIGN_KEYS, PRIMARY_KEYS
 
@@ -58,16 +60,20 @@ def build_cleaned_layer(spark: SparkSession, raw_dir: str, out_dir: str,
                         strict: bool = False) -> DataFrame:
     """Load every extract found in ``raw_dir``, write cleaned tables under ``out_dir``.
 
-    Returns the constraint report (read back from ``out_dir/_constraints``).
+    Returns the constraint report (read back from ``out_dir/_constraints``);
+    the raw vs cleaned row counts are written to ``out_dir/_row_counts``.
     """
     files = files or DEFAULT_FILES
     cleaned: dict[str, DataFrame] = {}
+    raws: dict[str, DataFrame] = {}
     for table, fname in files.items():
         path = f"{raw_dir.rstrip('/')}/{fname}"
-        raw = read_raw(spark, table, path, multiline=table in MULTILINE,
-                       on_bad="drop" if on_bad == "quarantine" else on_bad)
-        write_table(CLEANERS[table](raw), f"{out_dir}/{table}")
+        raws[table] = read_raw(spark, table, path, multiline=table in MULTILINE,
+                               on_bad="drop" if on_bad == "quarantine" else on_bad)
+        write_table(CLEANERS[table](raws[table]), f"{out_dir}/{table}")
         cleaned[table] = spark.read.parquet(f"{out_dir}/{table}")
+    counts = row_count_check({t: (raws[t], cleaned[t]) for t in cleaned})
+    write_table(counts.coalesce(1), f"{out_dir}/_row_counts")
     report = constraint_report(cleaned)
     write_table(report.coalesce(1), f"{out_dir}/_constraints")
     report = spark.read.parquet(f"{out_dir}/_constraints")

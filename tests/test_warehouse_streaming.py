@@ -46,6 +46,10 @@ def test_build_cleaned_layer_reports_seeded_violations(spark):
     assert report[("order_items", "foreign_key(product_id->products.product_id)")] == 1  # p9
     assert report[("order_reviews", "primary_key(order_id,review_id)")] == 0
     assert report[("geolocation", "primary_key(zip_code_prefix)")] == 0
+    counts = {r.table_name: (r.raw_rows, r.cleaned_rows, r.counts_match)
+              for r in spark.read.parquet(f"{out}/_row_counts").collect()}
+    assert counts["orders"] == (3, 3, True) and counts["order_reviews"] == (2, 2, True)
+    assert counts["geolocation"] == (2, 1, False)  # collapsed to one row per zip prefix
     orders = spark.read.parquet(f"{out}/orders")
     assert orders.where(F.col("order_status") == "delivered").count() == 2
     reviews = spark.read.parquet(f"{out}/order_reviews").orderBy("order_id").collect()
