@@ -300,7 +300,8 @@ def handoff_by_segment(o, c, p, status: str = "delivered", fast: int = 3, slow:
 def handoff_one_time_vs_repeat(o, c, status: str = "delivered", fast: int = 3, slow: int = 7,
                                labels=HANDOFF_GROUPS) -> DataFrame:
     """The handoff metrics for repeat vs one-time persons (no max)."""
-    per = _handoff_per_person(o, c, status, fast, slow).withColumn("group_type", _repeat_label(F.col("frequency"), labels))
+    per = _handoff_per_person(o, c, status, fast, slow).withColumn(
+        "group_type", _repeat_label(F.col("frequency"), labels))
     return _handoff_metrics(per, "group_type", fast, slow, worst=False)
 
 
