@@ -211,8 +211,9 @@ class MaterializedRoles(Roles):
 
         def write(name: str) -> None:
             if name in tables:
-                # co-located on order_id: per-order aggregates and order joins need no exchange
-                (frames[name].write.mode("overwrite")
+                # co-located on order_id: per-order aggregates and order joins need no exchange;
+                # repartitioning on the bucket key first gives one file per bucket, not per task x bucket
+                (frames[name].repartition(buckets, "order_id").write.mode("overwrite")
                  .bucketBy(buckets, "order_id").sortBy("order_id")
                  .option("path", f"{root}/{name}")
                  .saveAsTable(tables[name]))
