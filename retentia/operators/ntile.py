@@ -1,9 +1,11 @@
 """Global ROW_NUMBER and NTILE with a size-checked strategy.
 
 ``ntile(k) OVER (ORDER BY x)`` with no PARTITION BY moves every row into one
-task. That is only acceptable when the row count is known to be small, so the
-input is first written to the shared checkpoint folder (it is read several
-times, and this cuts its lineage) and counted:
+task. That is only acceptable when the row count is known to be small. When
+the caller knows a small enough upper bound (``row_bound``), the built-in
+window is used directly; otherwise the input is first written to the shared
+checkpoint folder (it is read several times, and this cuts its lineage) and
+counted:
 
 * up to ``retentia.ntile.maxSinglePartitionRows`` rows (default 1,000,000) the
   built-in window is used - one task, but over a proven number of rows;
@@ -101,12 +103,24 @@ def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
 
 
 def global_ntiles(df: DataFrame, k: int, orders: dict[str, list],
-                  partitions: int | None = None, distributed: bool | None = None) -> DataFrame:
-    """Add one NTILE(k) column per entry of ``orders`` ({column: order}), sharing one size check."""
+                  partitions: int | None = None, distributed: bool | None = None,
+                  row_bound: int | None = None) -> DataFrame:
+    """Add one NTILE(k) column per entry of ``orders`` ({column: order}), sharing one size check.
+
+    ``row_bound`` is an upper bound on the rows of ``df`` known to the caller
+    (e.g. the number of orders behind a per-person table); when it is within
+    the single-partition limit, the input needs no write and no count.
+    """
+    limit = single_partition_limit(df.sparkSession)
+    if distributed is None and row_bound is not None and row_bound <= limit:
+        out = df
+        for name, order in orders.items():
+            out = out.withColumn(name, F.ntile(k).over(Window.orderBy(*_order_columns(order))))
+        return out
     base = materialize(df, "in")
     total = base.count()
     if distributed is None:
-        distributed = total > single_partition_limit(df.sparkSession)
+        distributed = total > limit
     out = base
     for name, order in orders.items():
         cols = _order_columns(order)

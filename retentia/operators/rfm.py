@@ -1,8 +1,9 @@
 """RFM segmentation: classic quintiles over all persons, hybrid rules over repeat persons.
 
 Quintiles are global NTILEs computed by ``retentia.operators.ntile``: the
-per-person base is written once and counted, then scored with the built-in
-window only below a measured row bound, else by range partitioning + offsets.
+built-in window is used only when the persons are provably few (their order
+count, or the counted base, is within the row bound), else range
+partitioning + offsets.
 Every ordering ends with the person key, so ties are broken the same way on
 every run.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions import avg_of, date_days_between, money, pct, pg_concat_ws
 from retentia.operators.common import (
-    PERSON, grand_total, payment_totals, person_orders, snapshot_date, top_k, with_scalar,
+    PERSON, delivered, grand_total, payment_totals, person_orders, snapshot_date, top_k, with_scalar,
 )
 from retentia.operators.ntile import global_ntiles
 
@@ -58,18 +59,28 @@ def _direction(name: str, ascending: bool) -> Column:
 
 def score(base: DataFrame, n: int = 5, frequency_ascending: bool = False,
           monetary_ascending: bool = False, recency_ascending: bool = False,
-          distributed: bool | None = None) -> DataFrame:
+          distributed: bool | None = None, row_bound: int | None = None) -> DataFrame:
     """Add r_score, f_score, m_score = NTILE(n) over each metric (ties by person key).
 
     ``*_ascending=False`` orders the metric DESC, so bucket 1 holds the largest
     values; the reference's classic scoring does this for all three metrics.
-    ``distributed`` forces the NTILE strategy (default: chosen by row count).
+    ``distributed`` forces the NTILE strategy (default: chosen by row count);
+    ``row_bound`` is a known upper bound on the persons (see ``person_bound``).
     """
     return global_ntiles(base, n, {
         "r_score": [_direction("recency_days", recency_ascending), F.col(PERSON).asc()],
         "f_score": [_direction("frequency", frequency_ascending), F.col(PERSON).asc()],
         "m_score": [_direction("monetary", monetary_ascending), F.col(PERSON).asc()],
-    }, distributed=distributed)
+    }, distributed=distributed, row_bound=row_bound)
+
+
+def person_bound(o: DataFrame, status: str = "delivered") -> int:
+    """Upper bound on the persons of an RFM base: its orders of the status (one per person at least).
+
+    A count over one pushed-down column; it lets small inputs skip the
+    write-and-count of the exact size check.
+    """
+    return delivered(o, status).count()
 
 
 def rfm_scores(o: DataFrame, c: DataFrame, p: DataFrame, n: int = 5,
@@ -80,7 +91,8 @@ def rfm_scores(o: DataFrame, c: DataFrame, p: DataFrame, n: int = 5,
     so 5 goes to the *lowest* frequency/spend); ``True`` gives 5 to the highest.
     """
     scored = score(rfm_base(o, c, p, status), n,
-                   frequency_ascending=higher_is_better, monetary_ascending=higher_is_better)
+                   frequency_ascending=higher_is_better, monetary_ascending=higher_is_better,
+                   row_bound=person_bound(o, status))
     return scored.withColumn("rfm_segment", pg_concat_ws("-", "r_score", "f_score", "m_score"))
 
 
@@ -123,7 +135,8 @@ def rfm_hybrid(o: DataFrame, c: DataFrame, p: DataFrame, vip_frequency: int = 5,
     """Repeat persons only; f and m scored ascending (5 = most); five rule-based segments."""
     lab = {**SEGMENTS, **(labels or {})}
     base = rfm_base(o, c, p, status, min_frequency=2)
-    scored = score(base, n, frequency_ascending=True, monetary_ascending=True)
+    scored = score(base, n, frequency_ascending=True, monetary_ascending=True,
+                   row_bound=person_bound(o, status))
     seg = scored.withColumn("segment", hybrid_segment(vip_frequency, lab))
     priority = F.lit(PRIORITY["churned"])
     for key in ("lapsed", "nurturing", "engaged", "champions"):
