@@ -251,3 +251,20 @@ def roles_for(spark: SparkSession, sf_dir: str) -> Roles:
         if layer is None:
             layer = _LAYERS[key] = MaterializedRoles.build(spark, sf_dir)
     return layer
+
+
+class CleanedRoles(Roles):
+    """Role tables read from a cleaned layer written by ``build_cleaned_layer``.
+
+    This is how the registered queries run on real extracts instead of the
+    test-data adapter: load the CSVs once, then point the queries here.
+    """
+
+    _FOLDERS = {"category_translation": "product_category_name_translation",
+                "geolocation_raw": "geolocation"}
+
+    def __init__(self, spark: SparkSession, cleaned_dir: str):
+        super().__init__(spark, cleaned_dir)
+        for name in ROLE_TABLES:
+            folder = self._FOLDERS.get(name, name)
+            self.__dict__[name] = spark.read.parquet(f"{self.sf_dir}/{folder}")
