@@ -9,7 +9,12 @@ from retentia.functions import date_days_between, pct, ratio, round_half
 from retentia.operators.common import PERSON, person_orders, snapshot_date, with_scalar
 from retentia.operators.revenue import person_order_summary
 
+# Reported percentiles of the second-purchase gap, the default gap
+# bucket edges (days), and the inactivity labels with their day thresholds.
 PERCENTILES = (0.5, 0.25, 0.75, 0.90)
+WINDOW_EDGES = (7, 30, 90, 180)
+CHURN_LABELS = ("Active", "At Risk", "Likely Churned")
+CHURN_DAYS = (75, 150)
 
 
 def second_purchase_gap(o: DataFrame, c: DataFrame, status: str = "delivered") -> DataFrame:
@@ -39,17 +44,20 @@ def second_purchase_gap(o: DataFrame, c: DataFrame, status: str = "delivered") -
 
 
 def second_purchase_stats(o: DataFrame, c: DataFrame, min_gap: int | None = None,
-                          status: str = "delivered") -> DataFrame:
+                          status: str = "delivered", accuracy: int | None = None) -> DataFrame:
     """Count, mean, exact percentiles (linear interpolation), min and max of the gaps.
 
-    ``min_gap=1`` drops same-day second orders. The percentile buffer holds one
-    entry per distinct day count, bounded by the calendar span of the data.
+    ``min_gap=1`` drops same-day second orders. The exact percentile buffer holds
+    one entry per distinct day count, bounded by the calendar span of the data.
+    ``accuracy`` switches to ``percentile_approx`` (a bounded sketch, for
+    unbounded domains); it returns observed values, without interpolation.
     """
     gaps = second_purchase_gap(o, c, status)
     if min_gap is not None:
         gaps = gaps.where(F.col("days_between_orders") >= min_gap)
     g = F.col("days_between_orders")
-    q = F.percentile(g, list(PERCENTILES))
+    q = (F.percentile(g, list(PERCENTILES)) if accuracy is None
+         else F.percentile_approx(g, list(PERCENTILES), accuracy).cast("array<double>"))
     return gaps.agg(
         F.count(F.lit(1)).alias("customers_with_second_purchase"),
         ratio(F.sum(g), F.count(g), 1).alias("avg_days"),
@@ -62,7 +70,7 @@ def second_purchase_stats(o: DataFrame, c: DataFrame, min_gap: int | None = None
         "min_days", "max_days")
 
 
-def window_labels(edges=(7, 30, 90, 180)) -> list[str]:
+def window_labels(edges=WINDOW_EDGES) -> list[str]:
     """Bucket labels from the edges: '0-7 days', '8-30 days', ..., '180+ days'."""
     labels, lo = [], 0
     for e in edges:
@@ -72,7 +80,7 @@ def window_labels(edges=(7, 30, 90, 180)) -> list[str]:
     return labels
 
 
-def purchase_windows(o: DataFrame, c: DataFrame, edges=(7, 30, 90, 180), min_gap: int = 1,
+def purchase_windows(o: DataFrame, c: DataFrame, edges=WINDOW_EDGES, min_gap: int = 1,
                      status: str = "delivered") -> DataFrame:
     """Persons per second-purchase window (same-day repeats excluded by default)."""
     labels = window_labels(edges)
@@ -87,9 +95,9 @@ def purchase_windows(o: DataFrame, c: DataFrame, edges=(7, 30, 90, 180), min_gap
             .agg(F.count(F.lit(1)).alias("customers")))
 
 
-def churn_status(o: DataFrame, c: DataFrame, active: int = 75, at_risk: int = 150,
-                 status: str = "delivered",
-                 labels=("Active", "At Risk", "Likely Churned")) -> DataFrame:
+def churn_status(o: DataFrame, c: DataFrame, active: int = CHURN_DAYS[0],
+                 at_risk: int = CHURN_DAYS[1], status: str = "delivered",
+                 labels=CHURN_LABELS) -> DataFrame:
     """Persons by days since their last purchase: Active / At Risk / Likely Churned.
 
     No payments join: every person with an order of the status counts.

@@ -142,3 +142,12 @@ def test_rfm_hybrid_rules_and_priority(spark):
     assert all(prio[r.segment] == r.action_priority for r in got.values())
     summary = {r.segment: r.customers for r in rfm.rfm_segment_summary(rfm.rfm_hybrid(o, c, p)).collect()}
     assert sum(summary.values()) == 7
+
+
+def test_approximate_gap_percentiles_return_observed_values(spark):
+    o, c, *_ = _same_day(spark)
+    exact = ch.second_purchase_stats(o, c).first()
+    approx = ch.second_purchase_stats(o, c, accuracy=10000).first()
+    assert exact.median_days == 2.5                  # interpolated between 0 and 5
+    assert approx.median_days in (0.0, 5.0)          # an observed gap
+    assert (approx.customers_with_second_purchase, approx.min_days, approx.max_days) == (2, 0, 5)
