@@ -11,6 +11,11 @@ from retentia.operators.common import (
 )
 from retentia.operators.ntile import global_row_number
 
+# Label of untranslated categories, Pareto labels and threshold (%).
+UNKNOWN_CATEGORY = "Unknown"
+PARETO_LABELS = ("Top 80% Revenue Drivers", "Long Tail")
+PARETO_THRESHOLD = 80.0
+
 
 def order_total_vs_paid(i: DataFrame, p: DataFrame, order_id) -> DataFrame:
     """For one order: SUM(price + freight) next to SUM(payment_value)."""
@@ -166,7 +171,7 @@ def monthly_trends(o: DataFrame, p: DataFrame, grain: str = "month",
 
 
 def category_gmv(i: DataFrame, pr: DataFrame, tr: DataFrame, limit: int | None = 20,
-                 unknown: str = "Unknown") -> DataFrame:
+                 unknown: str = UNKNOWN_CATEGORY) -> DataFrame:
     """Item GMV (price + freight) per translated category, share of the total GMV.
 
     The share is of *all* categories (computed before the limit). The fact
@@ -232,9 +237,9 @@ def repeat_customer_analysis(o: DataFrame, c: DataFrame, p: DataFrame,
 
 
 def state_pareto(o: DataFrame, c: DataFrame, p: DataFrame, by: str = "state",
-                 threshold: float = 80.0, status: str = "delivered",
-                 top_label: str = "Top 80% Revenue Drivers",
-                 tail_label: str = "Long Tail") -> DataFrame:
+                 threshold: float = PARETO_THRESHOLD, status: str = "delivered",
+                 top_label: str = PARETO_LABELS[0],
+                 tail_label: str = PARETO_LABELS[1]) -> DataFrame:
     """Revenue per region with share, cumulative share and a Pareto label.
 
     The label compares the *rounded* cumulative share with ``threshold``. The
