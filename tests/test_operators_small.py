@@ -151,3 +151,47 @@ def test_approximate_gap_percentiles_return_observed_values(spark):
     assert exact.median_days == 2.5                  # interpolated between 0 and 5
     assert approx.median_days in (0.0, 5.0)          # an observed gap
     assert (approx.customers_with_second_purchase, approx.min_days, approx.max_days) == (2, 0, 5)
+
+
+def test_multi_order_customers_array_form_matches_rows(spark):
+    orders = [order("x1", "u1", purchase="2018-01-03 10:00:00"),
+              order("x2", "u1", purchase="2018-01-01 10:00:00"),
+              order("x3", "u1", purchase="2018-01-02 10:00:00"),
+              order("y1", "u2", purchase="2018-01-05 10:00:00"),
+              order("y2", "u2", purchase="2018-01-04 10:00:00"),
+              order("z1", "u3", purchase="2018-01-04 10:00:00")]
+    o, c, *_ = roles(spark, orders)
+    rows = rv.multi_order_customers(o, c, limit=10).collect()
+    seq = {(r.customer_unique_id, r.order_seq): r.order_id for r in rows}
+    assert seq == {("u1", 1): "x2", ("u1", 2): "x3", ("u1", 3): "x1", ("u2", 1): "y2", ("u2", 2): "y1"}
+    arrays = {r.customer_unique_id: (r.total_orders, list(r.order_ids))
+              for r in rv.multi_order_customers(o, c, limit=10, as_array=True).collect()}
+    assert arrays == {"u1": (3, ["x2", "x3", "x1"]), "u2": (2, ["y2", "y1"])}
+    top1 = rv.multi_order_customers(o, c, limit=1).collect()
+    assert {r.customer_unique_id for r in top1} == {"u1"}
+
+
+def test_rfm_classic_orientation(spark):
+    orders, payments = [], []
+    for u in range(1, 11):
+        for k in range(u):  # person u has u orders worth 10*u each
+            oid = f"o{u}_{k}"
+            orders.append(order(oid, f"u{u:02d}", purchase=f"2018-01-{10 + k:02d} 10:00:00"))
+            payments.append((oid, 1, "boleto", 1, 10.0 * u))
+    o, c, p, *_ = roles(spark, orders, payments)
+    ref = {r.customer_unique_id: r for r in rfm.rfm_classic(o, c, p, limit=None).collect()}
+    best = {r.customer_unique_id: r for r in rfm.rfm_classic(o, c, p, limit=None, higher_is_better=True).collect()}
+    # the reference orders f and m DESC, so the most frequent, biggest spender gets 1
+    assert (ref["u10"].f_score, ref["u10"].m_score) == (1, 1)
+    assert (best["u10"].f_score, best["u10"].m_score) == (5, 5)
+    assert ref["u10"].rfm_segment == f"{ref['u10'].r_score}-1-1"
+
+
+def test_impossible_dates_defaults_to_now(spark):
+    o, *_ = _gap_month(spark)
+    assert rv_impossible(o) == 0
+
+
+def rv_impossible(o):
+    from retentia.operators.quality import impossible_dates
+    return impossible_dates(o, lower="2017-01-01").first().rows
