@@ -1,0 +1 @@
+"""The named queries (registry) and their independent SQL oracles (oracle)."""

@@ -1,0 +1 @@
+"""Inputs and outputs: raw CSV ingest, schemas, sinks, the cleaned-layer load, role tables."""
