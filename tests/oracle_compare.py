@@ -37,7 +37,7 @@ def _norm(v):
     if isinstance(v, bool):
         return str(int(v))
     if isinstance(v, decimal.Decimal):
-        return format(v.normalize(), "f") if v == v.to_integral_value() else format(v.normalize(), "f")
+        return format(v.normalize(), "f")
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
