@@ -220,8 +220,8 @@ class MaterializedRoles(Roles):
             else:
                 frames[name].write.mode("overwrite").parquet(f"{root}/{name}")
 
-        # independent jobs: submitted together so the scheduler overlaps them
-        with ThreadPoolExecutor(max_workers=min(4, len(frames))) as pool:
+        # independent jobs, all submitted at once: their fixed costs overlap
+        with ThreadPoolExecutor(max_workers=len(frames)) as pool:
             list(pool.map(write, frames))
         return cls(spark, sf_dir, root, tables)
 
