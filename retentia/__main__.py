@@ -1,8 +1,8 @@
 """Command line: load extracts, list and run the named queries.
 
-    python -m retentia load RAW_DIR CLEANED_DIR [--strict]
+    python -m retentia load RAW_DIR CLEANED_DIR [--strict] [--database DB --order-buckets N]
     python -m retentia list
-    python -m retentia run KEY (--sf-dir DIR | --cleaned-dir DIR) [--out PATH] [--show N]
+    python -m retentia run KEY (--sf-dir DIR | --cleaned-dir DIR [--database DB]) [--out PATH] [--show N]
 
 ``run`` executes one registered query on the test-data folder (``--sf-dir``)
 or on a cleaned layer (``--cleaned-dir``); ``--out`` writes the result as CSV
@@ -32,12 +32,15 @@ def main(argv: list[str] | None = None) -> int:
     ld.add_argument("raw_dir")
     ld.add_argument("cleaned_dir")
     ld.add_argument("--strict", action="store_true")
+    ld.add_argument("--database", help="also register the tables in this catalog database")
+    ld.add_argument("--order-buckets", type=int, help="bucket the order-keyed tables by order_id")
     sub.add_parser("list", help="names of the registered queries")
     rn = sub.add_parser("run", help="run one registered query")
     rn.add_argument("key")
     src = rn.add_mutually_exclusive_group(required=True)
     src.add_argument("--sf-dir")
     src.add_argument("--cleaned-dir")
+    rn.add_argument("--database", help="read cleaned tables from this catalog database if present")
     rn.add_argument("--out")
     rn.add_argument("--show", type=int, default=0)
     args = ap.parse_args(argv)
@@ -49,11 +52,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = _session()
     if args.cmd == "load":
         from retentia.sources.warehouse import build_cleaned_layer
-        report = build_cleaned_layer(spark, args.raw_dir, args.cleaned_dir, strict=args.strict)
+        report = build_cleaned_layer(spark, args.raw_dir, args.cleaned_dir, strict=args.strict,
+                                     database=args.database, order_buckets=args.order_buckets)
         report.where("violations > 0").show(200, truncate=False)
         return 0
     from retentia.sources.roles import CleanedRoles, roles_for
-    roles = (CleanedRoles(spark, args.cleaned_dir) if args.cleaned_dir
+    roles = (CleanedRoles(spark, args.cleaned_dir, args.database) if args.cleaned_dir
              else roles_for(spark, args.sf_dir))
     df = registry.run_on_roles(args.key, roles)
     if args.out:

@@ -263,8 +263,12 @@ class CleanedRoles(Roles):
     _FOLDERS = {"category_translation": "product_category_name_translation",
                 "geolocation_raw": "geolocation"}
 
-    def __init__(self, spark: SparkSession, cleaned_dir: str):
+    def __init__(self, spark: SparkSession, cleaned_dir: str, database: str | None = None):
         super().__init__(spark, cleaned_dir)
         for name in ROLE_TABLES:
             folder = self._FOLDERS.get(name, name)
-            self.__dict__[name] = spark.read.parquet(f"{self.sf_dir}/{folder}")
+            if database and spark.catalog.tableExists(f"{database}.{folder}"):
+                # catalog table: keeps its bucketing (co-located order joins)
+                self.__dict__[name] = spark.table(f"`{database}`.`{folder}`")
+            else:
+                self.__dict__[name] = spark.read.parquet(f"{self.sf_dir}/{folder}")

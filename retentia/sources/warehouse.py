@@ -55,23 +55,55 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+# Tables keyed by order_id: bucketed together so their joins and per-order aggregates are co-located.
+ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")
+
+
+def save_cleaned(df: DataFrame, table: str, out_dir: str, database: str | None = None,
+                 order_buckets: int | None = None) -> DataFrame:
+    """Write one cleaned table and return it read back.
+
+    With ``database`` it is also registered as ``database.table`` (files stay
+    under ``out_dir``); with ``order_buckets`` the order-keyed tables are
+    bucketed and sorted by ``order_id`` (after a repartition on the same key, so
+    each bucket is one file), the layout that replaces the foreign-key indexes.
+    """
+    path = f"{out_dir}/{table}"
+    if database is None:
+        write_table(df, path)
+        return df.sparkSession.read.parquet(path)
+    writer = df
+    if order_buckets and table in ORDER_KEYED:
+        writer = df.repartition(order_buckets, "order_id")
+    w = writer.write.mode("overwrite").option("path", path)
+    if order_buckets and table in ORDER_KEYED:
+        w = w.bucketBy(order_buckets, "order_id").sortBy("order_id")
+    w.saveAsTable(f"`{database}`.`{table}`")
+    return df.sparkSession.table(f"`{database}`.`{table}`")
+
+
 def build_cleaned_layer(spark: SparkSession, raw_dir: str, out_dir: str,
                         files: dict[str, str] | None = None, on_bad: str = "fail",
-                        strict: bool = False) -> DataFrame:
+                        strict: bool = False, database: str | None = None,
+                        order_buckets: int | None = None) -> DataFrame:
     """Load every extract found in ``raw_dir``, write cleaned tables under ``out_dir``.
 
+    ``database`` also registers them in the catalog (``CREATE DATABASE IF NOT
+    EXISTS``), and ``order_buckets`` buckets the order-keyed tables by order_id.
     Returns the constraint report (read back from ``out_dir/_constraints``);
     the raw vs cleaned row counts are written to ``out_dir/_row_counts``.
     """
     files = files or DEFAULT_FILES
+    if database:
+        ensure_namespace(spark, database)
     cleaned: dict[str, DataFrame] = {}
     raws: dict[str, DataFrame] = {}
     for table, fname in files.items():
         path = f"{raw_dir.rstrip('/')}/{fname}"
         raws[table] = read_raw(spark, table, path, multiline=table in MULTILINE,
                                on_bad="drop" if on_bad == "quarantine" else on_bad)
-        write_table(CLEANERS[table](raws[table]), f"{out_dir}/{table}")
-        cleaned[table] = spark.read.parquet(f"{out_dir}/{table}")
+        cleaned[table] = save_cleaned(CLEANERS[table](raws[table]), table, out_dir,
+                                      database, order_buckets)
     counts = row_count_check({t: (raws[t], cleaned[t]) for t in cleaned})
     write_table(counts.coalesce(1), f"{out_dir}/_row_counts")
     report = constraint_report(cleaned)
