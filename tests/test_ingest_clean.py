@@ -102,3 +102,15 @@ def test_result_csv_and_idempotent_append(spark):
     append(batch, f"{d}/t", ["month"])
     append(batch.where("month = '2017-02'"), f"{d}/t", ["month"])
     assert spark.read.parquet(f"{d}/t").count() == 2
+
+
+def test_partitioned_write_prunes_on_read(spark):
+    from retentia.sources.ingest import write_table
+    d = tempfile.mkdtemp(prefix="retentia-part-")
+    df = spark.createDataFrame([("2017-01", "o1"), ("2017-02", "o2"), ("2017-02", "o3")],
+                               "month string, order_id string")
+    write_table(df, f"{d}/t", partition_by=["month"])
+    assert {"month=2017-01", "month=2017-02"} <= set(os.listdir(f"{d}/t"))
+    q = spark.read.parquet(f"{d}/t").where(F.col("month") == "2017-02")
+    assert q.count() == 2
+    assert "PartitionFilters: [isnotnull(month" in q._jdf.queryExecution().executedPlan().toString()
