@@ -33,7 +33,8 @@ def money(x) -> Column:
 def round_half(x, digits: int = 2) -> Column:
     """Round a DOUBLE to ``digits`` places, ties away from zero."""
     scale = float(10 ** digits)
-    return F.round(_c(x).cast("double") * F.lit(scale)) / F.lit(scale)
+    # "+ 0.0" turns a negative zero into +0.0 (IEEE), so -0.001 rounds to 0.0 everywhere
+    return F.round(_c(x).cast("double") * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def ratio(num, den, digits: int | None = 2) -> Column:

@@ -77,3 +77,10 @@ def test_percentile_from_histogram_equals_percentile_cont(spark):
         got = wide.select(percentile_from_histogram([1, 2, 3, 4, 5], cols, 0.5).alias("m"),
                           percentile_from_histogram([1, 2, 3, 4, 5], cols, 0.9).alias("q")).first()
         assert abs(got.m - want.m) < 1e-9 and abs(got.q - want.q) < 1e-9, counts
+
+
+def test_round_half_never_returns_negative_zero(spark):
+    import math
+    df = spark.createDataFrame([(-0.001,), (-0.004,)], "x double")
+    for v in (r[0] for r in df.select(round_half("x", 2)).collect()):
+        assert v == 0.0 and math.copysign(1.0, v) == 1.0
