@@ -71,35 +71,50 @@ class FactorizationMachine:
         self.w = np.zeros(buckets, np.float32)
         self.v = rng.normal(0, 0.02, (buckets, factors)).astype(np.float32)
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.1,
-            decay: float = 1e-4, batch: int = 32, seed: int = 4) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, rate: float = 0.1, factor_rate: float = 0.005,
+            decay: float = 1e-2, significant: float = 10.0, batch: int = 32, seed: int = 4) -> FactorizationMachine:
+        """Learn from rows of distinct terms and their 0/1 labels.
+
+        A term's weight starts at half its log odds and moves at a speed that
+        grows with the square of its z-score (full speed at ``significant``), so
+        the thousands of neutral terms of a long text do not add up to noise. The factors
+        of all terms seen at least twice are learned, at ``factor_rate``.
+        """
         rng = np.random.default_rng(seed)
-        seen = np.zeros(len(self.w), bool)
-        for r in rows:
-            seen[r] = True
-        self.v[~seen] = 0  # terms without a training example have no say
-        gw, gv, gb = np.full(len(self.w), 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1e-6
+        n, p = len(rows), float(labels.mean())
+        seen, toxic = np.zeros(len(self.w), np.int32), np.zeros(len(self.w), np.int32)
+        for r, label in zip(rows, labels):
+            seen[r] += 1
+            if label:
+                toxic[r] += 1
+        self.v[seen < 2] = 0  # terms without training examples have no say
+        z = (toxic - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p) * (1 - seen / n), 0) + 0.25)
+        speed = (np.minimum(np.abs(z) / significant, 1) ** 2).astype(np.float32)
+        speed[seen < 2] = 0
+        odds = np.log((toxic + 0.5) / (labels.sum() + 1) / ((seen - toxic + 0.5) / (n - labels.sum() + 1)))
+        self.w[:] = speed * odds / 2
+        self.b = float(np.log(p / (1 - p)))
+        gw, gv, gb = np.full(len(self.w), 1e-3, np.float32), np.full(self.v.shape, 1e-3, np.float32), 1e-3
         for _ in range(epochs):
-            for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
+            for part in np.array_split(rng.permutation(n), max(1, n // batch)):
                 idx = np.concatenate([rows[k] for k in part])
-                sizes = np.array([len(rows[k]) for k in part])
-                doc = np.repeat(np.arange(len(part)), sizes)
+                doc = np.repeat(np.arange(len(part)), [len(rows[k]) for k in part])
                 v = self.v[idx]
                 total = np.zeros((len(part), v.shape[1]), np.float32)
                 np.add.at(total, doc, v)
                 squares = np.bincount(doc, (v * v).sum(1), len(part))
-                z = self.b + np.bincount(doc, self.w[idx], len(part)) + 0.5 * ((total * total).sum(1) - squares)
-                err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]).astype(np.float32) / len(part)
+                raw = self.b + np.bincount(doc, self.w[idx], len(part)) + 0.5 * ((total * total).sum(1) - squares)
+                err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[part]).astype(np.float32) / len(part)
                 uniq, at = np.unique(idx, return_inverse=True)
-                dw = np.bincount(at, err[doc], len(uniq)).astype(np.float32) + decay * self.w[uniq]
+                dw = np.bincount(at, err[doc], len(uniq)).astype(np.float32)
                 dv = np.zeros((len(uniq), v.shape[1]), np.float32)
                 np.add.at(dv, at, err[doc, None] * (total[doc] - v))
                 dv += decay * self.v[uniq]
                 gw[uniq] += dw * dw
                 gv[uniq] += dv * dv
                 gb += float(err.sum()) ** 2
-                self.w[uniq] -= rate * dw / np.sqrt(gw[uniq])
-                self.v[uniq] -= 0.2 * rate * dv / np.sqrt(gv[uniq])
+                self.w[uniq] -= rate * speed[uniq] * dw / np.sqrt(gw[uniq])
+                self.v[uniq] -= factor_rate * dv / np.sqrt(gv[uniq])
                 self.b -= rate * float(err.sum()) / gb ** 0.5
         return self
 
