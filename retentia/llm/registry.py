@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentia.llm import langid, packing, quality_rules, secrets, token_counts, toxicity
+from retentia.llm import decontamination, jaccard_join, langid, packing, quality_rules, secrets, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
         "op6_secrets": secrets.op6_secrets,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_language_id": langid.op8_language_id,
+        "op9_decontamination": decontamination.op9_decontamination,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op9_decontamination": decontamination.SQL}
