@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from retentia.session import checkpoint_dir
 
@@ -70,7 +71,7 @@ def block_ranges(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[i
         i = min(j, n)
 
 
-def map_blocks(docs: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],
+def map_blocks(docs: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],
                limit: int = BLOCK_BYTES) -> DataFrame:
     """Apply ``f`` to blocks of the rows of ``docs`` (which has a ``text`` column)."""
 

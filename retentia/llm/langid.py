@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from retentia.llm.common import crc_mod, id_and_text, map_blocks, read_table, utf8
+from retentia.llm.common import crc_mod, id_and_text, map_blocks, read_table, text_array, utf8
 
 WINDOW = 64
 HIDDEN = 8
@@ -185,23 +186,28 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS
     return LanguageModel.new(languages).fit(windows, labels)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every whole text."""
+def labelled(docs: DataFrame, model: LanguageModel | None, prefix: str = "") -> DataFrame:
+    """The rows of ``docs`` with lang_pred and score added under ``prefix``; all other columns stay."""
+    letters, best, top = (f"{prefix}{x}" for x in ("letters", "lang_pred", "score"))
+    marked = docs.withColumn(letters, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         if model is None:
-            best, top = np.full(batch.num_rows, UND), np.zeros(batch.num_rows)
+            found, score = np.full(batch.num_rows, UND), np.zeros(batch.num_rows)
         else:
-            p = model.documents(*utf8(batch.column(1)))
-            best, top = np.array(model.languages)[p.argmax(1)], np.minimum(p.max(1), 1.0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(top), batch.column(2)],
-                                          names=["doc_id", "best", "top", "letters"])
-
-    lettered = id_and_text(docs, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    out = map_blocks(lettered, "doc_id long, best string, top double, letters boolean", block)
-    return out.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"),
-                      F.when(F.col("letters"), F.col("best")).otherwise(UND).alias("lang_pred"),
-                      F.when(F.col("letters"), F.col("top")).otherwise(F.lit(0.0)).alias("score"))
+            p = model.documents(*utf8(text_array(batch)))
+            found, score = np.array(model.languages)[p.argmax(1)], np.minimum(p.max(1), 1.0)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score)], names=[*batch.schema.names, best, top])
+
+    schema = StructType([*marked.schema.fields, StructField(best, StringType()), StructField(top, DoubleType())])
+    return map_blocks(marked, schema, block).withColumns({
+        best: F.when(F.col(letters), F.col(best)).otherwise(UND),
+        top: F.when(F.col(letters), F.col(top)).otherwise(F.lit(0.0))}).drop(letters)
+
+
+def predict(docs: DataFrame, model: LanguageModel | None, folds: int = 4, held: int = 2) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every whole text."""
+    return labelled(id_and_text(docs), model).select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "lang_pred", "score")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
