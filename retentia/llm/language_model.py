@@ -46,8 +46,18 @@ END = ta.mix(np.array([0x1E4D], np.uint64))[0]
 PAYLOAD = "docs binary, sizes binary, held binary, ids binary, dictionary binary, counts binary"
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Indexes below 2**32, byte planes compressed."""
+    return pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def blocks(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
-    """One row per block: its documents, its dictionary, and its training counts."""
+    """One row per block: its documents, its dictionary (sorted), its tokens, and its training counts."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, offs = utf8(batch.column(1))
@@ -59,17 +69,23 @@ def blocks(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
         is_held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         counts = np.bincount(ids[np.repeat(~is_held, sizes)], minlength=len(dictionary))
         doc_ids = batch.column(0)
-        known = np.asarray(doc_ids.is_valid()).astype(np.uint8)
-        values = np.asarray(doc_ids.fill_null(0)).astype(np.int64)
-        raw = [np.concatenate([values, known.astype(np.int64)]), sizes.astype(np.int64), is_held.astype(np.uint8),
-               ids.astype(np.uint32), dictionary, counts.astype(np.uint32)]
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in raw], names=[f.split()[0] for f in PAYLOAD.split(", ")])
+        known = np.asarray(doc_ids.is_valid()).astype(np.int64)
+        raw = [np.concatenate([np.asarray(doc_ids.fill_null(0)).astype(np.int64), known]).tobytes(), sizes.astype(np.int64).tobytes(),
+               is_held.astype(np.uint8).tobytes(), packed(ids), dictionary.tobytes(), counts.astype(np.uint32).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], names=[f.split()[0] for f in PAYLOAD.split(", ")])
 
     marked = id_and_text(docs, (crc_mod("doc_id", folds) == held).alias("held"))
     # the names are fixed once the table is written
     return map_blocks(marked, PAYLOAD, block, BLOCK).withColumn("block", F.monotonically_increasing_id())
 
 
+def rows_of(batches):
+    """One row after another, as a dictionary; only one is copied out of its batch at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def previous(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """The token before each token; the end token before the first of a text."""
     before = np.empty_like(ids)
@@ -78,60 +94,67 @@ def previous(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
-def _unigram(h: np.ndarray) -> np.ndarray:
-    return ta.pair_hash(h, h, 1)
-
-
 def _bigram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ta.pair_hash(a, b, 2)
 
 
-def _by_bucket(keys: np.ndarray, buckets: int, *columns: np.ndarray):
-    """(bucket, part of each column) for the buckets that occur."""
-    to = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[k]:cuts[k + 1]]
-        yield int(k), [c[at] for c in columns]
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the keys' upper half; the lower half is independent of the bucket."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def count_rows(stored: DataFrame, buckets: int, order: int) -> DataFrame:
-    """bucket, block, keys, counts, places: n-gram counts of each block, by bucket of the key."""
+def _cuts(ordered: np.ndarray, buckets: int):
+    """(bucket, from, to) of the buckets that occur in sorted keys."""
+    cuts = np.searchsorted(bucket_of(ordered, buckets), np.arange(buckets + 1))
+    return [(int(k), int(cuts[k]), int(cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts))]
+
+
+def unigram_rows(stored: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, start, keys, counts: a run of each block's dictionary."""
 
     def send(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                dictionary, counts = np.frombuffer(r["dictionary"], np.uint64), np.frombuffer(r["counts"], np.uint32)
-                if order == 1:
-                    keys, n, places = _unigram(dictionary), counts, np.arange(len(dictionary), dtype=np.uint32)
-                else:
-                    ids, sizes = np.frombuffer(r["ids"], np.uint32).astype(np.int64), np.frombuffer(r["sizes"], np.int64)
-                    before = previous(ids, sizes, int(np.searchsorted(dictionary, END)))
-                    train = np.repeat(np.frombuffer(r["held"], np.uint8) == 0, sizes)
-                    pairs, n = np.unique(before[train] * len(dictionary) + ids[train], return_counts=True)
-                    keys = _bigram(dictionary[pairs // len(dictionary)], dictionary[pairs % len(dictionary)])
-                    n, places = n.astype(np.uint32), np.empty(len(keys), np.uint8)
-                got = list(_by_bucket(keys, buckets, keys, n, places))
-                if got:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k for k, _ in got], pa.int32()), pa.array([r["block"]] * len(got), pa.int64()), pa.array([order] * len(got), pa.int32()),
-                         *(pa.array([(c[i].tobytes() if order == 1 or i < 2 else b"") for _, c in got], pa.binary()) for i in range(3))],
-                        names=["bucket", "block", "grams", "keys", "counts", "places"])
-
-    return stored.mapInArrow(send, "bucket int, block long, grams int, keys binary, counts binary, places binary")
-
-
-def _buckets_of(batches, names: list[str]):
+        for r in rows_of(batches):
+            keys, n = np.frombuffer(r["dictionary"], np.uint64), np.frombuffer(r["counts"], np.uint32)
+            got = _cuts(keys, buckets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _, _ in got], pa.int32()), pa.array([r["block"]] * len(got), pa.int64()), pa.array([i for _, i, _ in got], pa.int64()),
+                 pa.array([keys[i:j].tobytes() for _, i, j in got], pa.binary()), pa.array([n[i:j].tobytes() for _, i, j in got], pa.binary())],
+                names=["bucket", "block", "start", "keys", "counts"])
+
+    return stored.select("block", "dictionary", "counts").mapInArrow(send, "bucket int, block long, start long, keys binary, counts binary")
+
+
+def bigram_rows(stored: DataFrame, buckets: int) -> DataFrame:
+    """bucket, keys (lower halves), counts: each block's bigrams in training texts."""
+
+    def send(batches):
+        for r in rows_of(batches):
+            dictionary, sizes = np.frombuffer(r["dictionary"], np.uint64), np.frombuffer(r["sizes"], np.int64)
+            ids = unpacked(r["ids"], int(sizes.sum()))
+            before = previous(ids, sizes, int(np.searchsorted(dictionary, END)))
+            train = np.repeat(np.frombuffer(r["held"], np.uint8) == 0, sizes)
+            pairs, n = np.unique(before[train] * len(dictionary) + ids[train], return_counts=True)
+            keys = _bigram(dictionary[pairs // len(dictionary)], dictionary[pairs % len(dictionary)])
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order].astype(np.uint32)
+            low, got = keys.astype(np.uint32), _cuts(keys, buckets)
+            if got:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _, _ in got], pa.int32()), pa.array([low[i:j].tobytes() for _, i, j in got], pa.binary()),
+                     pa.array([n[i:j].tobytes() for _, i, j in got], pa.binary())], names=["bucket", "keys", "counts"])
+
+    return stored.select("sizes", "held", "ids", "dictionary").mapInArrow(send, "bucket int, keys binary, counts binary")
+
+
+def _buckets_of(batches):
     """(bucket, rows) from batches that are sorted by bucket."""
     bucket, rows = None, []
-    for b in batches:
-        for r in b.select(names).to_pylist():
-            if r["bucket"] != bucket and rows:
-                yield bucket, rows
-                rows = []
-            bucket = r["bucket"]
-            rows.append(r)
+    for r in rows_of(batches):
+        if r["bucket"] != bucket and rows:
+            yield bucket, rows
+            rows = []
+        bucket = r["bucket"]
+        rows.append(r)
     if rows:
         yield bucket, rows
 
@@ -140,50 +163,56 @@ def gathered(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
-def unigram_answers(rows: DataFrame, buckets: int) -> DataFrame:
-    """Per block and bucket the exact corpus counts of its tokens; per bucket (block null) distinct and all training tokens."""
+def level_keys(low: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    a = ta.pair_hash(low, low, 100 + level)
+    return a, ta.mix(a ^ ta.MIX[3]) | np.uint64(1)
+
+
+def filter_part(low: np.ndarray, counts: np.ndarray, limit: int) -> bytes:
+    """The filter of one bucket's n-grams (lower halves of their keys), of at most ``limit`` bytes."""
+    levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
+    size = int(min(max(64, BITS * levels.sum()), limit * 8)) // 8 * 8
+    bits = np.zeros(size, np.uint8)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        a, b = level_keys(low[levels >= level].astype(np.uint64), level)
+        for i in range(PROBES):
+            bits[(a + np.uint64(i) * b) % np.uint64(size)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def unigram_answers(rows: DataFrame, buckets: int, limit: int = FILTER_BYTES // 4) -> DataFrame:
+    """Per block and run the exact corpus counts of its tokens; per bucket (block null) its distinct and all training tokens, and its filter."""
 
     def answer(batches):
-        for bucket, got in _buckets_of(batches, ["bucket", "block", "keys", "counts", "places"]):
+        for bucket, got in _buckets_of(batches):
             keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in got])
             n = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in got]).astype(np.int64)
             uniq, at = np.unique(keys, return_inverse=True)
             total = np.bincount(at, n, len(uniq)).astype(np.int64)
-            back = np.split(total[at], np.cumsum([len(r["places"]) // 4 for r in got])[:-1])
+            back = np.split(total[at], np.cumsum([len(r["counts"]) // 4 for r in got])[:-1])
+            some = total > 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*(r["block"] for r in got), None], pa.int64()), pa.array([*(r["places"] for r in got), b""], pa.binary()),
-                 pa.array([*(c.tobytes() for c in back), b""], pa.binary()),
-                 pa.array([0] * len(got) + [int((total > 0).sum())], pa.int64()), pa.array([0] * len(got) + [int(total.sum())], pa.int64())],
-                names=["block", "places", "totals", "distinct", "tokens"])
-
-    return gathered(rows, buckets).mapInArrow(answer, "block long, places binary, totals binary, distinct long, tokens long")
+                [pa.array([*(r["block"] for r in got), None], pa.int64()), pa.array([*(r["start"] for r in got), None], pa.int64()),
+                 pa.array([*(c.tobytes() for c in back), None], pa.binary()), pa.array([0] * len(got) + [int(some.sum())], pa.int64()),
+                 pa.array([0] * len(got) + [int(total.sum())], pa.int64()), pa.array([bucket] * (len(got) + 1), pa.int32()),
+                 pa.array([None] * len(got) + [filter_part(uniq[some].astype(np.uint32), total[some], limit // buckets)], pa.binary())],
+                names=["block", "start", "totals", "distinct", "tokens", "bucket", "bits"])
 
-
-def level_keys(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    a = ta.pair_hash(keys, keys, 100 + level)
-    return a, ta.mix(a ^ ta.MIX[3]) | np.uint64(1)
+    return gathered(rows, buckets).mapInArrow(answer, "block long, start long, totals binary, distinct long, tokens long, bucket int, bits binary")
 
 
-def filter_parts(rows: DataFrame, buckets: int, limit: int = FILTER_BYTES) -> DataFrame:
-    """bucket, bits: the filter of each bucket's n-grams."""
+def bigram_filter(rows: DataFrame, buckets: int, limit: int = FILTER_BYTES // 4 * 3) -> DataFrame:
+    """bucket, bits: the filter of each bucket's bigrams."""
 
     def build(batches):
-        for bucket, got in _buckets_of(batches, ["bucket", "keys", "counts"]):
-            keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in got])
+        for bucket, got in _buckets_of(batches):
+            low = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in got])
             n = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in got]).astype(np.int64)
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            keys, total = keys[first], np.add.reduceat(n, first)
-            keys, total = keys[total > 0], total[total > 0]
-            levels = 1 + np.floor(np.log2(np.maximum(total, 1))).astype(np.int64)
-            size = int(min(max(64, BITS * levels.sum()), limit * 8 // buckets)) // 8 * 8
-            bits = np.zeros(size, np.uint8)
-            for level in range(1, int(levels.max(initial=0)) + 1):
-                a, b = level_keys(keys[levels >= level], level)
-                for i in range(PROBES):
-                    bits[(a + np.uint64(i) * b) % np.uint64(size)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
+            del got
+            order = np.argsort(low)
+            low, n = low[order], n[order]
+            first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([filter_part(low[first], np.add.reduceat(n, first), limit // buckets)], pa.binary())],
                                              names=["bucket", "bits"])
 
     return gathered(rows, buckets).mapInArrow(build, "bucket int, bits binary")
@@ -205,8 +234,8 @@ class LogFrequencyFilter:
         left = np.arange(len(keys))
         for level in range(1, LEVELS):
             k = keys[left]
-            bucket = (k % np.uint64(len(self.sizes))).astype(np.int64)
-            a, b = level_keys(k, level)
+            bucket = bucket_of(k, len(self.sizes))
+            a, b = level_keys(k & np.uint64(0xFFFFFFFF), level)
             hit = np.ones(len(k), bool)
             for i in range(PROBES):
                 at = self.starts[bucket] + (a + np.uint64(i) * b) % self.sizes[bucket]
@@ -218,51 +247,46 @@ class LogFrequencyFilter:
         return np.where(levels > 0, (3 * 2.0 ** (levels - 1) - 1) / 2, 0.0)
 
 
-def score_blocks(stored: DataFrame, answers: DataFrame, model: LogFrequencyFilter, distinct: int, tokens: int) -> DataFrame:
-    sent = stored.sparkSession.sparkContext.broadcast(model)  # at most FILTER_BYTES
+def score_blocks(stored: DataFrame, answers: DataFrame, single: LogFrequencyFilter, both: LogFrequencyFilter, distinct: int, tokens: int) -> DataFrame:
+    sent = stored.sparkSession.sparkContext.broadcast((single, both))  # at most FILTER_BYTES
     space = tokens + 0.5 * (distinct + 1)
-    back = answers.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("places", "totals")).alias("parts"))  # a block's dictionary
+    back = answers.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("start", "totals")).alias("parts"))  # a block's dictionary
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def score(batches):
-        bloom = sent.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                r = batch.slice(row, 1).to_pylist()[0]
-                dictionary, ids = np.frombuffer(r["dictionary"], np.uint64), np.frombuffer(r["ids"], np.uint32).astype(np.int64)
-                sizes = np.frombuffer(r["sizes"], np.int64)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                exact = np.zeros(len(dictionary), np.int64)
-                for p in r["parts"]:
-                    exact[np.frombuffer(p["places"], np.uint32)] = np.frombuffer(p["totals"], np.int64)
-                add = lambda x: np.bincount(doc, x, len(sizes))  # noqa: E731, B023
-                base = add(np.log10((exact + 0.5) / space)[ids])
-                known = add((exact > 0)[ids])
-                single = bloom.counts(_unigram(dictionary))
-                pairs, at = np.unique(previous(ids, sizes, int(np.searchsorted(dictionary, END))) * len(dictionary) + ids, return_inverse=True)
-                v, w = pairs // len(dictionary), pairs % len(dictionary)
-                both = bloom.counts(_bigram(dictionary[v], dictionary[w]))
-                p = (both + MU * (single[w] + 0.5) / space) / (np.maximum(single[v], both) + MU)
-                total = add(np.log10(p)[at])
-                named = np.frombuffer(r["docs"], np.int64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(named[0], mask=named[1] == 0), pa.array(np.frombuffer(r["held"], np.uint8).astype(bool)), pa.array(sizes),
-                     pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)], names=[f.split()[0] for f in schema.split(", ")])
+        unigrams, bigrams = sent.value
+        for r in rows_of(batches):
+            dictionary, sizes = np.frombuffer(r["dictionary"], np.uint64), np.frombuffer(r["sizes"], np.int64)
+            ids = unpacked(r["ids"], int(sizes.sum()))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            exact = np.concatenate([np.frombuffer(p["totals"], np.int64) for p in sorted(r["parts"], key=lambda p: p["start"])])
+            add = lambda x: np.bincount(doc, x, len(sizes))  # noqa: E731, B023
+            base = add(np.log10((exact + 0.5) / space)[ids])
+            known = add((exact > 0)[ids])
+            count = unigrams.counts(dictionary)
+            pairs, at = np.unique(previous(ids, sizes, int(np.searchsorted(dictionary, END))) * len(dictionary) + ids, return_inverse=True)
+            v, w = pairs // len(dictionary), pairs % len(dictionary)
+            together = bigrams.counts(_bigram(dictionary[v], dictionary[w]))
+            p = (together + MU * (count[w] + 0.5) / space) / (np.maximum(count[v], together) + MU)
+            total = add(np.log10(np.minimum(p, 1))[at])
+            named = np.frombuffer(r["docs"], np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(named[0], mask=named[1] == 0), pa.array(np.frombuffer(r["held"], np.uint8).astype(bool)), pa.array(sizes),
+                 pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return stored.join(back, "block").mapInArrow(score, schema)
+    return stored.drop("counts").join(back, "block").mapInArrow(score, schema)
 
 
 def language_scores(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = shuffle_partitions(docs.sparkSession)
     stored = materialize(blocks(docs, folds, held), "lm-blocks")
-    uni = count_rows(stored, buckets, 1)
-    answers = materialize(unigram_answers(uni, buckets), "lm-counts")
-    totals = answers.where("block IS NULL").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()
-    parts = filter_parts(uni.unionAll(count_rows(stored, buckets, 2)), buckets)
-    model = LogFrequencyFilter({r["bucket"]: bytes(r["bits"]) for r in parts.collect()}, buckets)  # at most FILTER_BYTES
+    answers = materialize(unigram_answers(unigram_rows(stored, buckets), buckets), "lm-counts")
+    parts = answers.where("block IS NULL")
+    totals = parts.agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()
+    collected = lambda df: LogFrequencyFilter({r["bucket"]: bytes(r["bits"]) for r in df.select("bucket", "bits").collect()}, buckets)  # noqa: E731  bounded
+    single, both = collected(parts), collected(bigram_filter(bigram_rows(stored, buckets), buckets))
     distinct, tokens = totals["v"] or 0, totals["n"] or 0
-    scored = score_blocks(stored, answers, model, distinct, tokens)
+    scored = score_blocks(stored, answers, single, both, distinct, tokens)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
