@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentia.llm import decontamination, jaccard_join, langid, language_model, packing, quality_rules, secrets, token_counts, toxicity
+from retentia.llm import decontamination, jaccard_join, langid, language_model, packing, quality_rules, secrets, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_language_model": language_model.op3_language_model,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
