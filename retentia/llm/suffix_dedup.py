@@ -47,10 +47,10 @@ from retentia.llm.language_model import bucket_of
 LENGTH = 100
 ANCHOR = 16
 SPREAD = LENGTH - ANCHOR + 1  # anchors of a window
-BLOCK = 2 << 20
-SHARD = 256 << 10
+BLOCK = 1 << 20
+SHARD = 128 << 10
 #: Bytes that a task merges at once (whole anchors only).
-MERGED = 6 << 20
+MERGED = 1 << 20
 POSITION = np.uint64((1 << 28) - 1)
 #: Quarters of a window's possible anchor places, and the core that all windows of a quarter share.
 LOW = np.array([0, 22, 43, 64])
@@ -91,7 +91,8 @@ class Segments:
         at = (least[first] & POSITION).astype(np.int64)
         self.row = np.searchsorted(offs, first, "right") - 1
         self.start, self.windows, self.offset = first - offs[self.row], last - first + 1, at - first
-        self.anchor, self.digest = gram[at], span(first, last + LENGTH)
+        # chosen for small hashes, anchors are hashed anew to spread evenly
+        self.anchor, self.digest = ta.mix(gram[at] + ta.MIX[1]), span(first, last + LENGTH)
         self.cores = np.zeros((len(first), 4), np.uint16)
         for q in range(4):
             on = np.flatnonzero(present(self.offset, self.windows, q))
@@ -226,7 +227,9 @@ def merge_shards(strings: list[bytes], shard: int = SHARD) -> tuple[np.ndarray,
     before = sizes[of] - left
     shard_of = np.searchsorted(cuts, order, "right") - 1
     kind = np.uint8 if len(cuts) < 256 else np.int32
-    rows_before, rows_left = before[order], left[order]
+    shard_of = shard_of.astype(kind)
+    # distances beyond LENGTH are all alike
+    rows_before, rows_left = (np.minimum(x[order], LENGTH).astype(np.uint8) for x in (before, left))
     transform = text[order - 1]
     transform[rows_before == 0] = 0
     # step 0: positions with LENGTH bytes before them; the end of a string counts, its symbol is the string's last byte
@@ -236,8 +239,8 @@ def merge_shards(strings: list[bytes], shard: int = SHARD) -> tuple[np.ndarray,
     interleave = np.array([], kind)
     interval = np.zeros(window_count, np.int64)
     for h in range(LENGTH):
-        on = (rows_before >= LENGTH - h) & (rows_left >= max(h, 1))
-        shards, symbols = shard_of[on].astype(kind), transform[on]
+        on = np.flatnonzero((rows_before >= LENGTH - h) & (rows_left >= max(h, 1)))
+        shards, symbols = shard_of[on], transform[on]
         if h == 0:
             # the empty suffix of each string, before all others of its shard
             tails = np.searchsorted(cuts, ends[long] - 1, "right") - 1
@@ -330,26 +333,32 @@ def wanted_segments(docs: DataFrame, found: DataFrame) -> DataFrame:
     def extract(batches):
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
-                text = z.decompress(r["z"])
+            offs, w = struct_lists(b, "wanted")
+            end = w["start"] + w["windows"] + LENGTH - 1
+            for i, doc_id in enumerate(b.column(0).to_pylist()):
+                text = z.decompress(b.column(1)[i].as_py())
                 buf = np.frombuffer(text, np.uint8)
-                w = r["wanted"]
-                start, end = np.array([x["start"] for x in w]), np.array([x["start"] + x["windows"] + LENGTH - 1 for x in w])
-                inside = end <= len(buf)  # another text with the same id may be shorter
-                same = np.zeros(len(w), bool)
-                if inside.any():
-                    same[inside] = ta.span_hashes(buf, start[inside], end[inside]).view(np.int64) == np.array([x["digest"] for x in w])[inside]
-                w = [x for x, ok in zip(w, same) if ok]
-                at = [x["start"] + x["skip"] for x in w]
+                k = np.arange(offs[i], offs[i + 1])
+                k = k[end[k] <= len(buf)]  # another text with the same id may be shorter
+                k = k[ta.span_hashes(buf, w["start"][k], end[k]).view(np.int64) == w["digest"][k]]
+                at = w["start"][k] + w["skip"][k]
+                to = at + w["wanted"][k] + LENGTH - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["anchor"] for x in w], pa.int64()), pa.array([r["doc_id"]] * len(w), pa.int64()), pa.array(at, pa.int64()),
-                     pa.array([text[a:a + x["wanted"] + LENGTH - 1] for a, x in zip(at, w)], pa.binary())], names=["anchor", "doc_id", "start", "bytes"])
+                    [pa.array(w["anchor"][k]), pa.array(np.full(len(k), doc_id), pa.int64()), pa.array(at),
+                     pa.array([text[x:y] for x, y in zip(at.tolist(), to.tolist())], pa.binary())], names=["anchor", "doc_id", "start", "bytes"])
 
     texts = map_blocks(docs.where(F.octet_length("text") >= LENGTH), "doc_id long, z binary", shrink)
     return texts.join(wanted, "doc_id").mapInArrow(extract, "anchor long, doc_id long, start long, bytes binary")
 
 
+def struct_lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Offsets and fields of a column of lists of structs of longs; a null list is empty."""
+    column = batch.column(batch.schema.get_field_index(name))
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.append(0, np.cumsum(sizes)), {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+
+
 def joined_spans(spans: np.ndarray) -> np.ndarray:
     """Maximal runs covered by (start, end) rows."""
     if not len(spans):
@@ -377,15 +386,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         z = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
-                text = z.decompress(r["z"])
-                own = np.frombuffer(r["own"], np.int64).reshape(-1, 2)
-                more = np.array([(s["start"], s["end"]) for s in r["spans"] or ()], np.int64).reshape(-1, 2)
+            offs, found = struct_lists(b, "spans")
+            found = np.stack([found["start"], found["end"]], 1)
+            for i, doc_id in enumerate(b.column(0).to_pylist()):
+                text = z.decompress(b.column(1)[i].as_py())
+                own = np.frombuffer(b.column(2)[i].as_py(), np.int64).reshape(-1, 2)
+                more = found[offs[i]:offs[i + 1]]
                 gone = joined_spans(np.minimum(np.concatenate([own, more]), len(text)))
                 gone = gone[gone[:, 1] > gone[:, 0]]
                 kept = b"".join(text[a:e] for a, e in zip([0, *gone[:, 1].tolist()], [*gone[:, 0].tolist(), len(text)]))
-                rows.append((r["doc_id"], len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((doc_id, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             for k in range(0, len(rows), 256):
                 cols = list(zip(*rows[k:k + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
