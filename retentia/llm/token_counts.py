@@ -36,7 +36,9 @@ class PrefixCounter:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.ranks = vocabulary.ranks
-        self.lengths = sorted({len(t) for t in self.ranks}, reverse=True)
+        lengths = sorted({len(t) for t in self.ranks}, reverse=True)
+        #: Token lengths up to i, longest first.
+        self.lengths = [[n for n in lengths if n <= i] for i in range(lengths[0] + 1)]
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.tables: dict[bytes, list[int]] = {}
         self.totals = Chunked(self.ordinary_total)
@@ -66,13 +68,12 @@ class PrefixCounter:
         known = self.tables.get(piece)
         if known is not None:
             return known
-        ranks, stays = self.ranks, self.stays
+        ranks, stays, longest = self.ranks, self.stays, len(self.lengths) - 1
         last, counts = [b""], [0]
         for i in range(1, len(piece) + 1):
-            for n in self.lengths:
-                if n > i or (token := piece[i - n:i]) not in ranks:
-                    continue
-                if n == i or stays(last[i - n], token):
+            for n in self.lengths[min(i, longest)]:
+                token = piece[i - n:i]
+                if token in ranks and (n == i or stays(last[i - n], token)):
                     break
             last.append(token)
             counts.append(counts[i - n] + 1)
