@@ -1,46 +1,31 @@
-"""Global ROW_NUMBER and NTILE with a size-checked strategy.
-
-``ntile(k) OVER (ORDER BY x)`` with no PARTITION BY moves every row into one
-task. That is only acceptable when the row count is known to be small. When
-the caller knows a small enough upper bound (``row_bound``), the built-in
-window is used directly; otherwise the input is first written to the shared
-checkpoint folder (it is read several times, and this cuts its lineage) and
-counted:
-
-* up to ``retentia.ntile.maxSinglePartitionRows`` rows (default 1,000,000) the
-  built-in window is used - one task, but over a proven number of rows;
-* beyond that, the rows are range-partitioned on a *total* order key (the
-  metric plus the entity key, so even one value shared by most rows is split
-  over many partitions), sorted inside each partition and tagged with their
-  position; the tagged rows are written to the checkpoint folder (range bounds
-  come from sampling, so a recomputation must not be allowed to move rows), the
-  per-partition counts (one row per partition, a proven size bound) give each
-  partition's offset, which is broadcast back. Exact global row numbers, every
-  step distributed.
+"""Global ROW_NUMBER and NTILE without a single-task window.
+
+``ntile(k) OVER (ORDER BY x)`` with no PARTITION BY would move every row into
+one task. Here the rows are range-partitioned on a *total* order key (the metric
+plus the entity key, so even one value shared by most rows is split over many
+partitions), sorted inside each partition and tagged with their position. The
+tagged rows are written to the checkpoint folder: range bounds come from
+sampling, so a recomputation must not be allowed to move rows. The per-partition
+counts (one row per partition, a proven size bound) give each partition's
+offset, which is broadcast back. The same steps are taken at every size.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.session import checkpoint_dir
 
 _PID, _MID = "__pid", "__mid"
-MAX_SINGLE_PARTITION_ROWS = 1_000_000
-CONF_KEY = "retentia.ntile.maxSinglePartitionRows"
 
 
 def _order_columns(order: list) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def single_partition_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(CONF_KEY, str(MAX_SINGLE_PARTITION_ROWS)))
-
-
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back (lineage cut)."""
     spark = df.sparkSession
@@ -71,22 +56,12 @@ def _distributed_row_number(df: DataFrame, order: list[Column], name: str,
 
 
 def global_row_number(df: DataFrame, order: list, name: str = "rn",
-                      partitions: int | None = None, distributed: bool | None = None) -> DataFrame:
+                      partitions: int | None = None) -> DataFrame:
     """Add ``name`` = ROW_NUMBER() OVER (ORDER BY *order*) and ``{name}_total`` = row count.
 
-    ``order`` must be a total order (end it with a unique key). ``distributed``
-    forces a strategy; by default it is chosen from the measured row count.
+    ``order`` must be a total order (end it with a unique key).
     """
-    cols = _order_columns(order)
-    base = materialize(df, "in")
-    total = base.count()
-    if distributed is None:
-        distributed = total > single_partition_limit(df.sparkSession)
-    if distributed:
-        return _distributed_row_number(base, cols, name, partitions)
-    w = Window.orderBy(*cols)
-    return (base.withColumn(name, F.row_number().over(w).cast("long"))
-            .withColumn(f"{name}_total", F.lit(total).cast("long")))
+    return _distributed_row_number(df, _order_columns(order), name, partitions)
 
 
 def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
@@ -103,37 +78,17 @@ def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
 
 
 def global_ntiles(df: DataFrame, k: int, orders: dict[str, list],
-                  partitions: int | None = None, distributed: bool | None = None,
-                  row_bound: int | None = None) -> DataFrame:
-    """Add one NTILE(k) column per entry of ``orders`` ({column: order}), sharing one size check.
-
-    ``row_bound`` is an upper bound on the rows of ``df`` known to the caller
-    (e.g. the number of orders behind a per-person table); when it is within
-    the single-partition limit, the input needs no write and no count.
-    """
-    limit = single_partition_limit(df.sparkSession)
-    if distributed is None and row_bound is not None and row_bound <= limit:
-        out = df
-        for name, order in orders.items():
-            out = out.withColumn(name, F.ntile(k).over(Window.orderBy(*_order_columns(order))))
-        return out
-    base = materialize(df, "in")
-    total = base.count()
-    if distributed is None:
-        distributed = total > limit
-    out = base
+                  partitions: int | None = None) -> DataFrame:
+    """Add one NTILE(k) column per entry of ``orders`` ({column: order})."""
+    out = df
     for name, order in orders.items():
-        cols = _order_columns(order)
-        if distributed:
-            out = _distributed_row_number(out, cols, "__rn", partitions)
-            out = (out.withColumn(name, ntile_from_rank(F.col("__rn"), F.col("__rn_total"), k))
-                   .drop("__rn", "__rn_total"))
-        else:
-            out = out.withColumn(name, F.ntile(k).over(Window.orderBy(*cols)))
+        out = _distributed_row_number(out, _order_columns(order), "__rn", partitions)
+        out = (out.withColumn(name, ntile_from_rank(F.col("__rn"), F.col("__rn_total"), k))
+               .drop("__rn", "__rn_total"))
     return out
 
 
 def global_ntile(df: DataFrame, k: int, order: list, name: str = "ntile",
-                 partitions: int | None = None, distributed: bool | None = None) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """Add ``name`` = NTILE(k) OVER (ORDER BY *order*)."""
-    return global_ntiles(df, k, {name: order}, partitions, distributed)
+    return global_ntiles(df, k, {name: order}, partitions)

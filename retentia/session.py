@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -48,8 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting it only when unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that is used
-    as is. Only when nothing is configured (local runs, tests) a folder of our
-    own is created.
+    as is. Only when nothing is configured (local runs, tests) it is set to a
+    folder of ``RETENTIA_SCRATCH``, or of the session's warehouse.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,7 +62,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
                 "spark.checkpoint.dir is not set; a cluster run needs a shared "
                 "checkpoint folder (a machine-local folder would not survive "
                 "executor loss)")
-        configured = tempfile.mkdtemp(prefix="retentia-ckpt-",
-                                      dir=os.environ.get("RETENTIA_SCRATCH"))
+        home = os.environ.get("RETENTIA_SCRATCH") or spark.conf.get("spark.sql.warehouse.dir")
+        configured = f"{home.rstrip('/')}/retentia-checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

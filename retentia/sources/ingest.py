@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retentia.operators.ntile import materialize
 from retentia.sources.schemas import raw_schema
 
 CORRUPT = "_corrupt_record"
@@ -48,7 +49,7 @@ def read_raw(spark: SparkSession, table: str, path: str, multiline: bool = False
     if not quarantine:
         return df
     # the corrupt column may only be filtered on after the scan is materialised
-    df = df.cache()
+    df = materialize(df, f"raw-{table}")
     bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return good, bad
@@ -63,12 +64,29 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
-def append(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Idempotent append: only the partitions present in ``df`` are replaced.
+def append(df: DataFrame, path: str, partition_by: list[str], keys: list[str]) -> None:
+    """Idempotent append: rows whose key is new are added, rows with a known key replace it.
 
-    Re-running a load therefore does not duplicate rows (a plain append would).
+    Existing rows with other keys stay. Only the partitions that hold new or
+    replaced rows are rewritten, from a copy in the checkpoint folder, so a
+    failure while writing loses nothing that was read. Re-running a load does
+    not duplicate rows.
     """
-    (df.write.mode("overwrite")
+    spark = df.sparkSession
+    new = materialize(df.dropDuplicates(keys), "append")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        old = spark.read.parquet(path)
+        old = old.select(*[F.col(f.name).cast(f.dataType) for f in new.schema.fields])
+        replaced = old.join(new.select(*keys), keys, "left_semi")
+        touched = new.select(*partition_by).unionAll(replaced.select(*partition_by)).distinct()
+        same = [F.col(f"old.{c}").eqNullSafe(F.col(f"touched.{c}")) for c in partition_by]
+        kept = old.alias("old").join(touched.alias("touched"), same, "left_semi").join(new.select(*keys), keys, "left_anti")
+        emptied = touched.join(kept.unionByName(new), partition_by, "left_anti")
+        if not emptied.isEmpty():
+            raise ValueError("a replaced row would leave its partition empty; partition by columns that its key determines")
+        new = materialize(kept.select(*new.columns).unionAll(new), "append")
+    (new.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by)
      .parquet(path))

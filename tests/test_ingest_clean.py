@@ -99,11 +99,35 @@ def test_result_csv_and_idempotent_append(spark):
                    for f in os.listdir(f"{d}/res") if f.endswith(".csv"))
     assert text.splitlines()[0] == '"m","n","v"' and "NULL" in text
     batch = spark.createDataFrame([("2017-01", "o1"), ("2017-02", "o2")], "month string, order_id string")
-    append(batch, f"{d}/t", ["month"])
-    append(batch.where("month = '2017-02'"), f"{d}/t", ["month"])
+    append(batch, f"{d}/t", ["month"], ["order_id"])
+    append(batch.where("month = '2017-02'"), f"{d}/t", ["month"], ["order_id"])
     assert spark.read.parquet(f"{d}/t").count() == 2
 
 
+def test_append_keeps_other_rows_of_its_partitions(spark):
+    d = tempfile.mkdtemp(prefix="retentia-append-")
+    schema = "month string, order_id string, v int"
+    append(spark.createDataFrame([("2018-01", "1", 1), ("2018-01", "2", 2), ("2018-02", "9", 9)], schema), f"{d}/t", ["month"], ["order_id"])
+    append(spark.createDataFrame([("2018-01", "3", 3), ("2018-01", "2", 20)], schema), f"{d}/t", ["month"], ["order_id"])
+    got = {(r["month"], r["order_id"], r["v"]) for r in spark.read.schema(schema).parquet(f"{d}/t").collect()}
+    assert got == {("2018-01", "1", 1), ("2018-01", "2", 20), ("2018-01", "3", 3), ("2018-02", "9", 9)}
+
+
+def test_quarantined_records_are_kept_and_fail_a_strict_load(spark):
+    from retentia.sources.warehouse import build_cleaned_layer
+    d = tempfile.mkdtemp(prefix="retentia-bad-")
+    with open(f"{d}/payments.csv", "w", encoding="utf-8") as f:
+        f.write("order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
+                "a,1,voucher,1,10.00\nb,1,voucher\nc,1,voucher,1,5.00\nd,1,voucher,1,7.00\n")
+    files = {"order_payments": "payments.csv"}
+    build_cleaned_layer(spark, d, f"{d}/out", files, on_bad="quarantine")
+    assert [r[0] for r in spark.read.parquet(f"{d}/out/_bad/order_payments").collect()] == ["b,1,voucher"]
+    counts = spark.read.parquet(f"{d}/out/_row_counts").first()
+    assert (counts["raw_rows"], counts["cleaned_rows"]) == (4, 3)
+    with pytest.raises(ValueError, match="rows lost"):
+        build_cleaned_layer(spark, d, f"{d}/out2", files, on_bad="quarantine", strict=True)
+
+
 def test_partitioned_write_prunes_on_read(spark):
     from retentia.sources.ingest import write_table
     d = tempfile.mkdtemp(prefix="retentia-part-")

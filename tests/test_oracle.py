@@ -14,7 +14,7 @@ def con():
     return duck(SF01)
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(k for k in E.queries() if not k.startswith("op") and k != "pipeline"))
 def test_query_matches_oracle(spark, con, key):
     assert key in E.oracle_sql(), f"{key} has no oracle"
     assert compare(spark, key, SF01, con, verbose=False)
@@ -36,14 +36,3 @@ def test_lazy_roles_match_oracle(spark, con, key):
         assert compare(spark, key, SF01, con, verbose=False)
     finally:
         spark.conf.unset("retentia.roles.materialize")
-
-
-@pytest.mark.parametrize("key", ["rfm_classic", "rfm_diagonal", "rfm_hybrid", "rfm_segment_summary",
-                                 "delivery_by_segment", "handoff_by_segment", "multi_order_customers"])
-def test_distributed_ntile_path_matches_oracle(spark, con, key):
-    """The range-partitioned NTILE / ROW_NUMBER path (used above the row bound) gives the same results."""
-    spark.conf.set("retentia.ntile.maxSinglePartitionRows", "0")
-    try:
-        assert compare(spark, key, SF01, con, verbose=False)
-    finally:
-        spark.conf.unset("retentia.ntile.maxSinglePartitionRows")
