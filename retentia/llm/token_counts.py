@@ -36,13 +36,23 @@ class PrefixCounter:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.ranks = vocabulary.ranks
-        lengths = sorted({len(t) for t in self.ranks}, reverse=True)
-        #: Token lengths up to i, longest first.
-        self.lengths = [[n for n in lengths if n <= i] for i in range(lengths[0] + 1)]
+        self.endings = self.lengths_by_ending()
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.tables: dict[bytes, list[int]] = {}
         self.totals = Chunked(self.ordinary_total)
 
+    def lengths_by_ending(self) -> dict[bytes, list[int]]:
+        """Lengths, longest first, of the tokens that can end where the last (up to three) bytes are these.
+
+        Three bytes that end no token of three or more are not listed: there, lengths 2 and 1 remain.
+        """
+        found: dict[bytes, set[int]] = {}
+        for t in self.ranks:
+            found.setdefault(t[-3:], set()).add(len(t))
+        for end, lengths in found.items():
+            lengths.update(range(1, len(end)))
+        return {end: sorted(lengths, reverse=True) for end, lengths in found.items()}
+
     def merge(self, piece: bytes) -> list[bytes]:
         """Plain merging, lowest rank first; only used on pairs of tokens."""
         parts = [piece[i:i + 1] for i in range(len(piece))]
@@ -68,10 +78,12 @@ class PrefixCounter:
         known = self.tables.get(piece)
         if known is not None:
             return known
-        ranks, stays, longest = self.ranks, self.stays, len(self.lengths) - 1
+        ranks, stays, endings, short = self.ranks, self.stays, self.endings, (2, 1)
         last, counts = [b""], [0]
         for i in range(1, len(piece) + 1):
-            for n in self.lengths[min(i, longest)]:
+            for n in endings.get(piece[max(0, i - 3):i], short):
+                if n > i:
+                    continue
                 token = piece[i - n:i]
                 if token in ranks and (n == i or stays(last[i - n], token)):
                     break
