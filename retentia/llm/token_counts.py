@@ -37,7 +37,9 @@ class PrefixCounter:
         self.vocabulary = vocabulary
         self.ranks = vocabulary.ranks
         self.endings = self.lengths_by_ending()
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        #: (rank << 32 | rank) -> whether the two tokens stay apart.
+        self.pairs: dict[int, bool] = {}
         self.tables: dict[bytes, list[int]] = {}
         self.totals = Chunked(self.ordinary_total)
 
@@ -63,31 +65,32 @@ class PrefixCounter:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def stays(self, a: bytes, b: bytes) -> bool:
-        """Whether the encoding of a + b is a, b."""
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(a + b) == [a, b]
-        return known
+    def stays(self, a: int, b: int) -> bool:
+        """Whether the encoding of the joined tokens of ranks a and b is a, b."""
+        if len(self.pairs) >= KEPT:
+            self.pairs.clear()
+        left, right = self.tokens[a], self.tokens[b]
+        found = self.pairs[a << 32 | b] = self.merge(left + right) == [left, right]
+        return found
 
     def prefixes(self, piece: bytes) -> list[int]:
         """counts[i]: tokens of piece[:i], for one pre-token."""
         known = self.tables.get(piece)
         if known is not None:
             return known
-        ranks, stays, endings, short = self.ranks, self.stays, self.endings, (2, 1)
-        last, counts = [b""], [0]
+        rank_of, pair, lengths, short = self.ranks.get, self.pairs.get, self.endings.get, (2, 1)
+        last, counts = [-1], [0]  # ranks of the last tokens
         for i in range(1, len(piece) + 1):
-            for n in endings.get(piece[max(0, i - 3):i], short):
-                if n > i:
+            for n in lengths(piece[i - 3:i] if i > 3 else piece[:i], short):
+                if n > i or (rank := rank_of(piece[i - n:i])) is None:
                     continue
-                token = piece[i - n:i]
-                if token in ranks and (n == i or stays(last[i - n], token)):
+                if n == i:
                     break
-            last.append(token)
+                before = last[i - n]
+                fits = pair(before << 32 | rank)
+                if fits or fits is None and self.stays(before, rank):
+                    break
+            last.append(rank)
             counts.append(counts[i - n] + 1)
         if len(piece) <= 64:
             if len(self.tables) >= KEPT // 4:
