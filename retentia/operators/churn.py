@@ -92,7 +92,8 @@ def purchase_windows(o: DataFrame, c: DataFrame, edges=WINDOW_EDGES, min_gap: in
         helper = F.when(g <= edges[k], k + 1).otherwise(helper)
     gaps = second_purchase_gap(o, c, status).where(g >= min_gap)
     return (gaps.groupBy(label.alias("purchase_window"), helper.alias("helper"))
-            .agg(F.count(F.lit(1)).alias("customers")))
+            .agg(F.count(F.lit(1)).alias("customers"))
+            .orderBy(F.col("customers").desc(), "helper"))
 
 
 def churn_status(o: DataFrame, c: DataFrame, active: int = CHURN_DAYS[0],
@@ -109,7 +110,8 @@ def churn_status(o: DataFrame, c: DataFrame, active: int = CHURN_DAYS[0],
              .otherwise(labels[2]))
     return (with_scalar(last, snapshot_date(o))
             .groupBy(label.alias("customer_status"))
-            .agg(F.count(F.lit(1)).alias("customers")))
+            .agg(F.count(F.lit(1)).alias("customers"))
+            .orderBy(F.col("customers").desc(), "customer_status"))
 
 
 def purchase_funnel(o: DataFrame, c: DataFrame, p: DataFrame, steps: int = 4,

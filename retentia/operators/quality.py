@@ -58,8 +58,8 @@ def dup_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFr
     """Key values occurring more than once, with their number of occurrences."""
     out = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"))
            .where(F.col("occurrences") > 1))
-    return out if limit is None else top_k(out, limit, F.col("occurrences").asc(),
-                                           *[F.col(k).asc() for k in keys])
+    order = [F.col("occurrences").asc(), *[F.col(k).asc() for k in keys]]
+    return out.orderBy(*order) if limit is None else top_k(out, limit, *order)
 
 
 def lookup(df: DataFrame, col: str, value) -> DataFrame:
@@ -112,10 +112,8 @@ def orphan_audit(fks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataF
     frames = []
     for name, child, ckey, parent, pkey in fks:
         parents = parent.select(F.col(pkey).alias("__k"))
-        # count child rows per key first (partial aggregate): only distinct keys are joined
-        per_key = child.groupBy(F.col(ckey).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
-        n = (per_key.join(parents, "__k", "left_anti")
-             .agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("orphans")))
+        n = (child.select(F.col(ckey).alias("__k")).join(parents, "__k", "left_anti")
+             .agg(F.count(F.lit(1)).alias("orphans")))
         frames.append(n.select(F.lit(name).alias("fk"), "orphans"))
     return _union(frames)
 
@@ -171,7 +169,8 @@ def multi_method_payments(p: DataFrame) -> DataFrame:
     multi = (p.groupBy("order_id").agg(F.countDistinct("payment_type").alias("__n"))
              .where(F.col("__n") > 1).select("order_id"))
     return (p.join(multi, "order_id", "left_semi")
-            .select("order_id", "payment_sequential", "payment_type", "payment_value"))
+            .select("order_id", "payment_sequential", "payment_type", "payment_value")
+            .orderBy("order_id", "payment_sequential"))
 
 
 def impossible_dates(o: DataFrame, lower: str = "2016-01-01", as_of: str | None = None,

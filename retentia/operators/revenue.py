@@ -37,13 +37,11 @@ def naive_overview(o: DataFrame, p: DataFrame, customers: DataFrame | None = Non
     """
     per_order = p.groupBy("order_id").agg(F.sum("payment_value").alias("__v"),
                                           F.count("payment_value").alias("__n"))
-    base = (delivered(o, status).select("order_id", "customer_id", "order_purchase_timestamp")
-            .join(per_order, "order_id"))
-    who = "customer_id"
-    if customers is not None:
-        base = base.join(customers.select("customer_id", PERSON), "customer_id")
-        who = PERSON
-    return base.agg(
+    if customers is None:
+        orders, who = delivered(o, status).select("order_id", "customer_id", "order_purchase_timestamp"), "customer_id"
+    else:
+        orders, who = person_orders(o, customers, status), PERSON
+    return orders.join(per_order, "order_id").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.countDistinct(who).alias("total_customers"),
         money(F.sum("__v")).alias("total_revenue"),
@@ -58,9 +56,12 @@ def revenue_overview(o: DataFrame, c: DataFrame, i: DataFrame, p: DataFrame,
 
     Items and payments are each collapsed to order grain before the left joins.
     """
-    base = (delivered(o, status).select("order_id", "customer_id")
-            .join(c.select("customer_id", PERSON), "customer_id", "left")
-            .join(item_totals(i).drop("item_sum"), "order_id", "left")
+    sel = delivered(o, status)
+    if PERSON in o.columns:  # resolved at load; orders without a person keep a null there
+        named = sel.select("order_id", PERSON)
+    else:
+        named = sel.select("order_id", "customer_id").join(c.select("customer_id", PERSON), "customer_id", "left")
+    base = (named.join(item_totals(i).drop("item_sum"), "order_id", "left")
             .join(payment_totals(p), "order_id", "left"))
     orders = F.count(F.lit(1))
     persons = F.countDistinct(PERSON)
@@ -167,7 +168,7 @@ def monthly_trends(o: DataFrame, p: DataFrame, grain: str = "month",
     return monthly.select(
         "purchase_month", "total_orders", "monthly_revenue",
         ratio("monthly_revenue", "total_orders").alias("avg_order_value"),
-        pct(F.col("monthly_revenue") - prev, prev).alias("revenue_growth_pct"))
+        pct(F.col("monthly_revenue") - prev, prev).alias("revenue_growth_pct")).orderBy(F.col("purchase_month").asc_nulls_last())
 
 
 def category_gmv(i: DataFrame, pr: DataFrame, tr: DataFrame, limit: int | None = 20,
@@ -265,4 +266,5 @@ def state_pareto(o: DataFrame, c: DataFrame, p: DataFrame, by: str = "state",
                         pct(running, total).alias("cumulative_revenue_pct"))
     return framed.withColumn(
         "pareto_segment",
-        F.when(F.col("cumulative_revenue_pct") <= F.lit(threshold), top_label).otherwise(tail_label))
+        F.when(F.col("cumulative_revenue_pct") <= F.lit(threshold), top_label).otherwise(tail_label)).orderBy(
+        F.col("total_revenue").desc(), F.col(by).asc())

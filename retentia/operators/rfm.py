@@ -102,7 +102,8 @@ def rfm_diagonal(rfm: DataFrame, codes=DIAGONAL) -> DataFrame:
                 avg_of(F.sum("recency_days"), F.count("recency_days"), 1).alias("avg_recency"),
                 F.min("frequency").alias("min_frequency"),
                 F.max("frequency").alias("max_frequency")))
-    return per.withColumn("pct_of_total", pct("customer_count", grand_total("customer_count")))
+    return (per.withColumn("pct_of_total", pct("customer_count", grand_total("customer_count")))
+            .orderBy(F.col("rfm_segment").desc()))
 
 
 def hybrid_segment(vip_frequency: int = 5, labels: dict | None = None) -> Column:
@@ -129,7 +130,8 @@ def rfm_hybrid(o: DataFrame, c: DataFrame, p: DataFrame, vip_frequency: int = 5,
         priority = F.when(F.col("segment") == lab[key], PRIORITY[key]).otherwise(priority)
     return seg.select(PERSON, "recency_days", "frequency", "monetary", "r_score", "f_score",
                       "m_score", pg_concat_ws("-", "r_score", "f_score", "m_score").alias("rfm_code"),
-                      "segment", priority.alias("action_priority"))
+                      "segment", priority.alias("action_priority")).orderBy(
+        "action_priority", F.col("monetary").desc_nulls_first(), PERSON)
 
 
 def rfm_segment_summary(rfm: DataFrame) -> DataFrame:

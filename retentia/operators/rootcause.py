@@ -135,7 +135,7 @@ def reviews_one_time_vs_repeat(o: DataFrame, c: DataFrame, r: DataFrame,
         *[pct(f"r_{k}", n).alias(f"pct_{k}_star") for k in sorted(scores, reverse=True)],
         low.alias("negative_reviews"),
         pct(low, n).alias("negative_review_pct"),
-        n.alias("total_reviews"))
+        n.alias("total_reviews")).orderBy(F.when(F.col("customer_type") == labels[0], 1).otherwise(2))
 
 
 # ---------------------------------------------------------------- categories
@@ -189,15 +189,16 @@ def top_categories(o: DataFrame, c: DataFrame, i: DataFrame, pr: DataFrame, tr:
         pick(rep, "order_count").alias("repeat_orders"),
         pick(one, "category").alias("onetime_top_category"),
         pick(one, "customer_count").alias("onetime_customers"),
-        pick(one, "order_count").alias("onetime_orders"))
+        pick(one, "order_count").alias("onetime_orders")).orderBy("rank")
 
 
 def top_category_overlap(o, c, i, pr, tr, k: int = 5, status: str = "delivered") -> DataFrame:
     """How many of the top-k categories the repeat and one-time groups share."""
     side = top_categories(o, c, i, pr, tr, k, status)
-    rep = side.select(F.col("repeat_top_category").alias("category")).where(F.col("category").isNotNull())
-    one = side.select(F.col("onetime_top_category").alias("category")).where(F.col("category").isNotNull())
-    return rep.join(one, "category", "left_semi").agg(F.count(F.lit(1)).alias("shared_categories"))
+    # one pass over the k rows: a shared category occurs once in either column
+    both = side.select(F.explode(F.array("repeat_top_category", "onetime_top_category")).alias("category"))
+    return (both.where(F.col("category").isNotNull()).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.count_if(F.col("n") == 2).alias("shared_categories")))
 
 
 def _first_category_rates(o, c, i, pr, tr, min_customers, status) -> DataFrame:
@@ -259,7 +260,8 @@ def category_loyalty(o, c, i, pr, tr, min_orders: int = 2, status: str = "delive
     return (pairs.join(freq, PERSON).groupBy("category")
             .agg(n.alias("total_customers"), rep.alias("repeat_customers"),
                  pct(rep, n).alias("repeat_rate_percentage"))
-            .withColumnRenamed("category", "product_category_name_english"))
+            .withColumnRenamed("category", "product_category_name_english")
+            .orderBy(F.col("repeat_rate_percentage").desc(), "product_category_name_english"))
 
 
 # ------------------------------------------------------------------- handoff
@@ -294,7 +296,7 @@ def _handoff_metrics(per: DataFrame, group: str, fast: int, slow: int, worst: bo
 def handoff_by_segment(o, c, p, status: str = "delivered", fast: int = 3, slow: int = 7) -> DataFrame:
     """Purchase-to-carrier days per hybrid segment: mean, share within `fast`, share over `slow`, max."""
     per = _handoff_per_person(o, c, status, fast, slow).join(hybrid_segments(o, c, p, status), PERSON)
-    return _handoff_metrics(per, "segment", fast, slow, worst=True)
+    return _handoff_metrics(per, "segment", fast, slow, worst=True).orderBy(F.col("avg_handoff_days").desc(), "segment")
 
 
 def handoff_one_time_vs_repeat(o, c, status: str = "delivered", fast: int = 3, slow: int = 7,

@@ -267,6 +267,18 @@ def _e4(r: Roles):
     return dq.dup_keys(r.order_reviews, ["review_id"])
 
 
+#: The other key candidates whose repeats the reports ask for: key -> (role table, columns).
+DUP_KEYS = {
+    "dup_keys_items": ("order_items", ["order_id", "order_item_id"]),
+    "dup_keys_payments": ("order_payments", ["order_id", "payment_sequential"]),
+    "dup_keys_customers": ("customers", ["customer_id"]),
+    "dup_keys_persons": ("customers", ["customer_unique_id"]),
+    "dup_keys_review_orders": ("order_reviews", ["review_id", "order_id"]),
+}
+for _key, (_table, _cols) in DUP_KEYS.items():
+    register(_key)(lambda r, _table=_table, _cols=_cols: dq.dup_keys(getattr(r, _table), _cols))
+
+
 @register("dup_keys_payment_orders")
 def _e4b(r: Roles):
     return dq.dup_keys(r.order_payments, ["order_id"])
