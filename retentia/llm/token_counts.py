@@ -28,6 +28,8 @@ from retentia.llm.common import id_and_text, id_array, map_blocks, read_table, t
 
 #: Pairs and pre-tokens kept before a worker starts anew.
 KEPT = 1_000_000
+#: Pre-tokens that agree on so many first bytes share the start of their tables.
+STEM = 6
 
 
 class PrefixCounter:
@@ -41,6 +43,7 @@ class PrefixCounter:
         #: (rank << 32 | rank) -> whether the two tokens stay apart.
         self.pairs: dict[int, bool] = {}
         self.tables: dict[bytes, list[int]] = {}
+        self.stems: dict[bytes, tuple[list[int], list[int]]] = {}
         self.totals = Chunked(self.ordinary_total)
 
     def lengths_by_ending(self) -> dict[bytes, list[int]]:
@@ -80,7 +83,10 @@ class PrefixCounter:
             return known
         rank_of, pair, lengths, short = self.ranks.get, self.pairs.get, self.endings.get, (2, 1)
         last, counts = [-1], [0]  # ranks of the last tokens
-        for i in range(1, len(piece) + 1):
+        stem = self.stems.get(piece[:STEM]) if len(piece) > STEM else None
+        if stem is not None:
+            last, counts = stem[0].copy(), stem[1].copy()
+        for i in range(len(last), len(piece) + 1):
             for n in lengths(piece[i - 3:i] if i > 3 else piece[:i], short):
                 if n > i or (rank := rank_of(piece[i - n:i])) is None:
                     continue
@@ -92,6 +98,10 @@ class PrefixCounter:
                     break
             last.append(rank)
             counts.append(counts[i - n] + 1)
+        if len(piece) > STEM and stem is None:
+            if len(self.stems) >= KEPT // 4:
+                self.stems.clear()
+            self.stems[piece[:STEM]] = last[:STEM + 1], counts[:STEM + 1]
         if len(piece) <= 64:
             if len(self.tables) >= KEPT // 4:
                 self.tables.clear()
