@@ -1,9 +1,7 @@
 """RFM segmentation: classic quintiles over all persons, hybrid rules over repeat persons.
 
-Quintiles are global NTILEs computed by ``retentia.operators.ntile``: the
-built-in window is used only when the persons are provably few (their order
-count, or the counted base, is within the row bound), else range
-partitioning + offsets.
+Quintiles are global NTILEs computed by ``retentia.operators.ntile``: range
+partitioning and offsets, at every size.
 Every ordering ends with the person key, so ties are broken the same way on
 every run.
 """
@@ -86,7 +84,12 @@ def rfm_scores(o: DataFrame, c: DataFrame, p: DataFrame, n: int = 5,
 def rfm_classic(o: DataFrame, c: DataFrame, p: DataFrame, n: int = 5, limit: int | None = 50,
                 higher_is_better: bool = False, status: str = "delivered") -> DataFrame:
     """Top persons by r, f, m score and spend (the reference's first RFM report)."""
-    scored = rfm_scores(o, c, p, n, higher_is_better, status).select(
+    return classic_top(rfm_scores(o, c, p, n, higher_is_better, status), limit)
+
+
+def classic_top(scores: DataFrame, limit: int | None = 50) -> DataFrame:
+    """The top persons of a table of ``rfm_scores``."""
+    scored = scores.select(
         PERSON, "r_score", "f_score", "m_score", "rfm_segment", "frequency", "monetary", "recency_days")
     return top_k(scored, limit, F.col("r_score").desc(), F.col("f_score").desc(),
                  F.col("m_score").desc(), F.col("monetary").desc(), F.col(PERSON).asc())
@@ -121,6 +124,17 @@ def hybrid_segment(vip_frequency: int = 5, labels: dict | None = None) -> Column
 def rfm_hybrid(o: DataFrame, c: DataFrame, p: DataFrame, vip_frequency: int = 5,
                labels: dict | None = None, n: int = 5, status: str = "delivered") -> DataFrame:
     """Repeat persons only; f and m scored ascending (5 = most); five rule-based segments."""
+    return hybrid_order(hybrid_table(o, c, p, vip_frequency, labels, n, status))
+
+
+def hybrid_order(table: DataFrame) -> DataFrame:
+    """The rows of ``hybrid_table`` in the order of the report."""
+    return table.orderBy("action_priority", F.col("monetary").desc_nulls_first(), PERSON)
+
+
+def hybrid_table(o: DataFrame, c: DataFrame, p: DataFrame, vip_frequency: int = 5,
+                 labels: dict | None = None, n: int = 5, status: str = "delivered") -> DataFrame:
+    """The rows of ``rfm_hybrid``, unordered."""
     lab = {**SEGMENTS, **(labels or {})}
     base = rfm_base(o, c, p, status, min_frequency=2)
     scored = score(base, n, frequency_ascending=True, monetary_ascending=True)
@@ -130,8 +144,7 @@ def rfm_hybrid(o: DataFrame, c: DataFrame, p: DataFrame, vip_frequency: int = 5,
         priority = F.when(F.col("segment") == lab[key], PRIORITY[key]).otherwise(priority)
     return seg.select(PERSON, "recency_days", "frequency", "monetary", "r_score", "f_score",
                       "m_score", pg_concat_ws("-", "r_score", "f_score", "m_score").alias("rfm_code"),
-                      "segment", priority.alias("action_priority")).orderBy(
-        "action_priority", F.col("monetary").desc_nulls_first(), PERSON)
+                      "segment", priority.alias("action_priority"))
 
 
 def rfm_segment_summary(rfm: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from retentia.functions import (
     avg_of, extract_days_between, micros_between, pct, percentile_from_histogram, round_half,
 )
 from retentia.operators.common import PERSON, person_orders, top_k
-from retentia.operators.rfm import rfm_hybrid
+from retentia.operators.rfm import SEGMENTS, hybrid_table
 
 # Group labels used by the reference's comparisons.
 DELIVERY_GROUPS = ("Repeat (3%)", "One-Time (97%)")
@@ -36,7 +36,15 @@ def _repeat_label(n, labels):
 
 def hybrid_segments(o, c, p, status="delivered", labels=VIP_LABEL) -> DataFrame:
     """(person, segment) from the hybrid RFM with the root-cause label set."""
-    return rfm_hybrid(o, c, p, labels=labels, status=status).select(PERSON, "segment")
+    return relabelled(hybrid_table(o, c, p, status=status), labels)
+
+
+def relabelled(hybrid: DataFrame, labels=VIP_LABEL) -> DataFrame:
+    """(person, segment) of a table of ``rfm.hybrid_table`` with other segment names."""
+    name = F.col("segment")
+    for key, label in labels.items():
+        name = F.when(F.col("segment") == SEGMENTS[key], label).otherwise(name)
+    return hybrid.select(PERSON, name.alias("segment"))
 
 
 # ------------------------------------------------------------------ delivery
@@ -78,9 +86,14 @@ def _delivery_metrics(per: DataFrame, group: str, digits: int, with_max: bool) -
 
 
 def delivery_by_segment(o: DataFrame, c: DataFrame, p: DataFrame, status: str = "delivered",
-                        digits: int = 1) -> DataFrame:
-    """Delivery speed and lateness per hybrid RFM segment (repeat persons)."""
-    per = _delivery_per_person(o, c, status).join(hybrid_segments(o, c, p, status), PERSON)
+                        digits: int = 1, segments: DataFrame | None = None) -> DataFrame:
+    """Delivery speed and lateness per hybrid RFM segment (repeat persons).
+
+    ``segments`` (person, segment) reuses segments that are already computed.
+    """
+    if segments is None:
+        segments = hybrid_segments(o, c, p, status)
+    per = _delivery_per_person(o, c, status).join(segments, PERSON)
     out = _delivery_metrics(per, "segment", digits, with_max=True)
     rank = F.lit(None).cast("int")
     for k, name in reversed(list(enumerate(SEGMENT_ORDER, 1))):
@@ -204,18 +217,20 @@ def top_category_overlap(o, c, i, pr, tr, k: int = 5, status: str = "delivered")
 def _first_category_rates(o, c, i, pr, tr, min_customers, status) -> DataFrame:
     """Per first-purchase category: persons, repeaters, repeat rate (>= min_customers persons).
 
-    The first purchase is the earliest order's item (ties by order and item
-    id), found with a min over a struct: one partial aggregate, no window.
+    The first purchase is the first item of the earliest order that has an item of a
+    known product (ties by order and item id). The order is found from order rows
+    alone; only the items of first orders meet the product tables.
     """
     po = person_orders(o, c, status)
     freq = po.groupBy(PERSON).agg(F.count(F.lit(1)).alias("total_orders"))
-    items = with_category(i.select("order_id", "order_item_id", "product_id"), pr, tr)
-    firsts = (po.join(items, "order_id")
-              .groupBy(PERSON)
-              .agg(F.min(F.struct(F.col("order_purchase_timestamp").isNull().alias("a"),
-                                  F.col("order_purchase_timestamp").alias("b"),
-                                  F.col("order_id").alias("c"), F.col("order_item_id").alias("d"),
-                                  F.col("category").alias("e")))["e"].alias("category")))
+    lines = i.select("order_id", "order_item_id", "product_id")
+    filled = lines.join(pr.select("product_id"), "product_id", "left_semi").select("order_id")
+    first_order = (po.join(filled, "order_id", "left_semi")
+                   .groupBy(PERSON)
+                   .agg(F.min(F.struct(F.col("order_purchase_timestamp").isNull(), "order_purchase_timestamp", "order_id"))["order_id"]
+                        .alias("order_id")))
+    items = with_category(lines.join(first_order, "order_id"), pr, tr)
+    firsts = items.groupBy(PERSON).agg(F.min(F.struct("order_item_id", "category"))["category"].alias("category"))
     n = F.count(F.lit(1))
     rep = F.count_if(F.col("total_orders") > 1)
     return (firsts.join(freq, PERSON)
@@ -293,9 +308,15 @@ def _handoff_metrics(per: DataFrame, group: str, fast: int, slow: int, worst: bo
     return per.groupBy(group).agg(*aggs)
 
 
-def handoff_by_segment(o, c, p, status: str = "delivered", fast: int = 3, slow: int = 7) -> DataFrame:
-    """Purchase-to-carrier days per hybrid segment: mean, share within `fast`, share over `slow`, max."""
-    per = _handoff_per_person(o, c, status, fast, slow).join(hybrid_segments(o, c, p, status), PERSON)
+def handoff_by_segment(o, c, p, status: str = "delivered", fast: int = 3, slow: int = 7,
+                       segments: DataFrame | None = None) -> DataFrame:
+    """Purchase-to-carrier days per hybrid segment: mean, share within `fast`, share over `slow`, max.
+
+    ``segments`` (person, segment) reuses segments that are already computed.
+    """
+    if segments is None:
+        segments = hybrid_segments(o, c, p, status)
+    per = _handoff_per_person(o, c, status, fast, slow).join(segments, PERSON)
     return _handoff_metrics(per, "segment", fast, slow, worst=True).orderBy(F.col("avg_handoff_days").desc(), "segment")
 
 

@@ -18,7 +18,9 @@ from retentia.operators import quality as dq
 from retentia.operators import revenue as rv
 from retentia.operators import rfm
 from retentia.operators import rootcause as rc
+from retentia.sources import warehouse as wh
 from retentia.sources.roles import Roles, roles_for
+from retentia.sources.schemas import FOREIGN_KEYS
 
 # Order looked up by the point-lookup style queries (present at every scale factor).
 LOOKUP_ORDER_ID = 7
@@ -108,24 +110,34 @@ def _b13(r: Roles):
 
 
 # -------------------------------------------------------------------- rfm (R)
+def _classic(r: Roles) -> DataFrame:
+    """Classic scores of all persons: ranked once per role layer, read by R1 and R2."""
+    return r.stored("rfm_classic_scores", lambda: rfm.rfm_scores(r.orders, r.customers, r.order_payments))
+
+
+def _hybrid(r: Roles) -> DataFrame:
+    """Hybrid segments of repeat persons: ranked once per role layer, read by R3, R4, T1 and T7."""
+    return r.stored("rfm_hybrid_segments", lambda: rfm.hybrid_table(r.orders, r.customers, r.order_payments))
+
+
 @register("rfm_classic")
 def _r1(r: Roles):
-    return rfm.rfm_classic(r.orders, r.customers, r.order_payments, n=5, limit=50)
+    return rfm.classic_top(_classic(r), limit=50)
 
 
 @register("rfm_diagonal")
 def _r2(r: Roles):
-    return rfm.rfm_diagonal(rfm.rfm_scores(r.orders, r.customers, r.order_payments))
+    return rfm.rfm_diagonal(_classic(r))
 
 
 @register("rfm_hybrid")
 def _r3(r: Roles):
-    return rfm.rfm_hybrid(r.orders, r.customers, r.order_payments)
+    return rfm.hybrid_order(_hybrid(r))
 
 
 @register("rfm_segment_summary")
 def _r4(r: Roles):
-    return rfm.rfm_segment_summary(rfm.rfm_hybrid(r.orders, r.customers, r.order_payments))
+    return rfm.rfm_segment_summary(_hybrid(r))
 
 
 # -------------------------------------------------------------- root cause (T)
@@ -135,7 +147,8 @@ MIN_CATEGORY_PERSONS = 50
 
 @register("delivery_by_segment")
 def _t1(r: Roles):
-    return rc.delivery_by_segment(r.orders, r.customers, r.order_payments)
+    return rc.delivery_by_segment(r.orders, r.customers, r.order_payments,
+                                  segments=rc.relabelled(_hybrid(r)))
 
 
 @register("delivery_one_time_vs_repeat")
@@ -170,7 +183,8 @@ def _t6(r: Roles):
 
 @register("handoff_by_segment")
 def _t7(r: Roles):
-    return rc.handoff_by_segment(r.orders, r.customers, r.order_payments)
+    return rc.handoff_by_segment(r.orders, r.customers, r.order_payments,
+                                 segments=rc.relabelled(_hybrid(r)))
 
 
 @register("handoff_one_time_vs_repeat")
@@ -376,5 +390,53 @@ def _d13(r: Roles):
     return dq.impossible_dates(r.orders, lower=IMPOSSIBLE_LOWER, as_of=IMPOSSIBLE_AS_OF)
 
 
+# ------------------------------------------------- raw extracts, cleaning, constraints
+for _raw in cl.CLEANERS:
+    if _raw != "geolocation":  # collapsed: see geo_collapse
+        register(f"clean_{_raw}")(lambda r, _raw=_raw: cl.CLEANERS[_raw](r.raw_table(_raw)))
+
+
+def _loaded(r: Roles) -> dict[str, DataFrame]:
+    """Cleaned tables of the raw extracts, faults included."""
+    return {t: cleaner(r.raw_table(t)) for t, cleaner in cl.CLEANERS.items()}
+
+
+@register("constraint_audit")
+def _cst(r: Roles):
+    return wh.constraint_report(_loaded(r))
+
+
+@register("raw_cleaned_counts")
+def _counts(r: Roles):
+    return dq.row_count_check({t: (r.raw_table(t), df) for t, df in _loaded(r).items()})
+
+
+@register("duplicate_rows_raw")
+def _dup_raw(r: Roles):
+    return dq.duplicate_rows(r.raw_table("geolocation"), ["geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng"])
+
+
+@register("dup_keys_items_raw")
+def _dup_items_raw(r: Roles):
+    return dq.dup_keys(_loaded(r)["order_items"], ["order_id", "order_item_id"])
+
+
+@register("composite_key_check_raw")
+def _ckc_raw(r: Roles):
+    return dq.composite_key_check(_loaded(r)["order_items"], ["order_id", "order_item_id"])
+
+
+@register("orphan_audit_raw")
+def _orphans_raw(r: Roles):
+    t = _loaded(r)
+    return dq.orphan_audit([(f"{child}.{ckey}", t[child], ckey, t[parent], pkey)
+                            for child, ckey, parent, pkey in FOREIGN_KEYS])
+
+
+@register("customers_multi_orders_txn_raw")
+def _multi_raw(r: Roles):
+    return rv.customers_multi_orders(_loaded(r)["orders"], "customer_id", limit=20)
+
+
 def queries() -> dict[str, Query]:
     return dict(_REG)

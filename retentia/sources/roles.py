@@ -15,12 +15,15 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from retentia.sources.rawtext import RAW_TEXT, raw_text
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
 ROLE_TABLES = ("customers", "orders", "order_items", "order_payments", "order_reviews",
@@ -42,6 +45,14 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def raw_table(self, name: str) -> DataFrame:
+        """The all-text raw extract ``name``."""
+        return raw_text(getattr(self, RAW_TEXT[name][0]), name)
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from the roles; a materialized layer keeps it for later queries."""
+        return build()
+
     # -- helpers -------------------------------------------------------------
     @cached_property
     def _geo_dims(self) -> DataFrame:
@@ -190,10 +201,20 @@ class MaterializedRoles(Roles):
     def __init__(self, spark: SparkSession, sf_dir: str, root: str, tables: dict[str, str]):
         super().__init__(spark, sf_dir)
         self.root = root
+        self._stored: dict[str, DataFrame] = {}
+        self._stored_lock = threading.Lock()
         for name in ROLE_TABLES:
             self.__dict__[name] = (spark.table(tables[name]) if name in tables
                                    else spark.read.parquet(f"{root}/{name}"))
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        with self._stored_lock:
+            if name not in self._stored:
+                path = f"{self.root}/{name}"
+                build().write.mode("overwrite").parquet(path)
+                self._stored[name] = self.spark.read.parquet(path)
+            return self._stored[name]
+
     @classmethod
     def build(cls, spark: SparkSession, sf_dir: str) -> "MaterializedRoles":
         from retentia.session import checkpoint_dir
@@ -206,7 +227,7 @@ class MaterializedRoles(Roles):
         frames["orders"] = frames["orders"].join(
             frames["customers"].select("customer_id", "customer_unique_id"), "customer_id", "left") \
             .select(*src.orders.columns, "customer_unique_id")
-        buckets = bucket_count(spark)
+        buckets = bucket_count(spark, frames["order_items"])
         tables = {name: f"retentia_roles_{tag}_{name}" for name in ORDER_KEYED} if buckets else {}
 
         def write(name: str) -> None:
@@ -226,16 +247,26 @@ class MaterializedRoles(Roles):
         return cls(spark, sf_dir, root, tables)
 
 
-def bucket_count(spark: SparkSession) -> int:
+#: Bytes of the largest order-keyed table that one bucket may hold.
+BUCKET_BYTES = 256 << 20
+
+
+def bucket_count(spark: SparkSession, largest: DataFrame | None = None) -> int:
     """Buckets for the order-keyed role tables (0 = plain files).
 
     ``retentia.roles.orderBuckets``; by default the shuffle partition count, so
-    the bucketed side lines up with the shuffled side of any other join.
+    the bucketed side lines up with the shuffled side of any other join, or as many
+    as keep a bucket of ``largest`` (by its estimated size) within ``BUCKET_BYTES``.
+    A bucket is one scan task that AQE does not split.
     """
     value = spark.conf.get(CONF_BUCKETS, None)
-    if value is None:
-        value = spark.conf.get("spark.sql.shuffle.partitions")
-    return int(value)
+    if value is not None:
+        return int(value)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if largest is None:
+        return least
+    size = int(str(largest._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // BUCKET_BYTES))
 
 
 def roles_for(spark: SparkSession, sf_dir: str) -> Roles:
@@ -260,15 +291,21 @@ class CleanedRoles(Roles):
     test-data adapter: load the CSVs once, then point the queries here.
     """
 
-    _FOLDERS = {"category_translation": "product_category_name_translation",
-                "geolocation_raw": "geolocation"}
+    _FOLDERS = {"category_translation": "product_category_name_translation"}
 
     def __init__(self, spark: SparkSession, cleaned_dir: str, database: str | None = None):
         super().__init__(spark, cleaned_dir)
         for name in ROLE_TABLES:
             folder = self._FOLDERS.get(name, name)
-            if database and spark.catalog.tableExists(f"{database}.{folder}"):
+            if name == "geolocation_raw":
+                # the rows before the collapse, from the raw layer
+                raw = self.raw_table("geolocation")
+                self.__dict__[name] = raw.toDF(*[c.removeprefix("geolocation_") for c in raw.columns])
+            elif database and spark.catalog.tableExists(f"{database}.{folder}"):
                 # catalog table: keeps its bucketing (co-located order joins)
                 self.__dict__[name] = spark.table(f"`{database}`.`{folder}`")
             else:
                 self.__dict__[name] = spark.read.parquet(f"{self.sf_dir}/{folder}")
+
+    def raw_table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/_raw/{name}")

@@ -82,6 +82,16 @@ def save_cleaned(df: DataFrame, table: str, out_dir: str, database: str | None =
     return df.sparkSession.table(f"`{database}`.`{table}`")
 
 
+def with_person(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders with ``customer_unique_id``, resolved once so that person-level queries need no join.
+
+    A customer_id that occurs twice breaks the primary key and is reported as such; its
+    smallest person is taken, so that no order is doubled.
+    """
+    person = customers.groupBy("customer_id").agg(F.min("customer_unique_id").alias("customer_unique_id"))
+    return orders.join(person, "customer_id", "left").select(*orders.columns, "customer_unique_id")
+
+
 def build_cleaned_layer(spark: SparkSession, raw_dir: str, out_dir: str,
                         files: dict[str, str] | None = None, on_bad: str = "fail",
                         strict: bool = False, database: str | None = None,
@@ -90,6 +100,7 @@ def build_cleaned_layer(spark: SparkSession, raw_dir: str, out_dir: str,
 
     ``database`` also registers them in the catalog (``CREATE DATABASE IF NOT
     EXISTS``), and ``order_buckets`` buckets the order-keyed tables by order_id.
+    The parsed text stays under ``out_dir/_raw/<table>`` (the raw layer).
     Returns the constraint report (read back from ``out_dir/_constraints``);
     the raw vs cleaned row counts are written to ``out_dir/_row_counts``. With
     ``on_bad="quarantine"`` malformed records go to ``out_dir/_bad/<table>`` and
@@ -100,18 +111,26 @@ def build_cleaned_layer(spark: SparkSession, raw_dir: str, out_dir: str,
         ensure_namespace(spark, database)
     cleaned: dict[str, DataFrame] = {}
     raws: dict[str, DataFrame] = {}
-    for table, fname in files.items():
+    # customers first: the orders store their person key
+    for table, fname in sorted(files.items(), key=lambda item: item[0] == "orders"):
         path = f"{raw_dir.rstrip('/')}/{fname}"
         raw = read_raw(spark, table, path, multiline=table in MULTILINE, on_bad=on_bad)
-        raws[table] = raw
+        bad = None
         if on_bad == "quarantine":
             raw, bad = raw
             write_table(bad, f"{out_dir}/_bad/{table}")
+        # the text is parsed once; cleaning, counts and duplicate checks read the raw layer
+        write_table(raw, f"{out_dir}/_raw/{table}")
+        raw = spark.read.schema(raw.schema).parquet(f"{out_dir}/_raw/{table}")
+        raws[table] = raw
+        if bad is not None:
             # malformed records count as raw rows, so that the gap shows
             one = F.lit(1).alias("row")
             raws[table] = raw.select(one).unionAll(spark.read.schema(bad.schema).parquet(f"{out_dir}/_bad/{table}").select(one))
-        cleaned[table] = save_cleaned(CLEANERS[table](raw), table, out_dir,
-                                      database, order_buckets)
+        frame = CLEANERS[table](raw)
+        if table == "orders" and "customers" in cleaned:
+            frame = with_person(frame, cleaned["customers"])
+        cleaned[table] = save_cleaned(frame, table, out_dir, database, order_buckets)
     counts = row_count_check({t: (raws[t], cleaned[t]) for t in cleaned})
     write_table(counts.coalesce(1), f"{out_dir}/_row_counts")
     report = constraint_report(cleaned)

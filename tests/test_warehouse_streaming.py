@@ -56,6 +56,43 @@ def test_build_cleaned_layer_reports_seeded_violations(spark):
     assert reviews[0].review_comment_message == "great,\nthanks" and reviews[1].review_score is None
 
 
+def test_loaded_layer_keeps_raw_rows_and_stores_the_person_key(spark):
+    from retentia.plans.registry import run_on_roles
+    from retentia.sources.roles import CleanedRoles
+    raw = _landing({**ROWS, "geolocation": ["01001,-23.5,-46.6,sao paulo,sp"] * 3 + ["01001,-23.7,-46.8,sao paulo,sp"]})
+    out = tempfile.mkdtemp(prefix="retentia-rawlayer-")
+    build_cleaned_layer(spark, raw, out)
+    roles = CleanedRoles(spark, out)
+    assert tuple(run_on_roles("duplicate_rows", roles).first()) == (4, 2)
+    assert tuple(run_on_roles("duplicate_rows_raw", roles).first()) == (4, 2)
+    assert {r.order_id: r.customer_unique_id for r in roles.orders.collect()} == {"o1": "u1", "o2": "u1", "o3": None}
+    plan = run_on_roles("second_purchase_stats", roles)._jdf.queryExecution().optimizedPlan().toString()
+    assert "customer_unique_id" in plan and "customer_city" not in plan and plan.count("Join") == 0
+    counts = {r.table_name: r.counts_match for r in run_on_roles("raw_cleaned_counts", roles).collect()}
+    assert counts.pop("geolocation") is False and all(counts.values())
+
+
+def test_repeated_customer_id_does_not_double_orders(spark):
+    raw = _landing({**ROWS, "customers": ROWS["customers"] + ["c1,u0,01001,sao paulo,sp"]})
+    out = tempfile.mkdtemp(prefix="retentia-dupcust-")
+    report = {(r.table_name, r.constraint): r.violations for r in build_cleaned_layer(spark, raw, out).collect()}
+    assert report[("customers", "primary_key(customer_id)")] == 1
+    orders = {r.order_id: r.customer_unique_id for r in spark.read.parquet(f"{out}/orders").collect()}
+    assert orders == {"o1": "u0", "o2": "u1", "o3": None}
+
+
+def test_buckets_follow_bytes(spark):
+    from retentia.sources import roles
+    df = spark.range(1000)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert roles.bucket_count(spark, df) == least
+    kept, roles.BUCKET_BYTES = roles.BUCKET_BYTES, 100
+    try:
+        assert roles.bucket_count(spark, df) == 80  # 8000 bytes
+    finally:
+        roles.BUCKET_BYTES = kept
+
+
 def test_streaming_load_is_incremental_and_exactly_once(spark):
     landing = tempfile.mkdtemp(prefix="retentia-land-")
     out = tempfile.mkdtemp(prefix="retentia-sink-")
