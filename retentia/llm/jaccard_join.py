@@ -46,7 +46,7 @@ from retentia.llm.components import connected_components
 #: Similarity as a fraction.
 NUM, DEN = 90, 100
 SHINGLE = 3
-#: One element in SAMPLE is in the pruning sample; sets up to SAMPLE_MIN elements are not pruned by it.
+#: One element in SAMPLE is in the pruning sample of every set; sets up to SAMPLE_MIN elements are counted in it, but never pruned.
 SAMPLE, SAMPLE_MIN = 6, 64
 #: Largest set that may count as light, by the number of subsets.
 MAX_LIGHT = 29
@@ -92,7 +92,7 @@ def profile(docs: DataFrame) -> DataFrame:
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*utf8(text_array(batch)))
-        sample = [s[s % np.uint64(SAMPLE) == 0].view(np.int64) if len(s) > SAMPLE_MIN else np.empty(0, np.int64) for s in sets]
+        sample = [s[s % np.uint64(SAMPLE) == 0].view(np.int64) for s in sets]
         offsets = np.append(0, np.cumsum([len(x) for x in sample])).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [id_array(batch), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
@@ -111,7 +111,7 @@ def survivors(profiles: DataFrame) -> DataFrame:
     alone = (reps.select("node", F.explode("sample").alias("element")).groupBy("element")
              .agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1")
              .groupBy("node").agg(F.count(F.lit(1)).alias("unmatched")))
-    return (nodes.join(alone, "node", "left").where(F.coalesce("unmatched", F.lit(0)) <= can_miss_sql("n"))
+    return (nodes.join(alone, "node", "left").where((F.col("n") <= SAMPLE_MIN) | (F.coalesce("unmatched", F.lit(0)) <= can_miss_sql("n")))
             .where("rep IS NOT NULL").select("node", "rep", "n"))
 
 
