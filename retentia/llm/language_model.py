@@ -12,12 +12,13 @@ How the work is spread (the corpus is read once):
    distinct token), its documents as dictionary indexes, and its training counts.
 2. Unigram and bigram counts go to buckets by hash, one binary row per block and
    bucket, so a token that stands in every document costs one entry per block.
-   Each bucket sums its counts, answers every block with exact unigram counts, and
-   builds its own part of the filter.
-3. The parts are broadcast: at most ``FILTER_BYTES`` in all, whatever the corpus.
-   Up to that size a part has ``BITS`` bits per entry; beyond it parts become
-   denser (more false positives, never a missing n-gram).
-4. Blocks meet their exact counts again and are scored.
+   Each bucket sums its counts and builds its own part of the filter, ``BITS`` bits
+   per entry, so the false-positive rate does not depend on the corpus.
+3. A part is probed where it was built: each bucket answers every block with the
+   levels of its n-grams, those of held-out texts included, and with exact unigram
+   counts. No part is gathered or broadcast. N-grams of held-out texts only are in no
+   part; the share that reads as present is the measured false-positive rate (logged).
+4. Blocks meet their answers again and are scored.
 
 Defined results: null and empty texts are one end token; repeated rows are
 scored (and counted) each on their own; without training rows every count is 0;
@@ -26,16 +27,20 @@ an empty table gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import textarrays as ta
 from retentia.llm.common import crc_mod, id_and_text, map_blocks, materialize, read_table, shuffle_partitions, utf8
 
+log = logging.getLogger(__name__)
+
 BLOCK = 4 << 20
-FILTER_BYTES = 32 << 20
 BITS = 10
 PROBES = 4
 LEVELS = 40
@@ -98,6 +103,13 @@ def _bigram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ta.pair_hash(a, b, 2)
 
 
+def distinct_bigrams(dictionary: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and second word (dictionary indexes) and key of each distinct bigram of a block, and the bigram of each token."""
+    pairs, at = np.unique(previous(ids, sizes, int(np.searchsorted(dictionary, END))) * len(dictionary) + ids, return_inverse=True)
+    v, w = pairs // len(dictionary), pairs % len(dictionary)
+    return v, w, _bigram(dictionary[v], dictionary[w]), at
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of the keys' upper half; the lower half is independent of the bucket."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -125,25 +137,24 @@ def unigram_rows(stored: DataFrame, buckets: int) -> DataFrame:
 
 
 def bigram_rows(stored: DataFrame, buckets: int) -> DataFrame:
-    """bucket, keys (lower halves), counts: each block's bigrams in training texts."""
+    """bucket, block, start, keys (lower halves), counts: a run of each block's bigrams by key, counted in training texts."""
 
     def send(batches):
         for r in rows_of(batches):
             dictionary, sizes = np.frombuffer(r["dictionary"], np.uint64), np.frombuffer(r["sizes"], np.int64)
             ids = unpacked(r["ids"], int(sizes.sum()))
-            before = previous(ids, sizes, int(np.searchsorted(dictionary, END)))
+            _, _, keys, at = distinct_bigrams(dictionary, ids, sizes)
             train = np.repeat(np.frombuffer(r["held"], np.uint8) == 0, sizes)
-            pairs, n = np.unique(before[train] * len(dictionary) + ids[train], return_counts=True)
-            keys = _bigram(dictionary[pairs // len(dictionary)], dictionary[pairs % len(dictionary)])
+            n = np.bincount(at[train], minlength=len(keys))
             order = np.argsort(keys)
             keys, n = keys[order], n[order].astype(np.uint32)
             low, got = keys.astype(np.uint32), _cuts(keys, buckets)
-            if got:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _, _ in got], pa.int32()), pa.array([low[i:j].tobytes() for _, i, j in got], pa.binary()),
-                     pa.array([n[i:j].tobytes() for _, i, j in got], pa.binary())], names=["bucket", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _, _ in got], pa.int32()), pa.array([r["block"]] * len(got), pa.int64()), pa.array([i for _, i, _ in got], pa.int64()),
+                 pa.array([low[i:j].tobytes() for _, i, j in got], pa.binary()), pa.array([n[i:j].tobytes() for _, i, j in got], pa.binary())],
+                names=["bucket", "block", "start", "keys", "counts"])
 
-    return stored.select("sizes", "held", "ids", "dictionary").mapInArrow(send, "bucket int, keys binary, counts binary")
+    return stored.select("block", "sizes", "held", "ids", "dictionary").mapInArrow(send, "bucket int, block long, start long, keys binary, counts binary")
 
 
 def _buckets_of(batches):
@@ -168,10 +179,12 @@ def level_keys(low: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return a, ta.mix(a ^ ta.MIX[3]) | np.uint64(1)
 
 
-def filter_part(low: np.ndarray, counts: np.ndarray, limit: int) -> bytes:
-    """The filter of one bucket's n-grams (lower halves of their keys), of at most ``limit`` bytes."""
+def filter_part(low: np.ndarray, counts: np.ndarray, limit: int | None = None) -> bytes:
+    """The filter of one bucket's n-grams (lower halves of their keys), ``BITS`` bits per entry; a ``limit`` in bytes, which the operator never sets, makes it denser."""
     levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
-    size = int(min(max(64, BITS * levels.sum()), limit * 8)) // 8 * 8
+    size = int(max(64, BITS * levels.sum())) // 8 * 8
+    if limit is not None:
+        size = min(size, limit * 8)
     bits = np.zeros(size, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
         a, b = level_keys(low[levels >= level].astype(np.uint64), level)
@@ -180,42 +193,51 @@ def filter_part(low: np.ndarray, counts: np.ndarray, limit: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def unigram_answers(rows: DataFrame, buckets: int, limit: int = FILTER_BYTES // 4) -> DataFrame:
-    """Per block and run the exact corpus counts of its tokens; per bucket (block null) its distinct and all training tokens, and its filter."""
+ANSWERS = "block long, start long, totals binary, levels binary, distinct long, tokens long, absent long, misread long"
+
+
+def answered(rows: DataFrame, buckets: int, dtype: type, exact: bool) -> DataFrame:
+    """Per block and run the levels that the bucket's filter part gives its n-grams and, if ``exact``, their corpus counts.
+
+    Per bucket (block null): its distinct n-grams and all n-grams in training texts, and how many
+    n-grams stand in no training text (absent), and how many of these the filter reads as present (misread).
+    """
 
     def answer(batches):
-        for bucket, got in _buckets_of(batches):
-            keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in got])
-            n = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in got]).astype(np.int64)
-            uniq, at = np.unique(keys, return_inverse=True)
+        z = zstandard.ZstdCompressor(level=1)
+        for _, got in _buckets_of(batches):
+            uniq, at = np.unique(np.concatenate([np.frombuffer(r["keys"], dtype) for r in got]), return_inverse=True)
+            n = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in got])
             total = np.bincount(at, n, len(uniq)).astype(np.int64)
-            back = np.split(total[at], np.cumsum([len(r["counts"]) // 4 for r in got])[:-1])
-            some = total > 0
+            low, some = uniq.astype(np.uint32), total > 0
+            levels = LogFrequencyFilter({0: filter_part(low[some], total[some])}, 1).levels(low.astype(np.uint64)).astype(np.uint8)
+            cuts = np.cumsum([0, *(len(r["counts"]) // 4 for r in got)])
+            runs = [at[i:j] for i, j in zip(cuts, cuts[1:])]
+            zeros = [0] * len(got)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*(r["block"] for r in got), None], pa.int64()), pa.array([*(r["start"] for r in got), None], pa.int64()),
-                 pa.array([*(c.tobytes() for c in back), None], pa.binary()), pa.array([0] * len(got) + [int(some.sum())], pa.int64()),
-                 pa.array([0] * len(got) + [int(total.sum())], pa.int64()), pa.array([bucket] * (len(got) + 1), pa.int32()),
-                 pa.array([None] * len(got) + [filter_part(uniq[some].astype(np.uint32), total[some], limit // buckets)], pa.binary())],
-                names=["block", "start", "totals", "distinct", "tokens", "bucket", "bits"])
+                 pa.array([*(total[k].tobytes() if exact else None for k in runs), None], pa.binary()),
+                 pa.array([*(z.compress(levels[k].tobytes()) for k in runs), None], pa.binary()),
+                 *(pa.array([*zeros, int(x)], pa.int64()) for x in (some.sum(), total.sum(), (~some).sum(), (levels[~some] > 0).sum()))],
+                names=[f.split()[0] for f in ANSWERS.split(", ")])
+
+    return gathered(rows, buckets).mapInArrow(answer, ANSWERS)
 
-    return gathered(rows, buckets).mapInArrow(answer, "block long, start long, totals binary, distinct long, tokens long, bucket int, bits binary")
 
+def unigram_answers(rows: DataFrame, buckets: int) -> DataFrame:
+    return answered(rows, buckets, np.uint64, True)
 
-def bigram_filter(rows: DataFrame, buckets: int, limit: int = FILTER_BYTES // 4 * 3) -> DataFrame:
-    """bucket, bits: the filter of each bucket's bigrams."""
 
-    def build(batches):
-        for bucket, got in _buckets_of(batches):
-            low = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in got])
-            n = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in got]).astype(np.int64)
-            del got
-            order = np.argsort(low)
-            low, n = low[order], n[order]
-            first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([filter_part(low[first], np.add.reduceat(n, first), limit // buckets)], pa.binary())],
-                                             names=["bucket", "bits"])
+def bigram_answers(rows: DataFrame, buckets: int) -> DataFrame:
+    return answered(rows, buckets, np.uint32, False)
 
-    return gathered(rows, buckets).mapInArrow(build, "bucket int, bits binary")
+
+def misread_rate(answers: DataFrame, name: str) -> float | None:
+    """The measured false-positive rate of a filter, logged; None if every n-gram stands in training texts."""
+    r = answers.where("block IS NULL").agg(F.sum("absent").alias("absent"), F.sum("misread").alias("misread")).first()
+    rate = r["misread"] / r["absent"] if r["absent"] else None
+    log.info("%s filter: %s of %s absent n-grams read as present, rate %s", name, r["misread"] or 0, r["absent"] or 0, rate)
+    return rate
 
 
 class LogFrequencyFilter:
@@ -228,8 +250,8 @@ class LogFrequencyFilter:
         self.starts = np.cumsum([0, *map(len, data[:-1])]).astype(np.uint64) * np.uint64(8)
         self.bits = np.frombuffer(b"".join(data), np.uint8)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of the highest level all of whose lower levels are present; 0 if none is."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level all of whose lower levels are present; 0 if none is."""
         levels = np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
         for level in range(1, LEVELS):
@@ -244,29 +266,41 @@ class LogFrequencyFilter:
             if not len(left):
                 break
             levels[left] = level
-        return np.where(levels > 0, (3 * 2.0 ** (levels - 1) - 1) / 2, 0.0)
+        return levels
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return estimate(self.levels(keys))
+
+
+def estimate(levels: np.ndarray) -> np.ndarray:
+    """Counts as the middle of their levels; 0 at level 0."""
+    levels = levels.astype(np.int64)
+    return np.where(levels > 0, (3 * 2.0 ** (levels - 1) - 1) / 2, 0.0)
 
 
-def score_blocks(stored: DataFrame, answers: DataFrame, single: LogFrequencyFilter, both: LogFrequencyFilter, distinct: int, tokens: int) -> DataFrame:
-    sent = stored.sparkSession.sparkContext.broadcast((single, both))  # at most FILTER_BYTES
+def score_blocks(stored: DataFrame, singles: DataFrame, both: DataFrame, distinct: int, tokens: int) -> DataFrame:
     space = tokens + 0.5 * (distinct + 1)
-    back = answers.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("start", "totals")).alias("parts"))  # a block's dictionary
+    answers = singles.unionAll(both).where("block IS NOT NULL")
+    back = answers.groupBy("block").agg(F.collect_list(F.struct("start", "totals", "levels")).alias("parts"))  # a block's dictionary and bigrams
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def score(batches):
-        unigrams, bigrams = sent.value
+        z = zstandard.ZstdDecompressor()
         for r in rows_of(batches):
             dictionary, sizes = np.frombuffer(r["dictionary"], np.uint64), np.frombuffer(r["sizes"], np.int64)
             ids = unpacked(r["ids"], int(sizes.sum()))
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            exact = np.concatenate([np.frombuffer(p["totals"], np.int64) for p in sorted(r["parts"], key=lambda p: p["start"])])
+            parts = sorted(r["parts"], key=lambda p: p["start"])
+            levels = lambda found: np.frombuffer(b"".join(z.decompress(p["levels"]) for p in found), np.uint8)
+            unigrams = [p for p in parts if p["totals"] is not None]
+            exact = np.concatenate([np.frombuffer(p["totals"], np.int64) for p in unigrams])
             add = lambda x: np.bincount(doc, x, len(sizes))  # noqa: E731, B023
             base = add(np.log10((exact + 0.5) / space)[ids])
             known = add((exact > 0)[ids])
-            count = unigrams.counts(dictionary)
-            pairs, at = np.unique(previous(ids, sizes, int(np.searchsorted(dictionary, END))) * len(dictionary) + ids, return_inverse=True)
-            v, w = pairs // len(dictionary), pairs % len(dictionary)
-            together = bigrams.counts(_bigram(dictionary[v], dictionary[w]))
+            count = estimate(levels(unigrams))
+            v, w, keys, at = distinct_bigrams(dictionary, ids, sizes)
+            together = np.empty(len(keys))
+            together[np.argsort(keys)] = estimate(levels(p for p in parts if p["totals"] is None))
             p = (together + MU * (count[w] + 0.5) / space) / (np.maximum(count[v], together) + MU)
             total = add(np.log10(np.minimum(p, 1))[at])
             named = np.frombuffer(r["docs"], np.int64).reshape(2, -1)
@@ -280,13 +314,13 @@ def score_blocks(stored: DataFrame, answers: DataFrame, single: LogFrequencyFilt
 def language_scores(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     buckets = shuffle_partitions(docs.sparkSession)
     stored = materialize(blocks(docs, folds, held), "lm-blocks")
-    answers = materialize(unigram_answers(unigram_rows(stored, buckets), buckets), "lm-counts")
-    parts = answers.where("block IS NULL")
-    totals = parts.agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()
-    collected = lambda df: LogFrequencyFilter({r["bucket"]: bytes(r["bits"]) for r in df.select("bucket", "bits").collect()}, buckets)  # noqa: E731  bounded
-    single, both = collected(parts), collected(bigram_filter(bigram_rows(stored, buckets), buckets))
+    singles = materialize(unigram_answers(unigram_rows(stored, buckets), buckets), "lm-counts")
+    both = materialize(bigram_answers(bigram_rows(stored, buckets), buckets), "lm-levels")
+    totals = singles.where("block IS NULL").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()
+    for name, answers in (("unigram", singles), ("bigram", both)):
+        misread_rate(answers, name)
     distinct, tokens = totals["v"] or 0, totals["n"] or 0
-    scored = score_blocks(stored, answers, single, both, distinct, tokens)
+    scored = score_blocks(stored, singles, both, distinct, tokens)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from retentia.llm import jaccard_join
+import numpy as np
+
+from retentia.llm import jaccard_join, language_model
 from test_operators import brute_components, texts
 
 
@@ -20,3 +22,22 @@ def test_jaccard_links_across_the_sample_size(spark):
     linked = {c for i, (_, c) in want.items() if c != i}
     assert len(linked) > 10 and all(want[i][0] > jaccard_join.SAMPLE_MIN for i in linked)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()} == want
+
+
+def test_filter_grows_with_its_entries():
+    """Five million level entries in one bucket (of 200, by the old cap, it had 40 KB): absent n-grams stay absent."""
+    rng = np.random.default_rng(3)
+    low = rng.permutation(np.unique(rng.integers(0, 2**32, 1_200_000, dtype=np.uint32)))
+    held, absent = low[:1_000_000], low[1_000_000:]
+    part = language_model.filter_part(held, np.full(len(held), 16))
+    assert len(part) * 8 >= language_model.BITS * 5 * len(held)
+    assert (language_model.LogFrequencyFilter({0: part}, 1).levels(absent.astype(np.uint64)) > 0).mean() < 0.02
+
+
+def test_filter_is_measured_on_held_out_bigrams(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(rng.choices([f"w{k}" for k in range(300)], k=200))) for i in range(200)], "doc_id long, text string")
+    stored = language_model.materialize(language_model.blocks(df), "lm-blocks")
+    answers = language_model.bigram_answers(language_model.bigram_rows(stored, 4), 4)
+    rate = language_model.misread_rate(answers, "bigram")
+    assert rate is not None and rate < 0.03
