@@ -17,7 +17,8 @@ hash among its ``ANCHOR``-byte strings; equal windows have equal anchors. A
 *segment* is the run of a text's windows with one anchor. So
 
 1. equal segments are collapsed, first in each block of texts, then by anchor: of
-   each, only the earliest occurrence goes on; the others repeat it as a whole;
+   each, only the earliest occurrence goes on; the others repeat it as a whole. Both
+   steps belong to one scan: a second one may cut the texts into other blocks;
 2. among different segments of one anchor, those that share the core of a quarter
    of their windows go on: the rest can hold no repeated window;
 3. what is left is a small part of the corpus. It is dealt by anchor, and each
@@ -123,24 +124,34 @@ FIELDS = (("anchor", np.uint64), ("digest", np.uint64), ("doc", np.int64), ("sta
 
 
 def anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket and binary columns: each block's distinct segments, by anchor."""
+    """bucket and binary columns: each block's distinct segments, by anchor, and a share of the spans (doc, start, end) that repeat one of them."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         s, ids = Segments(*utf8(batch.column(1))), ids_of(batch)
         if not len(s.row):
             return None
         doc = ids[s.row]
-        kept, _ = earliest(s.anchor, s.digest, doc, s.start)
+        kept, later = earliest(s.anchor, s.digest, doc, s.start)
+        repeats = joined_repeats(s, doc, np.sort(later))
         kept = kept[np.argsort(s.anchor[kept], kind="stable")]
         values = {"anchor": s.anchor, "digest": s.digest, "doc": doc, "start": s.start, "windows": s.windows, "offset": s.offset, "cores": s.cores}
         bucket = bucket_of(s.anchor[kept], buckets)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts))
         return pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), *(pa.array([values[f][kept[cuts[k]:cuts[k + 1]]].astype(t).tobytes() for k in used], pa.binary()) for f, t in FIELDS)],
-            names=["bucket", *(f for f, _ in FIELDS)])
+            [pa.array(used, pa.int32()), *(pa.array([values[f][kept[cuts[k]:cuts[k + 1]]].astype(t).tobytes() for k in used], pa.binary()) for f, t in FIELDS),
+             pa.array([r.tobytes() for r in np.array_split(repeats, len(used))], pa.binary())],
+            names=["bucket", *(f for f, _ in FIELDS), "repeats"])
 
-    return map_blocks(docs, "bucket int, " + ", ".join(f"{f} binary" for f, _ in FIELDS), block, BLOCK)
+    return map_blocks(docs, "bucket int, " + ", ".join(f"{f} binary" for f, _ in FIELDS) + ", repeats binary", block, BLOCK)
+
+
+def joined_repeats(s: Segments, doc: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """(doc, start, end) of the runs that the segments ``later`` (in text order) cover."""
+    row, start, end = s.row[later], s.start[later], s.start[later] + s.windows[later] + LENGTH - 1
+    new = np.append(True, (row[1:] != row[:-1]) | (start[1:] > end[:-1]))[:len(later)]
+    last = np.append(new[1:], True)[:len(later)]
+    return np.stack([doc[later][new], start[new], end[last]], 1)
 
 
 FOUND = "anchor long, doc_id long, start long, windows long, skip long, wanted long, digest long"
@@ -155,10 +166,11 @@ def candidates(rows: DataFrame, buckets: int) -> DataFrame:
         doc, start = v["doc"], v["start"].astype(np.int64)
         windows, offset = v["windows"].astype(np.int64), v["offset"].astype(np.int64)
         kept, later = earliest(v["anchor"], v["digest"], doc, start)
-        none = pa.array([None] * len(later), pa.int64())
-        if len(later):
-            yield pa.RecordBatch.from_arrays([none, pa.array(doc[later]), pa.array(start[later]), pa.array(windows[later]), none, none, none],
-                                             names=[f.split()[0] for f in FOUND.split(", ")])
+        repeats = np.concatenate([np.frombuffer(r["repeats"], np.int64) for r in bucket_rows]).reshape(-1, 3)
+        whole = [np.concatenate(x) for x in ((doc[later], repeats[:, 0]), (start[later], repeats[:, 1]), (windows[later], repeats[:, 2] - repeats[:, 1] - LENGTH + 1))]
+        none = pa.array([None] * len(whole[0]), pa.int64())
+        if len(none):
+            yield pa.RecordBatch.from_arrays([none, *(pa.array(x) for x in whole), none, none, none], names=[f.split()[0] for f in FOUND.split(", ")])
         possible = np.zeros((len(kept), 4), bool)
         for q in range(4):
             on = np.flatnonzero(present(offset[kept], windows[kept], q))
@@ -302,21 +314,16 @@ def repeated_windows(segments: DataFrame, buckets: int) -> DataFrame:
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """key (doc_id, null as the smallest), z (compressed bytes), own: spans that repeat an earlier segment of the same block."""
+    """doc_id, key (doc_id, null as the smallest), z (compressed bytes)."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, offs = utf8(batch.column(1))
-        s, ids = Segments(buf, offs), ids_of(batch)
-        _, later = earliest(s.anchor, s.digest, ids[s.row], s.start)
-        later = np.sort(later)
-        spans = np.stack([s.start[later], s.start[later] + s.windows[later] + LENGTH - 1], 1)
-        cuts = np.searchsorted(s.row[later], np.arange(len(ids) + 1))
         z = zstandard.ZstdCompressor(level=1)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(ids), pa.array([z.compress(buf[a:b].tobytes()) for a, b in zip(offs, offs[1:])], pa.binary()),
-             pa.array([spans[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", "key", "z", "own"])
+            [batch.column(0), pa.array(ids_of(batch)), pa.array([z.compress(buf[a:b].tobytes()) for a, b in zip(offs, offs[1:])], pa.binary())],
+            names=["doc_id", "key", "z"])
 
-    return map_blocks(docs, "doc_id long, key long, z binary, own binary", block, BLOCK)
+    return map_blocks(docs, "doc_id long, key long, z binary", block, BLOCK)
 
 
 def wanted_segments(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -370,7 +377,7 @@ def joined_spans(spans: np.ndarray) -> np.ndarray:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id (key), start, end of repeated strings found across blocks."""
+    """doc_id (key), start, end of repeated strings."""
     buckets = shuffle_partitions(docs.sparkSession)
     found = materialize(candidates(anchor_rows(docs, buckets), buckets), "segments")
     whole = found.where("anchor IS NULL").select("doc_id", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("end"))
@@ -390,9 +397,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             found = np.stack([found["start"], found["end"]], 1)
             for i, doc_id in enumerate(b.column(0).to_pylist()):
                 text = z.decompress(b.column(1)[i].as_py())
-                own = np.frombuffer(b.column(2)[i].as_py(), np.int64).reshape(-1, 2)
-                more = found[offs[i]:offs[i + 1]]
-                gone = joined_spans(np.minimum(np.concatenate([own, more]), len(text)))
+                gone = joined_spans(np.minimum(found[offs[i]:offs[i + 1]], len(text)))
                 gone = gone[gone[:, 1] > gone[:, 0]]
                 kept = b"".join(text[a:e] for a, e in zip([0, *gone[:, 1].tolist()], [*gone[:, 0].tolist(), len(text)]))
                 rows.append((doc_id, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
@@ -401,7 +406,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
                                                  names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    both = compressed(texts).join(spans.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "z", "own", "spans")
+    both = compressed(texts).join(spans.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "z", "spans")
     return both.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -6,8 +6,8 @@ import random
 
 import numpy as np
 
-from retentia.llm import jaccard_join, language_model
-from test_operators import brute_components, texts
+from retentia.llm import jaccard_join, language_model, suffix_dedup
+from test_operators import brute_components, brute_removed, texts
 
 
 def test_jaccard_links_across_the_sample_size(spark):
@@ -41,3 +41,25 @@ def test_filter_is_measured_on_held_out_bigrams(spark):
     answers = language_model.bigram_answers(language_model.bigram_rows(stored, 4), 4)
     rate = language_model.misread_rate(answers, "bigram")
     assert rate is not None and rate < 0.03
+
+
+def test_dedup_when_later_scans_cut_other_blocks(spark, tmp_path):
+    """Copies share a block while segments are found, and are apart when the result is read."""
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefgh ", k=600))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text[50:400])], "doc_id long, text string")
+    docs.repartition(3, "doc_id").write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    want = brute_removed(texts(df))
+    conf = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert df.rdd.getNumPartitions() == 1
+        out = suffix_dedup.deduplicate(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        got = out.collect()
+    finally:
+        for k in (*conf, "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(k)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
