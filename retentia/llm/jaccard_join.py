@@ -14,8 +14,8 @@ joined, not documents.
    with the group's smallest set: one edge per member keeps all components.
 3. *Heavy sets* scan inverted lists of their necessary prefix, the
    floor(0.1 n) + 1 rarest elements by exact document frequency. First every list
-   is linked to one of its members (a star); what is verified there is contracted.
-   Then the lists are scanned for pairs across components. Parity bitmaps bound
+   is linked to one of its members (a star), row by row as the list arrives; what is
+   verified there is contracted. Then the lists are scanned for pairs across components. Parity bitmaps bound
    the difference of a pair from below, so only near matches are verified. Lists
    are cut into blocks and scanned block against block, so that no task holds more
    than two blocks.
@@ -217,11 +217,10 @@ def prefix_postings(sets: DataFrame, x: int) -> DataFrame:
     return mapped.select(F.explode("prefix").alias("element"), "node", "n", "bits")
 
 
-def near_pairs(n: np.ndarray, bits: list[np.ndarray], comp: np.ndarray, side: np.ndarray, x: int, star: bool) -> list[tuple[int, int]]:
+def near_pairs(n: np.ndarray, bits: list[np.ndarray], comp: np.ndarray, side: np.ndarray, x: int) -> list[tuple[int, int]]:
     """Index pairs of a list that may link: sizes and bitmaps allow it, one is heavy, components differ.
 
-    ``star``: only pairs with the list's first set. ``side``: pairs within side 0,
-    or between the sides where both occur.
+    ``side``: pairs within side 0, or between the sides where both occur.
     """
     order = np.lexsort((np.arange(len(n)), n))
     n, comp, side, bits = n[order], comp[order], side[order], [bits[k] for k in order]
@@ -229,7 +228,7 @@ def near_pairs(n: np.ndarray, bits: list[np.ndarray], comp: np.ndarray, side: np
     maps = {w: np.array([folded(b, w) for b in bits[int(np.searchsorted(words, w)):]]) for w in sorted(set(words))}
     two_sided = side.any()
     out = []
-    for i in range(1 if star else len(n) - 1):
+    for i in range(len(n) - 1):
         stop = np.searchsorted(n, n[i] * DEN // NUM, "right")
         j = np.arange(i + 1, stop)
         j = j[(n[j] > x) & (comp[j] != comp[i])]
@@ -266,20 +265,9 @@ def scan_lists(postings: DataFrame, x: int, star: bool) -> DataFrame:
         def done():
             if len(group) < 2:
                 return None
-            if star:
-                # near_pairs takes the smallest set first; the hub's pairs are looked for in both directions
-                hub = group[0]
-                pairs = []
-                for other in group[1:]:
-                    lo, hi = sorted((hub, other), key=lambda r: r[2])
-                    two = near_pairs(np.array([lo[2], hi[2]]), [np.frombuffer(lo[3], np.uint64), np.frombuffer(hi[3], np.uint64)],
-                                     np.array([0, 1]), np.zeros(2, int), x, True)
-                    if two:
-                        pairs.append((hub[1], other[1]))
-            else:
-                idx = near_pairs(np.array([r[2] for r in group]), [np.frombuffer(r[3], np.uint64) for r in group],
-                                 np.array([r[4] for r in group]), np.array([r[0] for r in group]), x, False)
-                pairs = [(group[i][1], group[k][1]) for i, k in idx]
+            idx = near_pairs(np.array([r[2] for r in group]), [np.frombuffer(r[3], np.uint64) for r in group],
+                             np.array([r[4] for r in group]), np.array([r[0] for r in group]), x)
+            pairs = [(group[i][1], group[k][1]) for i, k in idx]
             if not pairs:
                 return None
             return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["u", "v"])
@@ -295,7 +283,25 @@ def scan_lists(postings: DataFrame, x: int, star: bool) -> DataFrame:
         if (out := done()) is not None:
             yield out
 
-    return ordered.mapInArrow(scan, "u long, v long").distinct()
+    return ordered.mapInArrow((lambda batches: star_pairs(batches, x)) if star else scan, "u long, v long").distinct()
+
+
+def star_pairs(batches, x: int):
+    """(u, v) that may link of each list's first set and each later one; only the first set is kept while a list passes."""
+    element, hub = None, None
+    for b in batches:
+        pairs = []
+        for e, node, n, raw in zip(*(b.column(k).to_pylist() for k in (0, 4, 5, 6))):
+            if e != element:
+                element, hub = e, (node, n, raw)
+                continue
+            # near_pairs takes the smallest set first; the hub's pairs are looked for in both directions
+            lo, hi = sorted((hub, (node, n, raw)), key=lambda r: r[1])
+            if near_pairs(np.array([lo[1], hi[1]]), [np.frombuffer(lo[2], np.uint64), np.frombuffer(hi[2], np.uint64)],
+                          np.array([0, 1]), np.zeros(2, int), x):
+                pairs.append((min(hub[0], node), max(hub[0], node)))
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

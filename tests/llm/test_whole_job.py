@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from retentia.llm import jaccard_join, language_model, suffix_dedup
 from test_operators import brute_components, brute_removed, texts
@@ -63,3 +64,25 @@ def test_dedup_when_later_scans_cut_other_blocks(spark, tmp_path):
         for k in (*conf, "spark.sql.files.maxPartitionBytes"):
             spark.conf.unset(k)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
+def test_star_compares_rows_as_they_arrive():
+    """Links of a list's first rows come out before its later rows are read, so a list is never gathered."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    read = []
+
+    def batches():
+        for k in range(50):
+            read.append(k)
+            sets = [np.append(base, rng.integers(0, 2**63, 1, dtype=np.uint64)) for _ in range(20)]
+            bits = [jaccard_join.parity_bits(s, len(s)).tobytes() for s in sets]
+            nodes = list(range(20 * k, 20 * k + 20))
+            zeros = [0] * 20
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ([7] * 20, zeros, zeros, zeros, nodes, [121] * 20, bits, nodes)],
+                                             names=["element", "a", "b", "side", "node", "n", "bits", "comp"])
+
+    out = jaccard_join.star_pairs(batches(), 0)
+    pairs = list(zip(*(c.to_pylist() for c in next(out).columns)))
+    assert read == [0] and pairs == [(0, k) for k in range(1, 20)]
+    assert sum(b.num_rows for b in out) == 980
