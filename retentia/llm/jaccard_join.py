@@ -46,8 +46,8 @@ from retentia.llm.components import connected_components
 #: Similarity as a fraction.
 NUM, DEN = 90, 100
 SHINGLE = 3
-#: One element in SAMPLE is in the pruning sample of every set; sets up to SAMPLE_MIN elements are counted in it, but never pruned.
-SAMPLE, SAMPLE_MIN = 6, 64
+#: One element in SAMPLE is in the pruning sample of every set.
+SAMPLE = 6
 #: Largest set that may count as light, by the number of subsets.
 MAX_LIGHT = 29
 BLOCK = 2048
@@ -111,7 +111,7 @@ def survivors(profiles: DataFrame) -> DataFrame:
     alone = (reps.select("node", F.explode("sample").alias("element")).groupBy("element")
              .agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1")
              .groupBy("node").agg(F.count(F.lit(1)).alias("unmatched")))
-    return (nodes.join(alone, "node", "left").where((F.col("n") <= SAMPLE_MIN) | (F.coalesce("unmatched", F.lit(0)) <= can_miss_sql("n")))
+    return (nodes.join(alone, "node", "left").where(F.coalesce("unmatched", F.lit(0)) <= can_miss_sql("n"))
             .where("rep IS NOT NULL").select("node", "rep", "n"))
 
 

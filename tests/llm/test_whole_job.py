@@ -7,12 +7,13 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from retentia.llm import jaccard_join, language_model, suffix_dedup
+from retentia.llm import decontamination, jaccard_join, language_model, secrets, suffix_dedup
+from conftest import SF001
 from test_operators import brute_components, brute_removed, texts
 
 
 def test_jaccard_links_across_the_sample_size(spark):
-    """Linked pairs with one set above SAMPLE_MIN shingles and one below it."""
+    """Linked pairs with one set above 64 shingles and one below it."""
     rng = random.Random(64)
     docs = []
     for g in range(20):
@@ -21,7 +22,7 @@ def test_jaccard_links_across_the_sample_size(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute_components(texts(df))
     linked = {c for i, (_, c) in want.items() if c != i}
-    assert len(linked) > 10 and all(want[i][0] > jaccard_join.SAMPLE_MIN for i in linked)
+    assert len(linked) > 10 and all(want[i][0] > 64 for i in linked)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()} == want
 
 
