@@ -14,7 +14,8 @@ order is by rarity over all documents.
    inside it), and the window's words are compared exactly.
 
 Benchmarks are read in blocks of at most ``BLOCK_WINDOWS`` windows, so the word
-lists and the broadcast windows have a proven bound; more windows mean more passes.
+lists and the broadcast windows have a proven bound; more windows mean more passes,
+over a table of the texts whose rows are numbered once.
 
 Defined results: null and empty texts have 0 words, no hits, and the hash of the
 empty string; null or wordless items, and items without an id, have no windows;
@@ -83,12 +84,16 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tu
     wins = materialize(windows(benchmark, size).withColumn("h", F.xxhash64("w")), "windows")
     blocks = max(1, -(-wins.count() // BLOCK_WINDOWS))
     texts = id_and_text(docs).select("doc_id", words("text").alias("ws"))
+    number = F.monotonically_increasing_id()
+    if blocks > 1:
+        # another scan of the input may number its rows otherwise
+        texts, number = materialize(texts.withColumn("row", number), "texts"), F.col("row")
     rows, hits = None, None
     for k in range(blocks):
         chosen = materialize(prefix_words(texts, wins.where(F.pmod("h", F.lit(blocks)) == k)), "prefixes")
         prefix = [r["word"] for r in chosen.select("word").distinct().collect()]  # at most BLOCK_WINDOWS
         stored = materialize(contexts(texts, prefix, size).select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", F.size("ws").cast("long").alias("n_words"), "found"), "contexts")
+            number.alias("row"), "doc_id", F.size("ws").cast("long").alias("n_words"), "found"), "contexts")
         c = stored.select("row", F.explode("found").alias("f")).select("row", "f.*")
         # at most BLOCK_WINDOWS windows of WINDOW words
         met = c.join(F.broadcast(chosen), "word").where(

@@ -87,3 +87,28 @@ def test_star_compares_rows_as_they_arrive():
     pairs = list(zip(*(c.to_pylist() for c in next(out).columns)))
     assert read == [0] and pairs == [(0, k) for k in range(1, 20)]
     assert sum(b.num_rows for b in out) == 980
+
+
+def test_decontamination_numbers_rows_once(spark, tmp_path, monkeypatch):
+    """More than one block of windows, and a scan that is cut differently after the first block."""
+    items = [(k, " ".join(f"b{k}w{j}" for j in range(10))) for k in range(6)]
+    docs = spark.createDataFrame([(k, f"x y {t} z") for k, t in items], "doc_id long, text string")
+    docs.coalesce(1).write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "docs"))
+    real, conf = decontamination.materialize, {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+
+    def changing(df, tag):
+        out = real(df, tag)
+        if tag == "contexts":
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        return out
+
+    monkeypatch.setattr(decontamination, "materialize", changing)
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 1)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = decontamination.decontaminate(spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        for k in (*conf, "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(k)
+    assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got) == [(k, 10, 1, True) for k in range(6)]
