@@ -121,15 +121,19 @@ def train(docs: DataFrame) -> np.ndarray:
 
 
 def random_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of token characters that look random and meet no base span."""
+    """Runs of token characters that look random; base spans cut a run, and each piece is scored on its own."""
     out = []
     for m in RUN.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        total = float(ratio[transitions(m[0])].sum())
-        if total > MIN_TOTAL and total > MIN_MEAN * (end - start):
-            out.append((start, 3, end))
+        at = m.start()
+        cuts = [(s, e) for s, _, e in sorted(base) if s < m.end() and m.start() < e]
+        for s, e in [*cuts, (m.end(), m.end())]:
+            start, end = at, min(s, m.end())
+            at = max(at, e)
+            if not RUN.fullmatch(text, start, end):
+                continue
+            total = float(ratio[transitions(text[start:end])].sum())
+            if total > MIN_TOTAL and total > MIN_MEAN * (end - start):
+                out.append((start, 3, end))
     return out
 
 

@@ -112,3 +112,18 @@ def test_decontamination_numbers_rows_once(spark, tmp_path, monkeypatch):
         for k in (*conf, "spark.sql.files.maxPartitionBytes"):
             spark.conf.unset(k)
     assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got) == [(k, 10, 1, True) for k in range(6)]
+
+
+def test_secrets_behind_a_base_span(spark):
+    """Both parts of a run: the base span and the random string that goes on behind it."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    ratio, rng = secrets.train(docs), random.Random(8)
+    found = 0
+    for _ in range(40):
+        for head in ("AKIA" + "".join(rng.choices(secrets.CHARS[:26], k=16)) + "/", "".join(rng.choices("0123456789abcdef", k=32)) + "-"):
+            text = "x " + head + "".join(rng.choices(secrets.CHARS[:62], k=40)) + " y"
+            base = secrets.base_spans(text)
+            found += secrets.random_spans(text, ratio, base) == [(2 + len(head) - 1, 3, len(text) - 2)]
+    assert found >= 76
+    plain = "AKIA" + "A" * 16 + "/get_user_name_by_identifier"
+    assert not secrets.random_spans(plain, ratio, secrets.base_spans(plain))
