@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentia.llm import (decontamination, jaccard_join, langid, language_model, packing, quality_rules, secrets, suffix_dedup,
-                          token_counts, token_files, toxicity)
+from retentia.llm import (alignment, decontamination, jaccard_join, langid, language_model, packing, quality_rules, secrets,
+                          suffix_dedup, token_counts, token_files, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": langid.op8_language_id,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op12_alignment": alignment.op12_alignment,
         "op13_token_files": token_files.op13_token_files,
     }
 

@@ -29,12 +29,14 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import uuid
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,7 +48,7 @@ from retentia.session import checkpoint_dir
 END_ID = 1
 SEGMENT_IDS = 1 << 18
 #: White-space chunks a worker keeps before it starts anew; longer ones are not kept.
-CACHE, LONG = 400_000, 200
+CACHE, LONG = 600_000, 200
 SEGMENTS = "part int, segment int, start long, n_ids long, n_docs int, doc_ids array<long>, lengths binary, ids binary"
 
 
@@ -54,22 +56,42 @@ class WordEncoder:
     """Ids of a text, as little-endian uint32 bytes, by the tokenizers library.
 
     The vocabulary's rules drop white space and join nothing across it, so the ids
-    of a text are those of its chunks between ASCII white space. Chunks that a
-    worker has not met are encoded together, with a chunk of one zero byte between
-    them as a mark; a chunk that itself has a zero byte is encoded alone.
+    of a text are those of its chunks between ASCII white space, which are kept for
+    their next occurrence. Unseen chunks of a block go to the library together:
+
+    * chunks of plain letters, digits and marks up to ``SIMPLE`` are normalised by
+      the library's normaliser and cut by its pattern into words, which recur in
+      many chunks; unseen words are encoded in one call by the library's model, and
+      an id that ends a word ends the word's ids;
+    * all others (special strings, control characters, other scripts) are encoded
+      as they are in one call, with a chunk of one zero byte between them as a mark.
     """
 
     MARK = "\0"
+    # The vocabulary's own splitting pattern and its mark of a word's last token.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    WORD_END = "</w>"
+    #: Only characters from ``!`` up to this one are cut into words here; Unicode versions agree on them.
+    SIMPLE = "\u052f"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(self.WORD_END)]] = True
+        self.pattern = regex.compile(self.PATTERN)
+        self.simple = re.compile(rb"[!-;=-~\xc2-\xd4\x80-\xbf]*")  # no "<", which starts the special strings
         self.mark = self.whole(self.MARK)
         if len(self.mark) != 1:
             raise ValueError("the mark must be one token")
         self.known: dict[bytes, bytes] = {}
+        self.known_words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -80,29 +102,73 @@ class WordEncoder:
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = list(chunks)
-        marked = [c for c in new if b"\0" in c]
-        plain = [c for c in new if b"\0" not in c]
-        for c in marked:
-            self.known[c] = np.array(self.whole(c.decode()), "<u4").tobytes()
-        if plain:
-            ids = np.array(self.whole(f" {self.MARK} ".join(c.decode() for c in plain)), "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) != len(plain) - 1:
-                raise ValueError("a chunk without a zero byte holds the mark's token")
-            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            at = 0
-            for c, end in zip(plain, ends):
-                self.known[c] = raw[at:end]
-                at = end + 4
+        simple, others = [], []
+        for c in new:
+            (simple if self.simple.fullmatch(c) else others).append(c)
+        self.by_words(simple)
+        self.by_marks([c for c in others if b"\0" not in c])
+        for c in others:
+            if b"\0" in c:
+                self.known[c] = np.array(self.whole(c.decode()), "<u4").tobytes()
+
+    def words_of(self, normal: str) -> tuple[str, ...] | list[str]:
+        """The pattern's pieces of a normalised chunk; plain words, and those before one comma or full stop, need no search."""
+        if normal.isalpha():
+            return (normal,)
+        if normal[-1] in ",." and normal[:-1].isalpha():
+            return normal[:-1], normal[-1]
+        return self.pattern.findall(normal)
+
+    def by_words(self, chunks: list[bytes]) -> None:
+        plain = [c for c in chunks if c.isascii()]
+        rest = [c for c in chunks if not c.isascii()]
+        normal = self.library.normalizer.normalize_str(b" ".join(rest).decode()).split(" ") if rest else []
+        if len(normal) != len(rest) or not all(normal) or max(map(max, normal), default="") > self.SIMPLE:
+            self.by_marks(rest)  # white space or other characters came out
+            rest, normal = [], []
+        chunks, normal = plain + rest, [c.decode().lower() for c in plain] + normal
+        cut = [self.words_of(t) for t in normal]
+        if len(self.known_words) > CACHE:
+            self.known_words.clear()
+        new = list({w for words in cut for w in words if w not in self.known_words})
+        if new:
+            ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            if len(ends) != len(new):
+                raise ValueError("a word must end with one word-end token")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(new, ends):
+                self.known_words[w] = raw[at:end]
+                at = end
+        word = self.known_words.__getitem__
+        for c, words in zip(chunks, cut):
+            self.known[c] = word(words[0]) if len(words) == 1 else b"".join(map(word, words))
+
+    def by_marks(self, chunks: list[bytes]) -> None:
+        if not chunks:
+            return
+        ids = np.array(self.whole(f" {self.MARK} ".join(c.decode() for c in chunks)), "<u4")
+        cuts = np.flatnonzero(ids == self.mark[0])
+        if len(cuts) != len(chunks) - 1:
+            raise ValueError("a chunk without a zero byte holds the mark's token")
+        raw, at = ids.tobytes(), 0
+        for c, end in zip(chunks, [*(4 * cuts).tolist(), 4 * len(ids)]):
+            self.known[c] = raw[at:end]
+            at = end + 4
+
+    @staticmethod
+    def folded(text: bytes) -> bytes:
+        """A-Z read as a-z, as the normaliser does in the end, unless a special string or a combining mark may depend on it."""
+        return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
     def block(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text of a block."""
-        split = [t.split() for t in texts]
+        split = [self.folded(t).split() for t in texts]
         fresh: set[bytes] = set()
         for chunks in split:
             fresh.update(chunks)
         long = {c for c in fresh if len(c) > LONG}
-        self.learn(fresh - long)
+        self.learn(fresh - long if long else fresh)
         once = {c: np.array(self.whole(c.decode()), "<u4").tobytes() for c in long}
         known = {**self.known, **once}.__getitem__ if once else self.known.__getitem__
         return [b"".join(map(known, chunks)) for chunks in split]
