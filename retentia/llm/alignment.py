@@ -32,10 +32,12 @@ aligned each on their own; an empty table gives no rows. Only doc_id and text ar
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -50,13 +52,13 @@ from retentia.llm.byte_bpe import Vocabulary
 from retentia.llm.common import block_ranges, id_and_text, materialize, read_table, utf8
 
 #: Texts of one block, whose pairs are counted together.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 #: Longer texts are aligned range by range.
 CHUNK_BYTES = 1 << 16
 #: Fragments folded into one per task and round.
 FAN = 16
 #: Units a worker keeps before it starts anew; longer ones are not kept.
-CACHE, LONG = 300_000, 200
+CACHE, LONG = 400_000, 200
 
 #: A space between two other characters, the second of which is no white space: in a str, and (fewer of them) in UTF-8 bytes.
 SAFE = re.compile(r"(?<=[^ ]) (?=\S)")
@@ -126,35 +128,57 @@ def whole_text(f: Fragment) -> tuple[int, bytes]:
     return len(ends) + f.n_closed + len(last), b";".join([*ends, *([f.closed] if f.n_closed else []), *last])
 
 
-def fragment(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> tuple[Fragment, list[tuple[int, int]]]:
-    """The fragment, and the links, of tokens (id, end) that end within a range."""
-    ends_b = {end: k for k, (_, end) in enumerate(b)}
-    pieces, links, i, j = [], [], 0, 0
-    for k, (t, end) in enumerate(a):
-        m = ends_b.get(end)
-        if m is not None:
-            links.append((t, b[m][0]))
-            pieces.append(([x for x, _ in a[i:k + 1]], [x for x, _ in b[j:m + 1]]))
-            i, j = k + 1, m + 1
-    rest = [x for x, _ in a[i:]], [x for x, _ in b[j:]]
-    if not pieces:
-        return Fragment(False, rest), links
-    return Fragment(True, pieces[0], b";".join(group_text(*p) for p in pieces[1:]), len(pieces) - 1, rest), links
+def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the A and the B tokens that end together."""
+    if not len(ends_b):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+    hit = ends_b[at] == ends_a
+    return np.flatnonzero(hit), at[hit]
 
 
-class Unit(NamedTuple):
-    """The alignment of one unit; it starts and ends at a common end."""
+class Decimals:
+    """Ids as decimal digits, many at a time."""
 
-    good: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    links: bytes  # uint64 A id << 32 | B id
+    def __init__(self, size: int):
+        self.width = len(str(size - 1))
+        ids = np.arange(size)
+        self.length = np.ones(size, np.int64)
+        for k in range(1, self.width):
+            self.length += ids >= 10 ** k
+        place = np.arange(self.width + 1)
+        power = self.length[:, None] - 1 - place
+        self.digits = (ids[:, None] // 10 ** np.maximum(power, 0) % 10 + ord("0")).astype(np.uint8)
+
+    def groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The text of closed groups, each with a ``;`` behind it, and where each ends in it.
+
+        ``last_a`` and ``last_b`` are the groups' last tokens; the last group's are the last of ``a`` and ``b``.
+        """
+        if not len(last_a):
+            return np.empty(0, np.uint8), np.empty(0, np.int64)
+        number = np.arange(len(last_a))
+        place_a = np.arange(len(a)) + np.append(0, last_b[:-1] + 1)[np.repeat(number, np.diff(last_a, prepend=-1))]
+        place_b = np.arange(len(b)) + (last_a + 1)[np.repeat(number, np.diff(last_b, prepend=-1))]
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
+        length, rows = self.length[ids], self.digits[ids]
+        rows[np.arange(len(ids)), length] = mark
+        return rows[np.arange(self.width + 1) <= length[:, None]], np.cumsum(length + 1)[place_b[last_b]]
+
+
+class Tokens(NamedTuple):
+    """The tokens of neighbouring units, whose bytes all come back: ids, and byte ends counted from the first unit's start."""
+
+    a: np.ndarray
+    ends_a: np.ndarray
+    b: np.ndarray
+    ends_b: np.ndarray
 
 
 class Aligner:
-    """Both tokenizers, and the units a worker has met."""
+    """Both tokenizers, and the ids of the units a worker has met."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -162,46 +186,50 @@ class Aligner:
         vocabulary = Vocabulary(path_a)
         self.a = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a = {rank: token for token, rank in vocabulary.ranks.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("pieces that go on behind a space cannot be cut there")
+        self.bytes_a = {rank: token for token, rank in vocabulary.ranks.items()}
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[str, Unit] = {}
-
-    def tokens(self, parts: list[str]) -> Iterator[tuple[bool, list[tuple[int, int]], list[tuple[int, int]]]]:
-        """Whether the bytes of `` `` + part come back, and the (id, end) of both tokenizers, for each part."""
-        for part, b in zip(parts, self.b.encode(parts, num_threads=1)):
-            raw = (" " + part).encode()
-            a = self.a.encode_ordinary(" " + part)
-            token_a, token_b = [self.bytes_a[t] for t in a], [self.bytes_b[t] for t in b]
-            if b"".join(token_a) != raw or b"".join(token_b) != raw:
-                yield False, [], []
-                continue
-            ends = []
-            for found in (token_a, token_b):
-                at, out = 0, []
-                for t in found:
-                    at += len(t)
-                    out.append(at)
-                ends.append(out)
-            yield True, list(zip(a, ends[0])), list(zip(b, ends[1]))
-
-    def units(self, parts: list[str]) -> list[Unit]:
-        """The unit of each part (its leading space left out)."""
-        fresh = {p for p in parts if p not in self.known}
-        if len(self.known) + len(fresh) > CACHE:
+        self.length_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.length_a[list(self.bytes_a)] = [len(t) for t in self.bytes_a.values()]
+        self.length_b = np.array([len(t) for t in self.bytes_b])
+        self.decimals = Decimals(max(len(self.length_a), len(self.length_b)))
+        #: part -> ids of both as uint32 bytes, or None where the bytes do not come back
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def ids(self, part: str, b: list[int]) -> tuple[bytes, bytes] | None:
+        raw, a = (" " + part).encode(), self.a.encode_ordinary(" " + part)
+        if b"".join([self.bytes_b[t] for t in b]) != raw or b"".join([self.bytes_a[t] for t in a]) != raw:
+            return None
+        return array("I", a).tobytes(), array("I", b).tobytes()
+
+    def units(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of each part, a space before it."""
+        if len(self.known) > CACHE:
             self.known.clear()
-            fresh = set(parts)
-        new, once = list(fresh), {}
-        for part, (good, a, b) in zip(new, self.tokens(new)):
-            f, links = fragment(a, b)
-            n, text = whole_text(f)
-            unit = Unit(good, len(a), len(b), n, text, np.array([x << 32 | y for x, y in links], "<u8").tobytes())
-            (self.known if len(part) <= LONG else once)[part] = unit
-        if once:
-            return [once.get(p) or self.known[p] for p in parts]
-        return list(map(self.known.__getitem__, parts))
+        found = list(map(self.known.get, parts, repeat(0)))
+        unknown = [k for k, u in enumerate(found) if u == 0]
+        new, once = list({parts[k] for k in unknown}), {}
+        for part, b in zip(new, self.b.encode(new, num_threads=1)):
+            (self.known if len(part) <= LONG else once)[part] = self.ids(part, b)
+        for k in unknown:
+            found[k] = once[parts[k]] if parts[k] in once else self.known[parts[k]]
+        return found
+
+    def tokens(self, units: list[tuple[bytes, bytes]]) -> Tokens:
+        a, b = (np.frombuffer(b"".join([u[k] for u in units]), np.uint32).astype(np.int64) for k in (0, 1))
+        return Tokens(a, np.cumsum(self.length_a[a]), b, np.cumsum(self.length_b[b]))
+
+    def fragment(self, t: Tokens) -> tuple[Fragment, np.ndarray]:
+        """The fragment, and the linked pairs, of tokens that end within a range."""
+        i, j = common_ends(t.ends_a, t.ends_b)
+        pairs = (t.a[i] << 32 | t.b[j]).astype(np.uint64)
+        if not len(i):
+            return Fragment(False, (t.a.tolist(), t.b.tolist())), pairs
+        p, q, x, y = i[0] + 1, j[0] + 1, i[-1] + 1, j[-1] + 1
+        text, _ = self.decimals.groups(t.a[p:x], t.b[q:y], i[1:] - p, j[1:] - q)
+        return Fragment(True, (t.a[:p].tolist(), t.b[:q].tolist()), text[:-1].tobytes(), len(i) - 1, (t.a[x:].tolist(), t.b[y:].tolist())), pairs
 
 
 @functools.cache
@@ -214,15 +242,12 @@ def parts_of(text: str) -> list[str]:
     return SAFE.split(text) if AWKWARD.search(text) else text.split(" ")
 
 
-def block_row(block: int, keys: list, units: list[list[Unit]], sha: list[str] | None = None) -> pa.RecordBatch:
-    """One row of the blocks table. ``sha`` is given where the units are no whole texts."""
-    raw = [b"".join([u.links for u in us]) for us in units]
-    pairs, index, counts = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_inverse=True, return_counts=True)
-    if sha is None:
-        sha = [hashlib.sha256(b";".join([u.groups for u in us])).hexdigest() if us else "" for us in units]
-    sums = [[sum([u[k] for u in us]) for us in units] for k in (1, 2, 3)]
+def block_row(block: int, keys: list, n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray, sha: list[str], n_links: np.ndarray,
+              links: np.ndarray) -> pa.RecordBatch:
+    """One row of the blocks table; ``links`` are the pairs of all keys, one behind the other."""
+    pairs, index, counts = np.unique(links, return_inverse=True, return_counts=True)
     small = "<u2" if len(pairs) <= 1 << 16 else "<u4"
-    lists = [keys, *sums, sha, [len(r) // 8 for r in raw]]
+    lists = [keys, n_a, n_b, n_groups, sha, n_links]
     kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
     return pa.RecordBatch.from_arrays(
         [pa.array([block], pa.int64()), *(pa.array([x], pa.list_(t)) for x, t in zip(lists, kinds)),
@@ -231,23 +256,43 @@ def block_row(block: int, keys: list, units: list[list[Unit]], sha: list[str] |
         names=["block", "keys", "n_a", "n_b", "n_groups", "sha", "n_links", "links", "pairs", "counts"])
 
 
+def aligned_block(align: Aligner, block: int, keys: list, texts: list[str | None]) -> pa.RecordBatch:
+    """The blocks row of whole texts."""
+    split = [parts_of(t) if t else [] for t in texts]
+    flat = align.units(list(chain.from_iterable(split)))
+    if None in flat:  # texts with such a unit have no tokens
+        kept, at = [], 0
+        for k, parts in enumerate(split):
+            units = flat[at:at + len(parts)]
+            at += len(parts)
+            if None in units:
+                split[k] = []
+            else:
+                kept += units
+        flat = kept
+    t = align.tokens(flat)
+    i, j = common_ends(t.ends_a, t.ends_b)
+    text, ends = align.decimals.groups(t.a, t.b, i, j)
+    raw, ends = memoryview(text), np.append(0, ends)
+    # where each text stops: units, then tokens of both and groups
+    units = np.append(0, np.cumsum([len(p) for p in split]))
+    stop_a, stop_b = (np.append(0, np.cumsum([len(u[k]) // 4 for u in flat]).astype(np.int64))[units] for k in (0, 1))
+    stop_g = np.searchsorted(i, stop_a)
+    at = ends[stop_g].tolist()
+    sha = [hashlib.sha256(raw[x:y - 1]).hexdigest() if y > x else "" for x, y in zip(at, at[1:])]
+    return block_row(block, keys, np.diff(stop_a), np.diff(stop_b), np.diff(stop_g), sha, np.diff(stop_g), (t.a[i] << 32 | t.b[j]).astype(np.uint64))
+
+
 def short_blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """The blocks table of texts that are aligned in one piece; keys are doc_ids."""
 
     def run(batches):
+        gc.disable()  # the units are many and hold no cycles
         align, number = aligner(*paths), TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offs = utf8(batch.column(1))
             for i, j in block_ranges(offs, BLOCK_BYTES):
-                texts = batch.column(1).slice(i, j - i).to_pylist()
-                split = [parts_of(t) if t else [] for t in texts]
-                flat = align.units(list(chain.from_iterable(split)))
-                units, at = [], 0
-                for parts in split:
-                    us = flat[at:at + len(parts)]
-                    units.append(us if all([u.good for u in us]) else [])
-                    at += len(parts)
-                yield block_row(number, batch.column(0).slice(i, j - i).to_pylist(), units)
+                yield aligned_block(align, number, *(c.slice(i, j - i).to_pylist() for c in batch.columns))
                 number += 1
 
     return docs.mapInArrow(run, BLOCKS)
@@ -284,27 +329,17 @@ def ranges(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "row long, k long, low long, high long, begin long, context binary")
 
 
-def range_fragment(align: Aligner, low: int, high: int, begin: int, context: bytes) -> tuple[bool, Fragment, list[Unit]]:
-    """Whether all bytes come back, the fragment, and units that carry the range's token and link counts."""
-    text = context.decode()[1:]  # a context starts with the space of its first part
-    parts = parts_of(text)
-    units = align.units(parts)
-    fragments: list[Fragment] = [START] if low == 0 else []
-    counted: list[Unit] = []
-    at = begin
-    for part, unit in zip(parts, units):
-        stop = at + 1 + len(part.encode())
-        if at >= low and stop <= high:
-            fragments.append(Fragment(True, ([], []), unit.groups, unit.n_groups))
-            counted.append(unit)
-        elif stop > low and at < high:  # only some of the unit's tokens end in the range
-            _, a, b = next(align.tokens([part]))
-            a, b = ([(t, at + e) for t, e in x if low < at + e <= high] for x in (a, b))
-            f, links = fragment(a, b)
-            fragments += [START, f] if at >= low else [f]  # a unit starts at a common end
-            counted.append(Unit(unit.good, len(a), len(b), 0, b"", np.array([x << 32 | y for x, y in links], "<u8").tobytes()))
-        at = stop
-    return all(u.good for u in units), fold(fragments), counted
+def range_fragment(align: Aligner, low: int, high: int, begin: int, context: bytes) -> tuple[bool, Fragment, Tokens, np.ndarray]:
+    """Whether all bytes of the context come back; the fragment, the tokens and the linked pairs of those that end in low .. high."""
+    units = align.units(parts_of(context.decode()[1:]))  # a context starts with the space of its first part
+    if None in units:
+        none = np.empty(0, np.int64)
+        return False, EMPTY, Tokens(none, none, none, none), none.astype(np.uint64)
+    t = align.tokens(units)
+    (a, b), (c, d) = (np.searchsorted(e + begin, [low, high], "right") for e in (t.ends_a, t.ends_b))
+    t = Tokens(t.a[a:b], t.ends_a[a:b], t.b[c:d], t.ends_b[c:d])
+    f, pairs = align.fragment(t)
+    return True, f if low else compose(START, f), t, pairs
 
 
 def _fragment_arrays(fragments: list[Fragment]) -> list[pa.Array]:
@@ -327,12 +362,14 @@ def range_blocks(found: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """row, k, good, the fragment, and a blocks row (a block of its own) of each byte range."""
 
     def run(batches):
+        gc.disable()
         align, number = aligner(*paths), TaskContext.get().partitionId() << 32 | 1 << 62  # not a block of short texts
         for batch in batches:
             for i in range(batch.num_rows):
                 row, k, low, high, begin, context = (c[i].as_py() for c in batch.columns)
-                good, f, units = range_fragment(align, low, high, begin, context)
-                block = block_row(number, [row], [units], [""])
+                good, f, t, pairs = range_fragment(align, low, high, begin, context)
+                one = [np.array([len(x)]) for x in (t.a, t.b, pairs)]
+                block = block_row(number, [row], *one[:2], np.zeros(1, np.int64), [""], one[2], pairs)
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int64()), pa.array([good], pa.bool_()),
                                                   *_fragment_arrays([f]), *block.columns],
                                                  names=["row", "k", "good", *FRAGMENT_NAMES, *block.schema.names])

@@ -105,7 +105,7 @@ def test_any_cut_gives_the_same_groups():
     align, rng = alignment.aligner(A, B), random.Random(2)
     for text in [t for t in AWKWARD if t and "▁" not in t] + [" ".join(AWKWARD[3:12])]:
         raw = (" " + text).encode()
-        good, whole, _ = alignment.range_fragment(align, 0, len(raw), 0, raw)
+        good, whole, _, _ = alignment.range_fragment(align, 0, len(raw), 0, raw)
         assert good
         for _ in range(4):
             size = rng.randint(1, max(2, len(raw) // 2))
@@ -117,7 +117,8 @@ def test_any_cut_gives_the_same_groups():
                 k = rng.randrange(len(fragments) - 1)
                 fragments[k:k + 2] = [alignment.compose(fragments[k], fragments[k + 1])]
             assert alignment.whole_text(fragments[0]) == alignment.whole_text(whole)
-            assert sum(len(u.links) for p in parts for u in p[2]) == 8 * alignment.whole_text(whole)[0]
+            assert b"".join(t.tobytes() for p in parts for t in p[2][:1]) == alignment.range_fragment(align, 0, len(raw), 0, raw)[2].a.tobytes()
+            assert sum(len(p[3]) for p in parts) == alignment.whole_text(whole)[0]
             assert alignment.whole_text(alignment.fold(p[1] for p in parts)) == alignment.whole_text(whole)
     assert alignment.compose(alignment.EMPTY, whole) == whole == alignment.compose(whole, alignment.EMPTY)
 
