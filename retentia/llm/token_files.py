@@ -28,10 +28,12 @@ empty table gives files without segments. Only doc_id and text are read.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import uuid
 import zlib
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -48,7 +50,9 @@ from retentia.session import checkpoint_dir
 END_ID = 1
 SEGMENT_IDS = 1 << 18
 #: White-space chunks a worker keeps before it starts anew; longer ones are not kept.
-CACHE, LONG = 600_000, 200
+CACHE, LONG = 500_000, 200
+#: Marks that the pattern cuts off a word or number before them.
+ENDS = (b",", b".")
 SEGMENTS = "part int, segment int, start long, n_ids long, n_docs int, doc_ids array<long>, lengths binary, ids binary"
 
 
@@ -64,7 +68,8 @@ class WordEncoder:
       many chunks; unseen words are encoded in one call by the library's model, and
       an id that ends a word ends the word's ids;
     * all others (special strings, control characters, other scripts) are encoded
-      as they are in one call, with a chunk of one zero byte between them as a mark.
+      as they are in one call, with a chunk of one zero byte between them as a mark,
+      and chunks that hold a zero byte themselves one by one.
     """
 
     MARK = "\0"
@@ -91,58 +96,71 @@ class WordEncoder:
         if len(self.mark) != 1:
             raise ValueError("the mark must be one token")
         self.known: dict[bytes, bytes] = {}
-        self.known_words: dict[str, bytes] = {}
+        self.known_words: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Make all ``chunks`` known."""
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(chunks)
-        simple, others = [], []
-        for c in new:
-            (simple if self.simple.fullmatch(c) else others).append(c)
-        self.by_words(simple)
-        self.by_marks([c for c in others if b"\0" not in c])
-        for c in others:
-            if b"\0" in c:
-                self.known[c] = np.array(self.whole(c.decode()), "<u4").tobytes()
-
-    def words_of(self, normal: str) -> tuple[str, ...] | list[str]:
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Make unknown ``chunks`` known; the ids of those that are not kept are returned."""
+        known, simple = self.known, self.simple.fullmatch
+        plain, rest, others, once, ended = [], [], [], {}, []
+        for c in chunks:
+            if len(c) > LONG or b"\0" in c:
+                once[c] = np.array(self.whole(c.decode()), "<u4").tobytes()
+                continue
+            if c[-1:] in ENDS and c[-2:-1].isalnum():  # a word or number, and one mark behind it
+                ended.append(c)
+                c = c[:-1]
+                if c in known:
+                    continue
+            if c.isalpha():
+                plain.append(c)
+            else:
+                (rest if simple(c) else others).append(c)
+        if ended:
+            rest += [e for e in ENDS if e not in known]
+        self.by_words(plain, rest)
+        self.by_marks(others)
+        for c in ended:
+            known[c] = known[c[:-1]] + known[c[-1:]]
+        return once
+
+    def words_of(self, normal: str) -> list[str]:
         """The pattern's pieces of a normalised chunk; plain words, and those before one comma or full stop, need no search."""
         if normal.isalpha():
-            return (normal,)
+            return [normal]
         if normal[-1] in ",." and normal[:-1].isalpha():
-            return normal[:-1], normal[-1]
+            return [normal[:-1], normal[-1]]
         return self.pattern.findall(normal)
 
-    def by_words(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if c.isascii()]
-        rest = [c for c in chunks if not c.isascii()]
+    def by_words(self, plain: list[bytes], rest: list[bytes]) -> None:
+        """Chunks of ASCII letters alone, and other simple ones, from the words they consist of."""
         normal = self.library.normalizer.normalize_str(b" ".join(rest).decode()).split(" ") if rest else []
         if len(normal) != len(rest) or not all(normal) or max(map(max, normal), default="") > self.SIMPLE:
             self.by_marks(rest)  # white space or other characters came out
             rest, normal = [], []
-        chunks, normal = plain + rest, [c.decode().lower() for c in plain] + normal
-        cut = [self.words_of(t) for t in normal]
-        if len(self.known_words) > CACHE:
-            self.known_words.clear()
-        new = list({w for words in cut for w in words if w not in self.known_words})
-        if new:
-            ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        cut = [[w.encode() for w in self.words_of(t)] for t in normal]
+        lower = [c.lower() for c in plain]
+        known, words = self.known, self.known_words
+        if len(words) > CACHE:
+            words.clear()
+        need = {w for w in lower if w not in words}
+        need.update(w for ws in cut for w in ws if w not in words)
+        if need:
+            new = list(need)
+            ids = np.array(self.words.encode_batch_fast([b" ".join(new).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
             if len(ends) != len(new):
                 raise ValueError("a word must end with one word-end token")
             raw, at = ids.tobytes(), 0
             for w, end in zip(new, ends):
-                self.known_words[w] = raw[at:end]
+                words[w] = raw[at:end]
                 at = end
-        word = self.known_words.__getitem__
-        for c, words in zip(chunks, cut):
-            self.known[c] = word(words[0]) if len(words) == 1 else b"".join(map(word, words))
+        for c, w in zip(plain, lower):
+            known[c] = words[w]
+        for c, ws in zip(rest, cut):
+            known[c] = b"".join([words[w] for w in ws])
 
     def by_marks(self, chunks: list[bytes]) -> None:
         if not chunks:
@@ -163,15 +181,18 @@ class WordEncoder:
 
     def block(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text of a block."""
+        if len(self.known) > CACHE:
+            self.known.clear()
         split = [self.folded(t).split() for t in texts]
-        fresh: set[bytes] = set()
-        for chunks in split:
-            fresh.update(chunks)
-        long = {c for c in fresh if len(c) > LONG}
-        self.learn(fresh - long if long else fresh)
-        once = {c: np.array(self.whole(c.decode()), "<u4").tobytes() for c in long}
-        known = {**self.known, **once}.__getitem__ if once else self.known.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
+        flat = list(chain.from_iterable(split))
+        ids = list(map(self.known.get, flat))
+        unknown = [k for k, x in enumerate(ids) if x is None]
+        once = self.learn({flat[k] for k in unknown})
+        for k in unknown:
+            c = flat[k]
+            ids[k] = once[c] if c in once else self.known[c]
+        ends = accumulate(map(len, split))
+        return [b"".join(ids[end - len(chunks):end]) for chunks, end in zip(split, ends)]
 
 
 @functools.cache
@@ -184,6 +205,7 @@ def _segments(path: str, end_id: int, segment_ids: int):
 
     def run(batches):
         encode, part, end = encoder(path), TaskContext.get().partitionId(), np.uint32(end_id).astype("<u4").tobytes()
+        gc.disable()  # the caches are large and hold no cycles
         number, start = 0, 0
         doc_ids: list = []
         held: list[bytes] = []
