@@ -91,13 +91,14 @@ def test_blocks_of_items_and_clashing_columns(spark):
 
 
 def test_bounds_hold_and_prune():
-    """No document beats its ancestors' bounds, and where terms go together a search bounds less than half of the nodes."""
+    """No document beats its ancestors' bounds, and where documents have topics a search bounds less than half of the nodes."""
     rng = np.random.default_rng(13)
     n, v = 3000, 400
-    probability = np.minimum(0.9, 2 / np.arange(1, v + 1) ** 0.8)
     topic, topics = rng.integers(0, 30, n), np.arange(v) % 30
-    has = rng.random((n, v)) < np.where((topics == topic[:, None]) | (np.arange(v) < 10), probability, probability / 40)
+    has = rng.random((n, v)) < np.where(topics == topic[:, None], 0.5, np.where(np.arange(v) < 3, 0.9, 0.001))
     has[:, 0] |= ~has.any(1)
+    by = np.argsort(-has.sum(0), kind="stable")  # descending document frequency
+    has, topics = has[:, by], topics[by]
     tf = rng.integers(1, 6, (n, v))
     lengths, m = has.sum(1), rng.integers(75, 200, n)
     ids = rng.permutation(n).astype(np.int64)
@@ -105,8 +106,8 @@ def test_bounds_hold_and_prune():
     assert sorted(tree.ids.tolist()) == list(range(n)) and tree.single.sum() == n
     seen = 0
     for q in range(20):
-        terms_ = np.flatnonzero((topics == q) | (np.arange(v) < 4))
-        weights = np.maximum(1, (1000 * np.log(1 / probability[terms_])).astype(np.int64))
+        terms_ = np.flatnonzero((topics == q) | (np.arange(v) < 3))
+        weights = np.maximum(1, (1000 * np.log(n / has[:, terms_].sum(0))).astype(np.int64))
         scores = (np.where(has, 10**9 * tf // (1000 * tf + 12 * m[:, None]), 0)[:, terms_] * weights).sum(1)
         bounds = tree.bounds(0, len(tree.low), terms_, weights)
         inner = np.flatnonzero(tree.parent >= 0)
