@@ -1,6 +1,6 @@
 """Command line: load extracts, list and run the named queries.
 
-    python -m retentia load RAW_DIR CLEANED_DIR [--strict] [--database DB --order-buckets N]
+    python -m retentia load RAW_DIR CLEANED_DIR [--strict] [--versioned] [--database DB --order-buckets N]
     python -m retentia list
     python -m retentia run KEY (--sf-dir DIR | --cleaned-dir DIR [--database DB]) [--out PATH] [--show N]
 
@@ -34,6 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     ld.add_argument("--strict", action="store_true")
     ld.add_argument("--database", help="also register the tables in this catalog database")
     ld.add_argument("--order-buckets", type=int, help="bucket the order-keyed tables by order_id")
+    ld.add_argument("--versioned", action="store_true", help="write a new version of CLEANED_DIR, seen when it is complete")
     sub.add_parser("list", help="names of the registered queries")
     rn = sub.add_parser("run", help="run one registered query")
     rn.add_argument("key")
@@ -51,9 +52,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = _session()
     if args.cmd == "load":
-        from retentia.sources.warehouse import build_cleaned_layer
-        report = build_cleaned_layer(spark, args.raw_dir, args.cleaned_dir, strict=args.strict,
-                                     database=args.database, order_buckets=args.order_buckets)
+        from retentia.sources.warehouse import build_cleaned_layer, publish_cleaned_layer
+        load = publish_cleaned_layer if args.versioned else build_cleaned_layer
+        report = load(spark, args.raw_dir, args.cleaned_dir, strict=args.strict,
+                      database=args.database, order_buckets=args.order_buckets)
         report.where("violations > 0").show(200, truncate=False)
         return 0
     from retentia.sources.roles import CleanedRoles, roles_for

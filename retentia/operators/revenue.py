@@ -10,6 +10,7 @@ from retentia.operators.common import (
     PERSON, delivered, grand_total, item_totals, payment_totals, person_orders, top_k,
 )
 from retentia.operators.ntile import global_row_number
+from retentia.operators.ordering import ordered_pages
 
 # Label of untranslated categories, Pareto labels and threshold (%).
 UNKNOWN_CATEGORY = "Unknown"
@@ -130,6 +131,24 @@ def multi_order_customers(o: DataFrame, c: DataFrame, limit: int = 10,
                     F.transform("__s", lambda s: s["order_id"]).alias("order_ids")))
 
 
+def multi_order_pages(o: DataFrame, c: DataFrame, limit: int = 10, status: str = "delivered",
+                      page_size: int = 1000) -> DataFrame:
+    """Persons with more than one order: counts and ``order_ids`` in purchase order, as ARRAY_AGG gives them.
+
+    A person with more than ``page_size`` orders has several rows, page 0 first, so no
+    array grows without bound; the top ``limit`` persons are chosen from per-person counts.
+    """
+    po = person_orders(o, c, status)
+    counts = (po.groupBy(PERSON).agg(F.count(F.lit(1)).alias("total_orders"),
+                                      F.countDistinct("customer_id").alias("unique_customer_ids"))
+              .where(F.col("total_orders") > 1))
+    chosen = top_k(counts, limit, F.col("total_orders").desc(), F.col(PERSON).asc())
+    rows = po.join(chosen.select(PERSON), PERSON, "left_semi")
+    pages = ordered_pages(rows, [PERSON], "order_purchase_timestamp", "order_id", page_size)
+    return pages.join(chosen, PERSON).select(
+        PERSON, "total_orders", "unique_customer_ids", "page", F.col("values").alias("order_ids"))
+
+
 def executive_summary(o: DataFrame, c: DataFrame, p: DataFrame,
                       status: str = "delivered") -> DataFrame:
     """Core KPIs: orders, persons, revenue, AOV (revenue / orders), orders per person, period.

@@ -6,6 +6,7 @@ and runs one library operator with the parameters used for the test data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,13 @@ from retentia.operators import quality as dq
 from retentia.operators import revenue as rv
 from retentia.operators import rfm
 from retentia.operators import rootcause as rc
+from retentia.operators.keys import KeyAudit
+from retentia.session import checkpoint_dir
 from retentia.sources import warehouse as wh
+from retentia.sources.csvsplit import bad_records, parsed_records, read_multiline
+from retentia.sources.ingest import read_raw
 from retentia.sources.roles import Roles, roles_for
-from retentia.sources.schemas import FOREIGN_KEYS
+from retentia.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS
 
 # Order looked up by the point-lookup style queries (present at every scale factor).
 LOOKUP_ORDER_ID = 7
@@ -84,6 +89,12 @@ def _b8(r: Roles):
     return rv.multi_order_customers(r.orders, r.customers, limit=10)
 
 
+@register("multi_order_customers_array")
+def _b8_array(r: Roles):
+    out = rv.multi_order_pages(r.orders, r.customers, limit=10)
+    return out.withColumn("order_ids", F.array_join(F.col("order_ids").cast("array<string>"), ","))
+
+
 @register("executive_summary")
 def _b9(r: Roles):
     return rv.executive_summary(r.orders, r.customers, r.order_payments)
@@ -428,9 +439,47 @@ def _ckc_raw(r: Roles):
 
 @register("orphan_audit_raw")
 def _orphans_raw(r: Roles):
-    t = _loaded(r)
-    return dq.orphan_audit([(f"{child}.{ckey}", t[child], ckey, t[parent], pkey)
-                            for child, ckey, parent, pkey in FOREIGN_KEYS])
+    return KeyAudit(_loaded(r), {}, FOREIGN_KEYS).orphans()
+
+
+@register("key_audit_raw")
+def _keys_raw(r: Roles):
+    return KeyAudit(_loaded(r), PRIMARY_KEYS, []).keys()
+
+
+# ------------------------------------------------------ extracts written and loaded
+def _extract(r: Roles, *frames: DataFrame) -> str:
+    """A folder of CSV files with headers, in the shared checkpoint folder."""
+    path = f"{checkpoint_dir(r.spark).rstrip('/')}/extract-{uuid.uuid4().hex}"
+    for df in frames:
+        df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@register("load_order_items_csv")
+def _load_items(r: Roles):
+    return cl.clean_order_items(read_raw(r.spark, "order_items", _extract(r, r.raw_table("order_items"))))
+
+
+@register("load_order_reviews_csv")
+def _load_reviews(r: Roles):
+    # messages of three lines, with quotes and separators
+    raw = r.raw_table("order_reviews").withColumn("review_comment_message", F.expr(
+        "review_comment_message || '\\n\"quoted\", part ' || review_id || '\\nend'"))
+    loaded = cl.clean_order_reviews(read_multiline(r.spark, "order_reviews", _extract(r, raw)))
+    return loaded.select("order_id", "review_id", "review_score", "review_comment_message")
+
+
+@register("bad_records_csv")
+def _bad_records(r: Roles):
+    # some records have a field too many, some one too few
+    raw = r.raw_table("order_items")
+    number = F.trim("order_id").cast("long")
+    wrong = number % 13 == 5
+    few = raw.where(wrong & (number % 2 == 0)).drop(raw.columns[-1])
+    path = _extract(r, raw.where(~wrong), raw.where(wrong & (number % 2 == 1)).withColumn("more", F.lit("x")), few)
+    found = bad_records(parsed_records(r.spark, "order_items", path))
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
 
 
 @register("customers_multi_orders_txn_raw")

@@ -27,8 +27,9 @@ def read_raw(spark: SparkSession, table: str, path: str, multiline: bool = False
     ``on_bad``: ``'fail'`` raises on a malformed line, ``'drop'`` skips it,
     ``'quarantine'`` returns ``(good, bad)`` where ``bad`` holds the original
     text of each malformed line in ``_corrupt_record``. ``multiline=True``
-    allows quoted fields spanning lines (a multi-line file is read by one task,
-    so split big inputs into many files); a CRLF inside quotes comes back as LF.
+    allows quoted fields spanning lines; such a file is read by one task
+    (``csvsplit.read_multiline`` reads it in many), and a CRLF inside quotes comes
+    back as LF. An empty field is NULL, quoted or not.
     """
     if on_bad not in _MODES:
         raise ValueError(f"on_bad must be one of {sorted(_MODES)}")

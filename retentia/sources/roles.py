@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retentia.sources.rawtext import RAW_TEXT, raw_text
+from retentia.sources.versions import VersionedFolder
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
@@ -294,7 +295,7 @@ class CleanedRoles(Roles):
     _FOLDERS = {"category_translation": "product_category_name_translation"}
 
     def __init__(self, spark: SparkSession, cleaned_dir: str, database: str | None = None):
-        super().__init__(spark, cleaned_dir)
+        super().__init__(spark, VersionedFolder(spark, cleaned_dir).current() or cleaned_dir)
         for name in ROLE_TABLES:
             folder = self._FOLDERS.get(name, name)
             if name == "geolocation_raw":

@@ -10,17 +10,16 @@ was; ``strict=True`` fails the load on any violation.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.operators.clean import CLEANERS
-from retentia.operators.quality import (
-    check_constraints, foreign_key_violations, primary_key_violations, row_count_check,
-)
+from retentia.operators.keys import KeyAudit, column_checks
+from retentia.operators.quality import row_count_check
+from retentia.sources.csvsplit import read_multiline
 from retentia.sources.ingest import read_raw, write_table
 from retentia.sources.schemas import CONSTRAINTS, FOREIGN_KEYS, PRIMARY_KEYS
+from retentia.sources.versions import VersionedFolder
 
 # Default file of each extract inside ``raw_dir``: ``<table>.csv`` (pass ``files`` to map others).
 DEFAULT_FILES = {t: f"{t}.csv" for t in CLEANERS}
@@ -33,26 +32,9 @@ def ensure_namespace(spark: SparkSession, name: str) -> None:
 
 
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, constraint, violations) for every declared constraint of the given tables."""
-    frames = []
-    for name, df in tables.items():
-        spec = CONSTRAINTS.get(name)
-        if spec:
-            frames.append(check_constraints(df, table=name, **spec))
-        keys = PRIMARY_KEYS.get(name)
-        if keys:
-            n = primary_key_violations(df, keys).agg(F.count(F.lit(1)).alias("violations"))
-            frames.append(n.select(F.lit(name).alias("table_name"),
-                                   F.lit(f"primary_key({','.join(keys)})").alias("constraint"),
-                                   "violations"))
-    for child, ckey, parent, pkey in FOREIGN_KEYS:
-        if child in tables and parent in tables:
-            n = foreign_key_violations(tables[child], ckey, tables[parent], pkey) \
-                .agg(F.count(F.lit(1)).alias("violations"))
-            frames.append(n.select(F.lit(child).alias("table_name"),
-                                   F.lit(f"foreign_key({ckey}->{parent}.{pkey})").alias("constraint"),
-                                   "violations"))
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """(table_name, constraint, violations) for every declared constraint of the given tables, in one shuffle."""
+    checks = {t: column_checks(**spec) for t, spec in CONSTRAINTS.items()}
+    return KeyAudit(tables, PRIMARY_KEYS, FOREIGN_KEYS, checks).report()
 
 
 # Tables keyed by order_id: bucketed together so their joins and per-order aggregates are co-located.
@@ -92,6 +74,14 @@ def with_person(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return orders.join(person, "customer_id", "left").select(*orders.columns, "customer_unique_id")
 
 
+def publish_cleaned_layer(spark: SparkSession, raw_dir: str, root: str, **options) -> DataFrame:
+    """``build_cleaned_layer`` into a new version of ``root``, which readers see when all of it is written.
+
+    A load that stops midway leaves the version before it in place; ``CleanedRoles`` reads the newest one.
+    """
+    return VersionedFolder(spark, root).publish(lambda folder: build_cleaned_layer(spark, raw_dir, folder, **options))
+
+
 def build_cleaned_layer(spark: SparkSession, raw_dir: str, out_dir: str,
                         files: dict[str, str] | None = None, on_bad: str = "fail",
                         strict: bool = False, database: str | None = None,
@@ -114,7 +104,8 @@ def build_cleaned_layer(spark: SparkSession, raw_dir: str, out_dir: str,
     # customers first: the orders store their person key
     for table, fname in sorted(files.items(), key=lambda item: item[0] == "orders"):
         path = f"{raw_dir.rstrip('/')}/{fname}"
-        raw = read_raw(spark, table, path, multiline=table in MULTILINE, on_bad=on_bad)
+        read = read_multiline if table in MULTILINE else read_raw  # the former reads one file in many tasks
+        raw = read(spark, table, path, on_bad=on_bad)
         bad = None
         if on_bad == "quarantine":
             raw, bad = raw
