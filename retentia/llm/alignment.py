@@ -32,7 +32,6 @@ aligned each on their own; an empty table gives no rows. Only doc_id and text ar
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import re
 from array import array
@@ -49,16 +48,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm.byte_bpe import Vocabulary
-from retentia.llm.common import block_ranges, id_and_text, materialize, read_table, utf8
+from retentia.llm.common import block_ranges, id_and_text, materialize, read_table, uncollected, utf8
 
 #: Texts of one block, whose pairs are counted together.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 #: Longer texts are aligned range by range.
 CHUNK_BYTES = 1 << 16
 #: Fragments folded into one per task and round.
 FAN = 16
 #: Units a worker keeps before it starts anew; longer ones are not kept.
-CACHE, LONG = 400_000, 200
+CACHE, LONG = 200_000, 200
 
 #: A space between two other characters, the second of which is no white space: in a str, and (fewer of them) in UTF-8 bytes.
 SAFE = re.compile(r"(?<=[^ ]) (?=\S)")
@@ -287,13 +286,13 @@ def short_blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """The blocks table of texts that are aligned in one piece; keys are doc_ids."""
 
     def run(batches):
-        gc.disable()  # the units are many and hold no cycles
         align, number = aligner(*paths), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            _, offs = utf8(batch.column(1))
-            for i, j in block_ranges(offs, BLOCK_BYTES):
-                yield aligned_block(align, number, *(c.slice(i, j - i).to_pylist() for c in batch.columns))
-                number += 1
+        with uncollected(align.known.clear):
+            for batch in batches:
+                _, offs = utf8(batch.column(1))
+                for i, j in block_ranges(offs, BLOCK_BYTES):
+                    yield aligned_block(align, number, *(c.slice(i, j - i).to_pylist() for c in batch.columns))
+                    number += 1
 
     return docs.mapInArrow(run, BLOCKS)
 
@@ -362,18 +361,18 @@ def range_blocks(found: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """row, k, good, the fragment, and a blocks row (a block of its own) of each byte range."""
 
     def run(batches):
-        gc.disable()
         align, number = aligner(*paths), TaskContext.get().partitionId() << 32 | 1 << 62  # not a block of short texts
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row, k, low, high, begin, context = (c[i].as_py() for c in batch.columns)
-                good, f, t, pairs = range_fragment(align, low, high, begin, context)
-                one = [np.array([len(x)]) for x in (t.a, t.b, pairs)]
-                block = block_row(number, [row], *one[:2], np.zeros(1, np.int64), [""], one[2], pairs)
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int64()), pa.array([good], pa.bool_()),
-                                                  *_fragment_arrays([f]), *block.columns],
-                                                 names=["row", "k", "good", *FRAGMENT_NAMES, *block.schema.names])
-                number += 1
+        with uncollected(align.known.clear):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row, k, low, high, begin, context = (c[i].as_py() for c in batch.columns)
+                    good, f, t, pairs = range_fragment(align, low, high, begin, context)
+                    one = [np.array([len(x)]) for x in (t.a, t.b, pairs)]
+                    block = block_row(number, [row], *one[:2], np.zeros(1, np.int64), [""], one[2], pairs)
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int64()), pa.array([good], pa.bool_()),
+                                                      *_fragment_arrays([f]), *block.columns],
+                                                     names=["row", "k", "good", *FRAGMENT_NAMES, *block.schema.names])
+                    number += 1
 
     return found.mapInArrow(run, f"row long, k long, good boolean, {FRAGMENT}, {BLOCKS}")
 

@@ -11,8 +11,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,20 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
+def hashed_share(share: Column | float) -> Column:
+    """True for this share of the rows (of ``doc_id`` and ``text``), however small: alike rows are in or out together."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(1 << 62)) < share * F.lit(float(1 << 62))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator reads, so extra or clashing columns cannot interfere."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
@@ -94,3 +110,19 @@ def id_array(batch: pa.RecordBatch) -> pa.Array:
 
 def text_array(batch: pa.RecordBatch) -> pa.Array:
     return batch.column(batch.schema.get_field_index("text"))
+
+
+@contextmanager
+def uncollected(clear: Callable[[], None]) -> Iterator[None]:
+    """For a task with large caches that hold no cycles: no garbage collection while it runs, and ``clear`` when it ends.
+
+    A reused worker then starts its next task with the collector on and without the caches.
+    """
+    gc.disable()
+    try:
+        yield
+    finally:
+        clear()
+        gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
