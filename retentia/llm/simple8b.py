@@ -35,14 +35,15 @@ def _choices(narrow: np.ndarray) -> np.ndarray:
     class among the next c values comes from two overlapping windows of the count before c.
     """
     keep = narrow.shape[1] - int(COUNT.max())
-    chosen = np.zeros((len(narrow), keep), np.int8)
+    # where many values fit few bits, fewer values fit more: the feasible selectors are the last ones
+    feasible = np.zeros((len(narrow), keep), np.int8)
     widest, held = narrow, 1
     for s in range(len(COUNT) - 1, 0, -1):
         step = int(COUNT[s]) - held
         if step:
             widest, held = np.maximum(widest[:, :-step], widest[:, step:]), int(COUNT[s])
-        chosen[widest[:, :keep] < s] = s
-    return chosen
+        feasible += widest[:, :keep] < s
+    return np.where(feasible, len(COUNT) - feasible, ESCAPE)
 
 
 def _classes(values: np.ndarray) -> np.ndarray:

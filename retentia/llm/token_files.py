@@ -28,7 +28,6 @@ empty table gives files without segments. Only doc_id and text are read.
 from __future__ import annotations
 
 import functools
-import gc
 import os
 import re
 import uuid
@@ -44,13 +43,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retentia.llm import simple8b
-from retentia.llm.common import BLOCK_BYTES, block_ranges, id_and_text, read_table, utf8
+from retentia.llm.common import BLOCK_BYTES, block_ranges, id_and_text, read_table, uncollected, utf8
 from retentia.session import checkpoint_dir
 
 END_ID = 1
 SEGMENT_IDS = 1 << 18
 #: White-space chunks a worker keeps before it starts anew; longer ones are not kept.
-CACHE, LONG = 500_000, 200
+CACHE, LONG = 800_000, 200
 #: Marks that the pattern cuts off a word or number before them.
 ENDS = (b",", b".")
 SEGMENTS = "part int, segment int, start long, n_ids long, n_docs int, doc_ids array<long>, lengths binary, ids binary"
@@ -98,6 +97,12 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.known_words: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Between tasks, caches that are more than half full start anew."""
+        if len(self.known) + len(self.known_words) > CACHE:
+            self.known.clear()
+            self.known_words.clear()
+
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -205,7 +210,6 @@ def _segments(path: str, end_id: int, segment_ids: int):
 
     def run(batches):
         encode, part, end = encoder(path), TaskContext.get().partitionId(), np.uint32(end_id).astype("<u4").tobytes()
-        gc.disable()  # the caches are large and hold no cycles
         number, start = 0, 0
         doc_ids: list = []
         held: list[bytes] = []
@@ -224,18 +228,19 @@ def _segments(path: str, end_id: int, segment_ids: int):
             doc_ids, held, n = [], [], 0
             return out
 
-        for batch in batches:
-            column = batch.column(1)
-            _, offs = utf8(column)
-            for i, j in block_ranges(offs, BLOCK_BYTES):
-                rows = batch.column(0).slice(i, j - i).to_pylist()
-                for doc_id, ids in zip(rows, encode.block([(t or "").encode() for t in column.slice(i, j - i).to_pylist()])):
-                    if held and n + len(ids) // 4 + 1 > segment_ids:
-                        yield done()
-                    doc_ids.append(doc_id), held.append(ids + end)
-                    n += len(ids) // 4 + 1
-        if held:
-            yield done()
+        with uncollected(encode.forget):
+            for batch in batches:
+                column = batch.column(1).cast(pa.binary()).fill_null(b"")
+                _, offs = utf8(column)
+                for i, j in block_ranges(offs, BLOCK_BYTES):
+                    rows = batch.column(0).slice(i, j - i).to_pylist()
+                    for doc_id, ids in zip(rows, encode.block(column.slice(i, j - i).to_pylist())):
+                        if held and n + len(ids) // 4 + 1 > segment_ids:
+                            yield done()
+                        doc_ids.append(doc_id), held.append(ids + end)
+                        n += len(ids) // 4 + 1
+            if held:
+                yield done()
 
     return run
 
