@@ -1,38 +1,45 @@
 """Operator 7: n-gram Jaccard self-join, size-aware (light and heavy sets).
 
-A document is the set of its distinct 3-word shingles; two link when
-100 * |A & B| >= 90 * |A | B|. Copies share one set, so sets (*nodes*) are
-joined, not documents.
+A document is the set of its distinct shingles (``Rule``: words per shingle, and the
+similarity as a fraction); two link when den * |A & B| >= num * |A | B|. Copies share
+one set, so sets (*nodes*) are joined, not documents.
 
-1. *Pruning.* A set may lack at most n - ceil(0.9 n) elements of any partner's.
+1. *Pruning.* A set may lack at most n - ceil(num n / den) elements of any partner's.
    Elements that no other set holds can be counted on a hash sample of the
    elements, kept alike in all sets: a set with more unmatched sampled elements
    than that has no partner. Only the rest is joined.
 2. *Light sets* (n <= boundary) enumerate all subsets of the fixed sizes
-   ceil(0.9 n) .. n. The intersection of a linked pair is such a subset of both.
+   ceil(num n / den) .. n. The intersection of a linked pair is such a subset of both.
    Within a subset's group a pair links by sizes alone, and if it does, both link
    with the group's smallest set: one edge per member keeps all components.
-3. *Heavy sets* scan inverted lists of their necessary prefix, the
-   floor(0.1 n) + 1 rarest elements by exact document frequency. First every list
-   is linked to one of its members (a star), row by row as the list arrives; what is
-   verified there is contracted. Then the lists are scanned for pairs across components. Parity bitmaps bound
-   the difference of a pair from below, so only near matches are verified. Lists
-   are cut into blocks and scanned block against block, so that no task holds more
-   than two blocks.
-4. The boundary is the one that minimises subsets plus prefix postings, weighted
-   by the list length, over the histogram of set sizes.
+3. *Heavy sets* scan inverted lists of their necessary prefix, their first elements
+   in one order of all elements. Any one order is right; rare elements first keeps the
+   lists short, and how rare an element is is read from a table of ``CELLS`` counters,
+   so that no set's other elements are ever shuffled.
+   a. *Stars.* Each list names one of its sets its hub (by hash, so that lists of the
+      same sets agree), and every other set of the list is compared with it: by size,
+      by parity bitmaps, which bound the difference from below, and exactly. What links
+      is contracted; a second round takes other hubs.
+   b. *Scan.* Lists whose sets still lie in several components are compared pair by
+      pair. A task gets two blocks of a list at a time with their elements, verifies
+      exactly, and returns only links between sets that its own links have not
+      connected yet: fewer rows than sets, however many of them link.
+4. The boundary is the one that minimises subsets plus prefix postings over the
+   histogram of set sizes.
 
 Links inside a component need not all be listed: the result carries components.
 
 Defined results: null, empty and blank texts have an empty set, size 0, and are
-their own component; fewer than three words are one shingle; copies and repeated
-rows share a component; rows with a null doc_id have a null component unless
-copies give them one. Only doc_id and text are read; an empty table gives no rows.
+their own component; fewer words than a shingle are one shingle; copies and repeated
+rows share a component; rows with a null doc_id link like others, and their component
+is the smallest doc_id it reaches (null if it reaches none). Only doc_id and text are
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +50,40 @@ from retentia.llm import textarrays as ta
 from retentia.llm.common import id_and_text, id_array, map_blocks, materialize, read_table, text_array, utf8
 from retentia.llm.components import connected_components
 
-#: Similarity as a fraction.
-NUM, DEN = 90, 100
-SHINGLE = 3
+
+class Rule(NamedTuple):
+    """Words per shingle, and the least similarity num / den of a link."""
+
+    shingle: int = 3
+    num: int = 90
+    den: int = 100
+
+    def can_miss(self, n):
+        """Elements of an n-set that may be missing from a partner."""
+        return n - (self.num * n + self.den - 1) // self.den
+
+    def can_miss_sql(self, n: str):
+        return F.expr(f"{n} - ((({self.num} * {n}) + {self.den - 1}) div {self.den})")
+
+    def most_apart(self, both):
+        """Largest symmetric difference of a linked pair with ``both`` elements in its two sets together."""
+        return both - 2 * -(-self.num * both // (self.num + self.den))
+
+
+RULE = Rule()
 #: One element in SAMPLE is in the pruning sample of every set.
 SAMPLE = 6
 #: Largest set that may count as light, by the number of subsets.
 MAX_LIGHT = 29
-BLOCK = 2048
+#: Counters of the table of element frequencies.
+CELLS = 1 << 20
+#: Elements of one block of a list that is scanned.
+BLOCK_ELEMENTS = 400_000
+STARS = 2
 BITS = (64, 4096)
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, shingle: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text (A-Z read as a-z)."""
     starts, ends, first = ta.word_spans(buf, offs)
     words = ta.span_hashes(buf, starts, ends, ta.LOWER_VALUE)
@@ -82,71 +111,66 @@ def digest(s: np.ndarray) -> int:
     return int(ta.pair_hash(np.array([total]), np.array([len(s)], np.uint64))[0].astype(np.int64))
 
 
-def can_miss(n):
-    """Elements of an n-set that may be missing from a partner."""
-    return n - (NUM * n + DEN - 1) // DEN
-
-
-def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node and the sampled elements of each text."""
+def profile(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, content (a hash of the text), n, node and the sampled elements of each text."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(*utf8(text_array(batch)))
+        sets = shingle_sets(*utf8(text_array(batch)), rule.shingle)
         sample = [s[s % np.uint64(SAMPLE) == 0].view(np.int64) for s in sets]
         offsets = np.append(0, np.cumsum([len(x) for x in sample])).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [id_array(batch), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
+            [id_array(batch), batch.column(batch.schema.get_field_index("content")), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([digest(s) for s in sets], pa.int64()),
              pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*sample, np.empty(0, np.int64)]), pa.int64()))],
-            names=["doc_id", "n", "node", "sample"])
+            names=["doc_id", "content", "n", "node", "sample"])
 
-    return map_blocks(id_and_text(docs), "doc_id long, n long, node long, sample array<long>", block)
+    return map_blocks(id_and_text(docs, F.xxhash64(F.col("text").cast("string")).alias("content")),
+                      "doc_id long, content long, n long, node long, sample array<long>", block)
 
 
-def survivors(profiles: DataFrame) -> DataFrame:
-    """node, n and a document (rep) of each set that may have a partner."""
-    nodes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    # copies bring the same elements: each node's come from its representative
-    reps = profiles.where("n > 0").select("node", F.col("doc_id").alias("rep"), "sample").join(
-        nodes.select("node", "rep"), ["node", "rep"]).dropDuplicates(["node"])
-    alone = (reps.select("node", F.explode("sample").alias("element")).groupBy("element")
+def survivors(profiles: DataFrame, rule: Rule) -> DataFrame:
+    """node, n and the rep (doc_id, content) of each set that may have a partner."""
+    nodes = profiles.where("n > 0").groupBy("node").agg(
+        F.min(F.struct("doc_id", "content")).alias("rep"), F.max("n").alias("n"), F.first("sample").alias("sample"))  # copies agree
+    alone = (nodes.select("node", F.explode("sample").alias("element")).groupBy("element")
              .agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1")
              .groupBy("node").agg(F.count(F.lit(1)).alias("unmatched")))
-    return (nodes.join(alone, "node", "left").where(F.coalesce("unmatched", F.lit(0)) <= can_miss_sql("n"))
-            .where("rep IS NOT NULL").select("node", "rep", "n"))
+    return (nodes.select("node", "rep", "n").join(alone, "node", "left")
+            .where(F.coalesce("unmatched", F.lit(0)) <= rule.can_miss_sql("n")).select("node", "rep", "n"))
 
 
-def can_miss_sql(n: str):
-    return F.expr(f"{n} - ((({NUM} * {n}) + {DEN - 1}) div {DEN})")
-
-
-def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """node, n and elements (sorted, as bytes) of the chosen nodes."""
-    texts = id_and_text(docs).join(chosen.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("node", "text")
+def sets_of(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
+    """node, n, elements (sorted, as bytes) and bits (parity bitmap) of the chosen nodes."""
+    texts = id_and_text(docs).withColumn("content", F.xxhash64("text")).alias("t")
+    reps = chosen.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.content").alias("rep_content"))
+    mine = texts.join(reps, F.col("t.doc_id").eqNullSafe(F.col("rep_id")) & (F.col("t.content") == F.col("rep_content"))).select("node", "text")
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(*utf8(text_array(batch)))
-        keep = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets) if digest(s) == node]  # not another text of that id
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()),
-                                           pa.array([s.tobytes() for _, s in keep], pa.binary())], names=["node", "n", "elements"])
+        sets = shingle_sets(*utf8(text_array(batch)), rule.shingle)
+        keep = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets) if digest(s) == node]  # not another text of that hash
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()),
+             pa.array([s.tobytes() for _, s in keep], pa.binary()), pa.array([parity_bits(s, len(s)).tobytes() for _, s in keep], pa.binary())],
+            names=["node", "n", "elements", "bits"])
 
-    return map_blocks(texts, "node long, n long, elements binary", block).dropDuplicates(["node"])
+    return map_blocks(mine, "node long, n long, elements binary, bits binary", block).dropDuplicates(["node"])
 
 
-def subsets(n: int) -> int:
-    return sum(math.comb(n, k) for k in range(can_miss(n) + 1))
+def subsets(n: int, rule: Rule = RULE) -> int:
+    return sum(math.comb(n, k) for k in range(rule.can_miss(n) + 1))
 
 
-def boundary(sizes: dict[int, int], list_length: float) -> int:
-    """Largest light size: subsets enumerated up to it, plus prefix postings times the list length beyond it, are fewest."""
+def boundary(sizes: dict[int, int], rule: Rule = RULE) -> int:
+    """Largest light size: subsets enumerated up to it, plus prefix postings (each compared with a hub) beyond it, are fewest."""
     costs = {}
     for x in range(0, MAX_LIGHT + 1):
-        light = sum(c * subsets(n) for n, c in sizes.items() if n <= x)
-        heavy = sum(c * (can_miss(n) + 1) for n, c in sizes.items() if n > 0.9 * x) * list_length
+        light = sum(c * subsets(n, rule) for n, c in sizes.items() if n <= x)
+        heavy = sum(c * (rule.can_miss(n) + 1) for n, c in sizes.items() if n * rule.den > rule.num * x) * 2
         costs[x] = light + heavy
     return min(costs, key=lambda x: (costs[x], x))
 
 
-def light_edges(sets: DataFrame, x: int) -> DataFrame:
+def light_edges(sets: DataFrame, x: int, rule: Rule) -> DataFrame:
     """Edges among sets of at most x elements, by common subsets of a fixed size."""
 
     def enumerate_subsets(batches):
@@ -157,7 +181,7 @@ def light_edges(sets: DataFrame, x: int) -> DataFrame:
             for node, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 hashed = ta.mix(np.frombuffer(raw, np.uint64) * ta.MIX[0] + ta.MIX[1])
                 total = hashed.sum()
-                for k in range(can_miss(n) + 1):
+                for k in range(rule.can_miss(n) + 1):
                     for out in combinations(range(n), k):
                         h = total - hashed[list(out)].sum() if k else total
                         keys.append(int(ta.pair_hash(np.array([h]), np.array([n - k], np.uint64))[0].astype(np.int64)))
@@ -165,11 +189,10 @@ def light_edges(sets: DataFrame, x: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, nodes, sizes, lengths)], names=["key", "node", "n", "c"])
 
     rows = sets.where(F.col("n") <= x).select("node", "n", "elements").mapInArrow(enumerate_subsets, "key long, node long, n long, c long")
-    smallest = rows.groupBy("key").agg(F.min("n").alias("n0"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # one of the smallest members is the hub of the group
-    hub = rows.join(smallest, "key").where("n = n0").groupBy("key").agg(F.min("node").alias("hub"), F.min("n0").alias("n0"))
-    return (rows.join(hub, "key").where(F.col("node") != F.col("hub"))
-            .where(f"{DEN} * c >= {NUM} * (n + n0 - c)").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
+    hub = rows.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return (rows.join(hub, "key").where(F.col("node") != F.col("hub.node"))
+            .where(f"{rule.den} * c >= {rule.num} * (n + hub.n - c)").select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct())
 
 
 def parity_bits(s: np.ndarray, n: int) -> np.ndarray:
@@ -186,161 +209,181 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def prefix_postings(sets: DataFrame, x: int) -> DataFrame:
-    """element, node, n, bits: the necessary prefix of every set that can meet a heavy one, without unmatched elements."""
-    heavy = sets.where(F.col("n") * DEN >= NUM * x)
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many elements of all sets fall into each of ``CELLS`` cells: an upper estimate of an element's frequency."""
 
-    def explode(batches):
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
         for b in batches:
-            n, raw = b.column(1).to_numpy(), b.column(2).to_pylist()
-            for i, j in ((k, k + 64) for k in range(0, len(n), 64)):
-                flat = np.frombuffer(b"".join(raw[i:j]), np.int64)
-                if len(flat):
-                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(b.column(0).to_numpy()[i:j], n[i:j]))], names=["element", "node"])
-
-    elements = heavy.select("node", "n", "elements").mapInArrow(explode, "element long, node long")
-    common = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    found = (elements.join(common, "element").groupBy("node")
-             .agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("ranked")))  # at most the elements of one set
-    # elements of no other set come first in the order of rarity and match nothing
-    left = can_miss_sql("n") + 1 - (F.col("n") - F.size("ranked"))
-    chosen = (found.join(heavy, "node").where(left > 0)
-              .select("node", "n", "elements", F.slice("ranked", F.lit(1), left.cast("int")).alias("prefix")))
+            for raw in b.column(0).to_pylist():
+                total[np.frombuffer(raw, np.uint64) % np.uint64(CELLS)] += 1  # a set's elements seldom share a cell
+        cells = np.flatnonzero(total)
+        if len(cells):
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
+
+    found = sets.select("elements").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(CELLS, np.int64)
+    table = found.toArrow()  # at most CELLS rows
+    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
+def prefix_postings(sets: DataFrame, x: int, rule: Rule) -> DataFrame:
+    """element, node, n: the necessary prefix of every set that can meet a heavy one."""
+    table = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # CELLS counters, whatever the table's size
 
     def post(batches):
         for b in batches:
-            bits = [parity_bits(np.frombuffer(r, np.uint64), n).tobytes() for r, n in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary()), b.column(3)], names=["node", "n", "bits", "prefix"])
+            elements, nodes, sizes = [], [], []
+            for node, n, raw in zip(*(b.column(k).to_pylist() for k in range(3))):
+                s = np.frombuffer(raw, np.uint64)
+                rank = table.value[s % np.uint64(CELLS)]
+                elements.append(s[np.lexsort((s, rank))[:rule.can_miss(n) + 1]].view(np.int64))
+                nodes.append(node), sizes.append(n)
+            if nodes:
+                counts = [len(e) for e in elements]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(elements)), pa.array(np.repeat(np.array(nodes, np.int64), counts)),
+                                                  pa.array(np.repeat(np.array(sizes, np.int64), counts))], names=["element", "node", "n"])
+
+    heavy = sets.where(F.col("n") * rule.den >= F.lit(rule.num) * x).select("node", "n", "elements")
+    return heavy.mapInArrow(post, "element long, node long, n long")
+
+
+def open_lists(postings: DataFrame, seed: int) -> DataFrame:
+    """element, hub, blocks of the lists whose sets lie in several components."""
+    lists = postings.groupBy("element").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum("n").alias("elements"),
+        F.min(F.struct(F.xxhash64("node", F.lit(seed)), F.col("node").alias("node"), F.col("n").alias("n"), F.col("comp").alias("comp"))).alias("hub"))
+    return lists.where("c0 != c1").select("element", "hub", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+
+
+def star_candidates(postings: DataFrame, x: int, seed: int, rule: Rule) -> DataFrame:
+    """Distinct (u, v), each list's hub and another set of the list, whose sizes allow a link."""
+    both = postings.join(open_lists(postings, seed).select("element", "hub"), "element")
+    low, high = F.least("n", "hub.n"), F.greatest("n", "hub.n")
+    some = both.where((F.col("comp") != F.col("hub.comp")) & (high > x) & (low * rule.den >= high * rule.num))
+    return some.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+
+
+def close_enough(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose bitmaps do not rule a link out."""
+    s = sets.select("node", "n", "bits")
+    both = (pairs.join(s.withColumnsRenamed({"node": "u", "n": "nu", "bits": "bu"}), "u")
+            .join(s.withColumnsRenamed({"node": "v", "n": "nv", "bits": "bv"}), "v").select("u", "v", "nu", "nv", "bu", "bv"))
+
+    def check(batches):
+        for b in batches:
+            keep = []
+            for n, m, p, q in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                w = min(len(p), len(q))
+                keep.append(int(np.bitwise_count(folded(p, w) ^ folded(q, w)).sum()) <= rule.most_apart(n + m))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, "u long, v long")
+
+
+def linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
+    merged = np.sort(np.concatenate([x, y]))
+    common = int((merged[1:] == merged[:-1]).sum())
+    return rule.den * common >= rule.num * (len(x) + len(y) - common)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose exact similarity reaches the threshold."""
+    s = sets.select("node", "elements")
+    both = (pairs.join(s.withColumnsRenamed({"node": "u", "elements": "x"}), "u")
+            .join(s.withColumnsRenamed({"node": "v", "elements": "y"}), "v").select("u", "v", "x", "y"))
+
+    def check(batches):
+        for b in batches:
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), rule)
+                    for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    mapped = chosen.select("node", "n", "elements", F.transform("prefix", lambda p: p["element"]).alias("prefix")).mapInArrow(
-        post, "node long, n long, bits binary, prefix array<long>")
-    return mapped.select(F.explode("prefix").alias("element"), "node", "n", "bits")
+    return both.mapInArrow(check, "u long, v long")
 
 
-def near_pairs(n: np.ndarray, bits: list[np.ndarray], comp: np.ndarray, side: np.ndarray, x: int) -> list[tuple[int, int]]:
-    """Index pairs of a list that may link: sizes and bitmaps allow it, one is heavy, components differ.
+def block_links(nodes: list[int], comps: list[int], sides: list[int], raw: list[bytes], x: int, rule: Rule) -> list[tuple[int, int]]:
+    """Links among the sets of two blocks (or within one) that connect components, each component pair once.
 
-    ``side``: pairs within side 0, or between the sides where both occur.
+    ``sides``: pairs within side 0, or between the sides where both occur.
     """
-    order = np.lexsort((np.arange(len(n)), n))
-    n, comp, side, bits = n[order], comp[order], side[order], [bits[k] for k in order]
-    words = np.array([len(b) for b in bits])
-    maps = {w: np.array([folded(b, w) for b in bits[int(np.searchsorted(words, w)):]]) for w in sorted(set(words))}
-    two_sided = side.any()
-    out = []
+    sets = [np.frombuffer(r, np.uint64) for r in raw]
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    n = np.array([len(sets[k]) for k in order])
+    comp, side = np.array([comps[k] for k in order]), np.array([sides[k] for k in order])
+    bits = np.array([parity_bits(sets[k], BITS[1]) for k in order])
+    two, out = side.any(), []
     for i in range(len(n) - 1):
-        stop = np.searchsorted(n, n[i] * DEN // NUM, "right")
-        j = np.arange(i + 1, stop)
+        j = np.arange(i + 1, np.searchsorted(n, n[i] * rule.den // rule.num, "right"))
         j = j[(n[j] > x) & (comp[j] != comp[i])]
-        if two_sided:
+        if two:
             j = j[side[j] != side[i]]
         if not len(j):
             continue
-        skip = len(n) - len(maps[words[i]])
-        distance = np.bitwise_count(maps[words[i]][j - skip] ^ maps[words[i]][i - skip]).sum(1)
-        both = n[j] + n[i]
-        most = both - 2 * -(-NUM * both // (NUM + DEN))
-        out += [(int(order[i]), int(order[k])) for k in j[distance <= most]]
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
+        for k in j[apart <= rule.most_apart(n[j] + n[i])].tolist():
+            if comp[k] != comp[i] and linked(sets[order[i]], sets[order[k]], rule):
+                out.append((nodes[order[i]], nodes[order[k]]))
+                comp[comp == comp[k]] = comp[i]
     return out
 
 
-def scan_lists(postings: DataFrame, x: int, star: bool) -> DataFrame:
-    """Distinct (u, v) that may link, from lists of (element, node, n, bits, comp)."""
-    cols = ["element", "a", "b", "side", "node", "n", "bits", "comp"]
-    if star:
-        cut = postings.withColumns({"a": F.lit(0), "b": F.lit(0), "side": F.lit(0)})
-    else:
-        # lists whose sets lie in one component are done; long lists are cut into blocks
-        lists = postings.groupBy("element").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
-        cut = postings.join(lists.select("element", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "element")
-        cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cut = cut.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    # a list's first set is its hub: by hash, so that lists of the same sets have one hub
-    ordered = cut.select(*cols).repartition("element", "a", "b").sortWithinPartitions("element", "a", "b", F.xxhash64("node"))
+def scan_lists(postings: DataFrame, sets: DataFrame, x: int, rule: Rule) -> DataFrame:
+    """Links between components, from the lists whose sets lie in several, block against block."""
+    cut = postings.join(open_lists(postings, 0).select("element", "blocks"), "element")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("element", "node", "comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+                     (F.col("own") > F.col("other")).cast("int").alias("side"))
+    whole = cut.join(sets.select("node", "elements"), "node").select("element", "a", "b", "side", "node", "comp", "elements")
+    ordered = whole.repartition("element", "a", "b").sortWithinPartitions("element", "a", "b")
 
     def scan(batches):
         key, group = None, []
 
         def done():
-            if len(group) < 2:
-                return None
-            idx = near_pairs(np.array([r[2] for r in group]), [np.frombuffer(r[3], np.uint64) for r in group],
-                             np.array([r[4] for r in group]), np.array([r[0] for r in group]), x)
-            pairs = [(group[i][1], group[k][1]) for i, k in idx]
-            if not pairs:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["u", "v"])
+            side, node, comp, raw = zip(*group)
+            pairs = block_links(node, comp, side, raw, x, rule) if len(group) > 1 else []
+            return [pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())],
+                                               names=["u", "v"])] if pairs else []
 
         for b in batches:
-            columns = [b.column(k).to_pylist() for k in range(8)]
-            for e, a, o, s, node, n, raw, comp in zip(*columns):
-                if (e, a, o) != key:
-                    if (out := done()) is not None:
-                        yield out
-                    key, group = (e, a, o), []
-                group.append((s, node, n, raw, comp))
-        if (out := done()) is not None:
-            yield out
-
-    return ordered.mapInArrow((lambda batches: star_pairs(batches, x)) if star else scan, "u long, v long").distinct()
-
-
-def star_pairs(batches, x: int):
-    """(u, v) that may link of each list's first set and each later one; only the first set is kept while a list passes."""
-    element, hub = None, None
-    for b in batches:
-        pairs = []
-        for e, node, n, raw in zip(*(b.column(k).to_pylist() for k in (0, 4, 5, 6))):
-            if e != element:
-                element, hub = e, (node, n, raw)
-                continue
-            # near_pairs takes the smallest set first; the hub's pairs are looked for in both directions
-            lo, hi = sorted((hub, (node, n, raw)), key=lambda r: r[1])
-            if near_pairs(np.array([lo[1], hi[1]]), [np.frombuffer(lo[2], np.uint64), np.frombuffer(hi[2], np.uint64)],
-                          np.array([0, 1]), np.zeros(2, int), x):
-                pairs.append((min(hub[0], node), max(hub[0], node)))
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold."""
-    s = sets.select("node", "elements")
-    both = (pairs.join(s.withColumnsRenamed({"node": "u", "elements": "x"}), "u")
-            .join(s.withColumnsRenamed({"node": "v", "elements": "y"}), "v").select("u", "v", "x", "y"))
-
-    def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                merged = np.sort(np.concatenate([x, y]))
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(DEN * common >= NUM * (len(x) + len(y) - common))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for e, p, q, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (e, p, q) != key:
+                    if group:
+                        yield from done()
+                    key, group = (e, p, q), []
+                group.append(row)
+        if group:
+            yield from done()
 
-    return both.mapInArrow(check, "u long, v long")
+    return ordered.mapInArrow(scan, "u long, v long")
 
 
-def links(sets: DataFrame) -> DataFrame:
+def links(sets: DataFrame, rule: Rule) -> DataFrame:
     """Enough verified edges (u, v) between nodes to connect all that links connect."""
     sizes = {r["n"]: r["c"] for r in sets.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    x = boundary(sizes, 2.0)
-    postings = materialize(prefix_postings(sets, x), "postings")
-    alone = postings.withColumn("comp", F.col("node"))
-    first = materialize(light_edges(sets, x).unionAll(verified(scan_lists(alone, x, True), sets)), "links")
-    comps = connected_components(first)
-    joined = postings.join(comps, "node", "left").select("element", "node", "n", "bits", F.coalesce("component", "node").alias("comp"))
-    second = verified(scan_lists(joined, x, False), sets)
-    return materialize(first.unionAll(second), "links")
+    x = boundary(sizes, rule)
+    postings = materialize(prefix_postings(sets, x, rule), "postings")
+    found = materialize(light_edges(sets, x, rule), "links")
+
+    def with_components() -> DataFrame:
+        comps = connected_components(found)
+        return postings.join(comps, "node", "left").select("element", "node", "n", F.coalesce("component", "node").alias("comp"))
+
+    for seed in range(STARS):
+        candidates = star_candidates(with_components(), x, seed, rule)
+        found = materialize(found.unionAll(verified(close_enough(candidates, sets, rule), sets, rule)), "links")
+    return materialize(found.unionAll(scan_lists(with_components(), sets, x, rule)), "links")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
-    profiles = materialize(profile(docs), "profiles")
-    sets = materialize(sets_of(docs, survivors(profiles)), "sets")
-    comps = connected_components(links(sets))
+    profiles = materialize(profile(docs, rule), "profiles")
+    sets = materialize(sets_of(docs, survivors(profiles, rule), rule), "sets")
+    comps = connected_components(links(sets, rule))
     nodes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id")).join(comps, "node", "left")
     nodes = nodes.select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))

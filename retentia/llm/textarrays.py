@@ -81,11 +81,15 @@ def row_of(first: np.ndarray, n: int) -> np.ndarray:
 
 
 def ngram_hashes(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-word windows that stay in their row (n = 3 or a power of two), and their start words."""
+    """Hashes of all n-word windows that stay in their row, and their start words."""
     if len(h) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     if n == 3:
         g = pair_hash(pair_hash(h[:-2], h[1:-1]), h[2:], 3)
+    elif n & n - 1:  # word by word
+        g = h[:len(h) - n + 1]
+        for k in range(1, n):
+            g = pair_hash(g, h[k:len(h) - n + 1 + k], 64 + k)
     else:
         g, k = h, 1
         while k < n:
