@@ -13,36 +13,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import decontamination, jaccard_join, langid, packing, secrets
-from retentia.llm.common import materialize, read_table
+from retentia.llm.common import materialize, read_table, unused
 
 #: A document is rejected if no language reaches this share of its positions.
 MIN_LANGUAGE_SCORE = 0.3
+#: Near copies: five-word shingles, and four fifths of them in common.
+NEAR = jaccard_join.Rule(shingle=5, num=80, den=100)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; null texts and texts without letters go."""
-    seen = langid.labelled(docs, langid.train(docs), "__")
-    return seen.where((F.col("__lang_pred") != langid.UND) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    prefix = "seen_"
+    while any(unused(docs, f"{prefix}{c}") != f"{prefix}{c}" for c in ("letters", "lang_pred", "score")):
+        prefix = f"_{prefix}"
+    seen = langid.labelled(docs, langid.train(docs), prefix)
+    return seen.where((F.col(f"{prefix}lang_pred") != langid.UND) & (F.col(f"{prefix}score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents.
+    """One document of each group of linked documents: that with the smallest id, rows without an id last.
 
-    Rows that repeat a doc_id are one document; rows without one cannot be told
-    apart from their group by id, and stay.
+    Rows are numbered once and told apart by that number, so rows that share a doc_id, or
+    have none, are documents of their own; of equal ids in a group the first row stays.
     """
-    groups = jaccard_join.jaccard_components(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionAll(docs.where("doc_id IS NULL"))
+    row = unused(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    keys = numbered.select(F.col(row).alias("number"), F.col("doc_id").cast("long").alias("id"))
+    groups = jaccard_join.jaccard_components(numbered.select(F.col(row).alias("doc_id"), "text"), NEAR)
+    named = groups.select(F.col("doc_id").alias("number"), "component_id").join(keys, "number")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first"))
+    first = kept.select(F.col("first.number").alias(row))
+    return numbered.join(first, row, "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
+    name = unused(docs, "key")
     key = F.xxhash64("doc_id", "text")
     judged = decontamination.decontaminate(docs.select(key.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(bad, "__key", "left_anti").select(*docs.columns)
+    bad = judged.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(bad, name, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from retentia.llm.common import crc_mod, id_and_text, map_blocks, read_table, text_array, utf8
+from retentia.llm.common import hashed_share, unused, crc_mod, id_and_text, map_blocks, read_table, text_array, utf8
 
 WINDOW = 64
 HIDDEN = 8
@@ -164,8 +164,9 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS
     if not languages:
         return None
     # the share of each language's rows that gives it an equal part of the sample
-    share = F.create_map(*[F.lit(x) for r in n for x in (r["lang"], min(1_000_000, int(1e6 * rows / len(n) / r["n"]) + 1))])
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for r in n for x in (r["lang"], min(1.0, rows / len(n) / r["n"]))])
+    # rows that repeat id and text are in the sample once, so that it does not grow with them
+    sample = known.where(hashed_share(share[F.col("lang")])).dropDuplicates(["doc_id", "text"])
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, out = [], []
@@ -189,6 +190,7 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS
 def labelled(docs: DataFrame, model: LanguageModel | None, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with lang_pred and score added under ``prefix``; all other columns stay."""
     letters, best, top = (f"{prefix}{x}" for x in ("letters", "lang_pred", "score"))
+    letters = unused(docs, letters)
     marked = docs.withColumn(letters, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm.common import id_and_text, map_blocks, read_table
+from retentia.llm.common import hashed_share, id_and_text, map_blocks, read_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -86,7 +86,7 @@ def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of each transition."""
     rows = docs.count()
     cells = STATES * len(CHARS)
-    sample = id_and_text(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, TRAIN_ROWS / max(rows, 1))))
+    sample = id_and_text(docs).where(hashed_share(min(1.0, TRAIN_ROWS / max(rows, 1))))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = np.zeros(2 * cells, np.int64)

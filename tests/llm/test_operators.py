@@ -225,11 +225,11 @@ def test_secrets(spark, awkward, empty):
     assert masked[13] == "[SECRET] [SECRET]" and masked[3] is None and masked[6] == "one"
 
 
-def brute_components(docs):
+def brute_components(docs, size=3, num=90, den=100):
     sets = {}
     for i, t in docs:
         w = t.encode().lower().split()
-        sets[i] = {tuple(w[k:k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k:k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
     parent = {i: i for i in sets}
 
     def root(x):
@@ -240,7 +240,7 @@ def brute_components(docs):
     keys = sorted(sets)
     for a in keys:
         for b in keys:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: (len(sets[i]), root(i)) for i in sets}
@@ -263,6 +263,10 @@ def test_jaccard_join(spark, awkward, empty):
         want = brute_components(texts(df))
         got = jaccard_join.jaccard_components(df).collect()
         assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got) and len(got) == df.count()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_components(docs, 5, 80, 100)
+    got = jaccard_join.jaccard_components(df, jaccard_join.Rule(5, 80, 100)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
     assert jaccard_join.jaccard_components(awkward).count() == awkward.count()
     assert jaccard_join.jaccard_components(empty).count() == 0
 
@@ -343,7 +347,7 @@ def test_pipeline(spark, awkward):
 
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     kept = corpus_pipeline.near_duplicates(spark, docs, SF001)
-    want = brute_components(texts(docs))
+    want = brute_components(texts(docs), 5, 80, 100)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
     clean = corpus_pipeline.benchmark_decontamination(spark, docs, SF001)
     bad = {r["doc_id"] for r in decontamination.op9_decontamination(spark, SF001).where("contaminated").collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pyarrow as pa
+from pyspark.sql import functions as F
 
 from retentia.llm import decontamination, jaccard_join, language_model, secrets, suffix_dedup
 from conftest import SF001
@@ -67,26 +67,73 @@ def test_dedup_when_later_scans_cut_other_blocks(spark, tmp_path):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
-def test_star_compares_rows_as_they_arrive():
-    """Links of a list's first rows come out before its later rows are read, so a list is never gathered."""
-    rng = np.random.default_rng(6)
-    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
-    read = []
-
-    def batches():
-        for k in range(50):
-            read.append(k)
-            sets = [np.append(base, rng.integers(0, 2**63, 1, dtype=np.uint64)) for _ in range(20)]
-            bits = [jaccard_join.parity_bits(s, len(s)).tobytes() for s in sets]
-            nodes = list(range(20 * k, 20 * k + 20))
-            zeros = [0] * 20
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ([7] * 20, zeros, zeros, zeros, nodes, [121] * 20, bits, nodes)],
-                                             names=["element", "a", "b", "side", "node", "n", "bits", "comp"])
-
-    out = jaccard_join.star_pairs(batches(), 0)
-    pairs = list(zip(*(c.to_pylist() for c in next(out).columns)))
-    assert read == [0] and pairs == [(0, k) for k in range(1, 20)]
-    assert sum(b.num_rows for b in out) == 980
+def test_a_list_returns_fewer_links_than_sets():
+    """Sets of which all link, or only neighbours, or none: what a block returns connects the same and stays linear."""
+    rng, rule = np.random.default_rng(6), jaccard_join.RULE
+    base = np.sort(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    for drift, linked in ((2, True), (60, False)):
+        sets = [np.sort(np.append(base[drift:], rng.integers(0, 2**63, drift, dtype=np.uint64))) for _ in range(120)]
+        pairs = jaccard_join.block_links(list(range(120)), list(range(120)), [0] * 120, [s.tobytes() for s in sets], 0, rule)
+        assert len(pairs) == (119 if linked else 0)
+        assert all(jaccard_join.linked(sets[u], sets[v], rule) for u, v in pairs)
+    sides = [k % 2 for k in range(120)]
+    sets = [np.sort(np.append(base[2:], rng.integers(0, 2**63, 2, dtype=np.uint64))) for _ in range(120)]
+    pairs = jaccard_join.block_links(list(range(120)), list(range(120)), sides, [s.tobytes() for s in sets], 0, rule)
+    assert len(pairs) == 119 and all(sides[u] != sides[v] for u, v in pairs)
+
+
+def test_jaccard_links_through_rows_without_id(spark):
+    """Documents 1 and 3 link only with a text that no row with an id holds; so do texts that share one id."""
+    words = [f"w{k}" for k in range(80)]
+    texts_ = {1: words[:72], None: words[3:75], 3: words[6:78], 9: [f"x{k}" for k in range(80)]}
+    rows_ = [(i, " ".join(t)) for i, t in texts_.items()] + [(9, " ".join(words[7:79])), (None, "alone here and now"), (None, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == sorted(
+        [(1, 1), (None, 1), (3, 1), (9, 9), (9, 1), (None, None), (None, None)], key=repr)
+
+
+def test_near_copies_that_do_not_link(spark, monkeypatch):
+    """A chain of texts of which only neighbours link, and a group of which none do, in blocks of few elements."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ELEMENTS", 900)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    chain = [(k, " ".join(words[2 * k:2 * k + 60])) for k in range(40)]
+    base = [f"b{k}" for k in range(60)]
+    far = [(100 + k, " ".join(base[:40] + rng.choices(words, k=8) + base[40:])) for k in range(60)]
+    df = spark.createDataFrame(chain + far, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == brute_components(texts(df))
+    assert {got[k][1] for k in range(40)} == {0} and len({got[100 + k][1] for k in range(60)}) == 60
+
+
+def test_pipeline_rows_without_id_shared_ids_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(60)]
+    one, near, other = " ".join(words), " ".join(words[2:] + ["x"]), " ".join(f"y{k}" for k in range(40))
+    rows_ = [(7, one), (5, near), (5, other), (None, one), (None, "quite another text of its own"), (None, "quite another text of its own"), (8, None), (8, "")]
+    columns = "__id string, __key string, __lang_pred string, __score int, row int, key int, number int, id int, seen_score int, component_id int, content int"
+    docs = spark.createDataFrame([(*r, "en", "a", "b", "c", *range(8)) for r in rows_], f"doc_id long, text string, lang string, {columns}").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF001)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(5, near), (5, other), (None, "quite another text of its own"), (8, None), (8, "")], key=repr)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF001)
+        assert out.columns == docs.columns and out.where("__id = 'a'").count() == out.count()
+        nothing = stage(spark, docs.limit(0), SF001)
+        assert nothing.columns == docs.columns and nothing.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF001).count() == 0
+
+
+def test_samples_keep_their_size_at_any_count(spark):
+    """The share of a sample is met whether rows are many or pretended to be very many, and repeated rows add nothing."""
+    from retentia.llm.common import hashed_share
+
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"))
+    assert 1700 < docs.where(hashed_share(0.01)).count() < 2300
+    assert docs.where(hashed_share(1.0)).count() == 200_000 and docs.where(hashed_share(0.0)).count() == 0
+    assert docs.where(hashed_share(3e6 / 1e13)).count() <= 2  # a share below one in a million is not rounded up
 
 
 def test_decontamination_numbers_rows_once(spark, tmp_path, monkeypatch):
