@@ -21,9 +21,11 @@ one set, so sets (*nodes*) are joined, not documents.
       by parity bitmaps, which bound the difference from below, and exactly. What links
       is contracted; a second round takes other hubs.
    b. *Scan.* Lists whose sets still lie in several components are compared pair by
-      pair. A task gets two blocks of a list at a time with their elements, verifies
-      exactly, and returns only links between sets that its own links have not
-      connected yet: fewer rows than sets, however many of them link.
+      pair, two blocks at a time, first by their bitmaps: a task returns the closest
+      pairs that would connect components, fewer than it has sets; they are verified
+      and contracted. What may still link by its bitmaps is then compared by its
+      elements, and a task returns only links between sets that its own links have not
+      connected yet: again fewer rows than sets, however many of them link.
 4. The boundary is the one that minimises subsets plus prefix postings over the
    histogram of set sizes.
 
@@ -77,8 +79,8 @@ SAMPLE = 6
 MAX_LIGHT = 29
 #: Counters of the table of element frequencies.
 CELLS = 1 << 20
-#: Elements of one block of a list that is scanned.
-BLOCK_ELEMENTS = 400_000
+#: Sets, and elements, of one block of a list that is scanned.
+BLOCK, BLOCK_ELEMENTS = 2048, 400_000
 STARS = 2
 BITS = (64, 4096)
 
@@ -252,9 +254,9 @@ def prefix_postings(sets: DataFrame, x: int, rule: Rule) -> DataFrame:
 def open_lists(postings: DataFrame, seed: int) -> DataFrame:
     """element, hub, blocks of the lists whose sets lie in several components."""
     lists = postings.groupBy("element").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum("n").alias("elements"),
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum("n").alias("elements"), F.count(F.lit(1)).alias("size"),
         F.min(F.struct(F.xxhash64("node", F.lit(seed)), F.col("node").alias("node"), F.col("n").alias("n"), F.col("comp").alias("comp"))).alias("hub"))
-    return lists.where("c0 != c1").select("element", "hub", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    return lists.where("c0 != c1").select("element", "hub", F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("size") / BLOCK)).cast("int").alias("blocks"))
 
 
 def star_candidates(postings: DataFrame, x: int, seed: int, rule: Rule) -> DataFrame:
@@ -330,24 +332,57 @@ def block_links(nodes: list[int], comps: list[int], sides: list[int], raw: list[
     return out
 
 
-def scan_lists(postings: DataFrame, sets: DataFrame, x: int, rule: Rule) -> DataFrame:
-    """Links between components, from the lists whose sets lie in several, block against block."""
+def bit_neighbours(n: np.ndarray, bits: list[np.ndarray], comp: np.ndarray, side: np.ndarray, x: int, rule: Rule):
+    """(i, others, distances) of the pairs of a list that may link by size and bitmap; ``comp`` may change on the way. Rows go by n."""
+    words = np.array([len(b) for b in bits])
+    maps = {w: np.array([folded(b, w) for b in bits[int(np.searchsorted(words, w)):]]) for w in sorted(set(words.tolist()))}
+    two = side.any()
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, np.searchsorted(n, n[i] * rule.den // rule.num, "right"))
+        j = j[(n[j] > x) & (comp[j] != comp[i])]
+        if two:
+            j = j[side[j] != side[i]]
+        if len(j):
+            table = maps[int(words[i])]
+            skip = len(n) - len(table)
+            apart = np.bitwise_count(table[j - skip] ^ table[i - skip]).sum(1)
+            near = apart <= rule.most_apart(n[j] + n[i])
+            if near.any():
+                yield i, j[near], apart[near]
+
+
+def likely_links(n, bits, comp, side, x: int, rule: Rule) -> list[tuple[int, int]]:
+    """Index pairs that would connect all components that bitmaps let connect, the closest first: fewer than rows."""
+    comp, out = comp.copy(), []
+    for i, j, apart in bit_neighbours(n, bits, comp, side, x, rule):
+        j = j[np.argsort(apart, kind="stable")]
+        _, first = np.unique(comp[j], return_index=True)
+        for k in j[np.sort(first)].tolist():
+            out.append((i, k))
+            comp[comp == comp[k]] = comp[i]
+    return out
+
+
+def blocks_of_lists(postings: DataFrame) -> DataFrame:
+    """element, a, b, side, node, n, comp: the sets of lists in several components, in every pair of blocks they belong to."""
     cut = postings.join(open_lists(postings, 0).select("element", "blocks"), "element")
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("element", "node", "comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
-                     (F.col("own") > F.col("other")).cast("int").alias("side"))
-    whole = cut.join(sets.select("node", "elements"), "node").select("element", "a", "b", "side", "node", "comp", "elements")
-    ordered = whole.repartition("element", "a", "b").sortWithinPartitions("element", "a", "b")
+    return cut.select("element", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+                      (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "comp")
+
 
-    def scan(batches):
+def in_groups(df: DataFrame, schema: str, f) -> DataFrame:
+    """``f`` of the rows (without the key) of each (element, a, b), one group in memory at a time; it returns columns or None."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    ordered = df.repartition("element", "a", "b").sortWithinPartitions("element", "a", "b", "n")
+
+    def run(batches):
         key, group = None, []
 
         def done():
-            side, node, comp, raw = zip(*group)
-            pairs = block_links(node, comp, side, raw, x, rule) if len(group) > 1 else []
-            return [pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())],
-                                               names=["u", "v"])] if pairs else []
+            out = f(key, group) if len(group) > 1 else None
+            return [pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)] if out and len(out[0]) else []
 
         for b in batches:
             for e, p, q, *row in zip(*(c.to_pylist() for c in b.columns)):
@@ -359,7 +394,50 @@ def scan_lists(postings: DataFrame, sets: DataFrame, x: int, rule: Rule) -> Data
         if group:
             yield from done()
 
-    return ordered.mapInArrow(scan, "u long, v long")
+    return ordered.mapInArrow(run, schema)
+
+
+def with_bits(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    return rows.join(sets.select("node", "bits"), "node").select("element", "a", "b", "side", "node", "n", "comp", "bits")
+
+
+def _columns(group):
+    side, node, n, comp, raw = zip(*group)
+    return node, np.array(n), [np.frombuffer(r, np.uint64) for r in raw], np.array(comp), np.array(side)
+
+
+def scan_candidates(postings: DataFrame, sets: DataFrame, x: int, rule: Rule) -> DataFrame:
+    """Distinct (u, v): the closest pairs, by bitmaps, that would connect the components of each list."""
+
+    def scan(_, group):
+        node, *rest = _columns(group)
+        pairs = [(node[i], node[k]) for i, k in likely_links(*rest, x, rule)]
+        return [[min(p) for p in pairs], [max(p) for p in pairs]]
+
+    return in_groups(with_bits(blocks_of_lists(postings), sets), "u long, v long", scan).distinct()
+
+
+def scan_links(postings: DataFrame, sets: DataFrame, x: int, rule: Rule) -> DataFrame:
+    """Links between components, from the sets of open lists that may still link by their bitmaps."""
+
+    def members(key, group):
+        node, n, bits, comp, side = _columns(group)
+        some = np.zeros(len(n), bool)
+        for i, j, _ in bit_neighbours(n, bits, comp, side, x, rule):
+            some[i] = some[j] = True
+        at = np.flatnonzero(some).tolist()
+        return [[key[0]] * len(at), [key[1]] * len(at), [key[2]] * len(at), [int(side[k]) for k in at], [node[k] for k in at],
+                [int(n[k]) for k in at], [int(comp[k]) for k in at]]
+
+    left = in_groups(with_bits(blocks_of_lists(postings), sets), "element long, a int, b int, side int, node long, n long, comp long", members)
+    whole = left.join(sets.select("node", "elements"), "node").select("element", "a", "b", "side", "node", "n", "comp", "elements")
+
+    def verify(_, group):
+        side, node, _, comp, raw = zip(*group)
+        pairs = block_links(node, comp, side, raw, x, rule)
+        return [[min(p) for p in pairs], [max(p) for p in pairs]]
+
+    return in_groups(whole, "u long, v long", verify)
 
 
 def links(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -376,7 +454,8 @@ def links(sets: DataFrame, rule: Rule) -> DataFrame:
     for seed in range(STARS):
         candidates = star_candidates(with_components(), x, seed, rule)
         found = materialize(found.unionAll(verified(close_enough(candidates, sets, rule), sets, rule)), "links")
-    return materialize(found.unionAll(scan_lists(with_components(), sets, x, rule)), "links")
+    found = materialize(found.unionAll(verified(scan_candidates(with_components(), sets, x, rule), sets, rule)), "links")
+    return materialize(found.unionAll(scan_links(with_components(), sets, x, rule)), "links")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
