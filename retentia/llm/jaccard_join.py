@@ -429,7 +429,7 @@ def scan_links(postings: DataFrame, sets: DataFrame, x: int, rule: Rule) -> Data
         return [[key[0]] * len(at), [key[1]] * len(at), [key[2]] * len(at), [int(side[k]) for k in at], [node[k] for k in at],
                 [int(n[k]) for k in at], [int(comp[k]) for k in at]]
 
-    left = in_groups(with_bits(blocks_of_lists(postings), sets), "element long, a int, b int, side int, node long, n long, comp long", members)
+    left = in_groups(with_bits(blocks_of_lists(postings), sets), "element long, a long, b long, side long, node long, n long, comp long", members)
     whole = left.join(sets.select("node", "elements"), "node").select("element", "a", "b", "side", "node", "n", "comp", "elements")
 
     def verify(_, group):

@@ -82,6 +82,19 @@ def test_a_list_returns_fewer_links_than_sets():
     assert len(pairs) == 119 and all(sides[u] != sides[v] for u, v in pairs)
 
 
+def test_open_lists_are_scanned_by_bits_then_by_elements(spark):
+    """One list of 30 sets in two families, none contracted yet: both scans connect each family and nothing else."""
+    rng, rule = np.random.default_rng(7), jaccard_join.RULE
+    families = [rng.integers(0, 2**63, 100, dtype=np.uint64) for _ in range(2)]
+    sets = [np.sort(np.append(families[k % 2][1:], rng.integers(0, 2**63, 1, dtype=np.uint64))) for k in range(30)]
+    table = spark.createDataFrame([(k, len(s), bytearray(s.tobytes()), bytearray(jaccard_join.parity_bits(s, len(s)).tobytes())) for k, s in enumerate(sets)],
+                                  "node long, n long, elements binary, bits binary")
+    postings = spark.createDataFrame([(5, k, len(s), k) for k, s in enumerate(sets)], "element long, node long, n long, comp long")
+    for scan in (jaccard_join.scan_candidates, jaccard_join.scan_links):
+        pairs = [tuple(r) for r in scan(postings, table, 0, rule).collect()]
+        assert len(pairs) == 28 and all(u < v and u % 2 == v % 2 for u, v in pairs)
+
+
 def test_jaccard_links_through_rows_without_id(spark):
     """Documents 1 and 3 link only with a text that no row with an id holds; so do texts that share one id."""
     words = [f"w{k}" for k in range(80)]
