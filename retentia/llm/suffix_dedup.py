@@ -26,14 +26,16 @@ hash among its ``ANCHOR``-byte strings; equal windows have equal anchors. A
 
 Defined results: null and empty texts have 0 bytes, no spans, and the hash of the
 empty string; a text below LENGTH bytes is kept whole; overlaps inside a text
-count; rows that repeat a doc_id with the same text get the same result (with
-different texts, a span found in one is removed from all); a null doc_id counts
-as one smaller than all others; an empty table gives no rows.
+count; a null doc_id counts as one smaller than all others; rows that share a doc_id,
+or have none, are documents of their own, in the order in which the rows were
+numbered (once, before anything else), so the first of them keeps what all hold;
+spans belong to that number, never to a doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,7 @@ BLOCK = 1 << 20
 SHARD = 128 << 10
 #: Bytes that a task merges at once (whole anchors only).
 MERGED = 1 << 20
+#: Low bits that hold a place; ``pieces_of`` keeps every place below.
 POSITION = np.uint64((1 << 28) - 1)
 #: Quarters of a window's possible anchor places, and the core that all windows of a quarter share.
 LOW = np.array([0, 22, 43, 64])
@@ -100,41 +103,48 @@ class Segments:
             self.cores[on, q] = (span(at[on] - LOW[q], at[on] - HIGH[q] + LENGTH) >> np.uint64(48)).astype(np.uint16)
 
 
+def pieces_of(buf: np.ndarray, offs: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, Segments]]:
+    """Segments of a block of texts; those of one text beyond the limit come piece by piece, each after the place its starts count from."""
+    limit = limit or BLOCK
+    if len(offs) > 2 or len(buf) <= limit:
+        yield 0, Segments(buf, offs)
+        return
+    for a in range(0, len(buf) - LENGTH + 1, limit):
+        piece = buf[a:a + limit + LENGTH - 1]
+        yield a, Segments(piece, np.array([0, len(piece)]))
+
+
 def present(offset: np.ndarray, windows: np.ndarray, q: int) -> np.ndarray:
     """Whether a segment has windows of quarter q."""
     return (offset >= LOW[q]) & (offset - windows + 1 <= HIGH[q])
 
 
-def earliest(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def earliest(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the earliest occurrence of each segment, and of those that come after it."""
     key = ta.pair_hash(anchor, digest)
-    order = np.lexsort((start, doc, key))
+    order = np.lexsort((start, row, doc, key))
     k = key[order]
-    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.empty(0, bool)
-    head = order[new][np.cumsum(new) - 1]
-    later = (doc[order] != doc[head]) | (start[order] != start[head])
-    return order[new], order[later]
+    new = np.append(True, k[1:] != k[:-1])[:len(k)]
+    return order[new], order[~new]
 
 
 def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column(0).fill_null(FIRST_ID)).astype(np.int64)
 
 
-FIELDS = (("anchor", np.uint64), ("digest", np.uint64), ("doc", np.int64), ("start", np.uint32), ("windows", np.uint8), ("offset", np.uint8), ("cores", np.uint16))
+FIELDS = (("anchor", np.uint64), ("digest", np.uint64), ("doc", np.int64), ("row", np.int64), ("start", np.uint32), ("windows", np.uint8), ("offset", np.uint8), ("cores", np.uint16))
 
 
-def anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket and binary columns: each block's distinct segments, by anchor, and a share of the spans (doc, start, end) that repeat one of them."""
+def anchor_rows(texts: DataFrame, buckets: int) -> DataFrame:
+    """bucket and binary columns: each block's distinct segments, by anchor, and a share of the spans (row, start, end) that repeat one of them."""
 
-    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s, ids = Segments(*utf8(batch.column(1))), ids_of(batch)
-        if not len(s.row):
-            return None
-        doc = ids[s.row]
-        kept, later = earliest(s.anchor, s.digest, doc, s.start)
-        repeats = joined_repeats(s, doc, np.sort(later))
+    def dealt(s: Segments, at: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        values = {"anchor": s.anchor, "digest": s.digest, "doc": ids[s.row], "row": rows[s.row], "start": s.start + at, "windows": s.windows,
+                  "offset": s.offset, "cores": s.cores}
+        kept, later = earliest(s.anchor, s.digest, values["doc"], values["row"], s.start)
+        repeats = joined_repeats(s, np.sort(later))
+        repeats = np.stack([rows[repeats[:, 0]], repeats[:, 1] + at, repeats[:, 2] + at], 1)
         kept = kept[np.argsort(s.anchor[kept], kind="stable")]
-        values = {"anchor": s.anchor, "digest": s.digest, "doc": doc, "start": s.start, "windows": s.windows, "offset": s.offset, "cores": s.cores}
         bucket = bucket_of(s.anchor[kept], buckets)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts))
@@ -143,18 +153,24 @@ def anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
              pa.array([r.tobytes() for r in np.array_split(repeats, len(used))], pa.binary())],
             names=["bucket", *(f for f, _ in FIELDS), "repeats"])
 
-    return map_blocks(docs, "bucket int, " + ", ".join(f"{f} binary" for f, _ in FIELDS) + ", repeats binary", block, BLOCK)
+    def block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, rows = ids_of(batch), np.asarray(batch.column(2)).astype(np.int64)
+        for at, s in pieces_of(*utf8(batch.column(1))):
+            if len(s.row):
+                yield dealt(s, at, ids, rows)
+
+    return map_blocks(texts, "bucket int, " + ", ".join(f"{f} binary" for f, _ in FIELDS) + ", repeats binary", block, BLOCK)
 
 
-def joined_repeats(s: Segments, doc: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """(doc, start, end) of the runs that the segments ``later`` (in text order) cover."""
+def joined_repeats(s: Segments, later: np.ndarray) -> np.ndarray:
+    """(row in the block, start, end) of the runs that the segments ``later`` (in text order) cover."""
     row, start, end = s.row[later], s.start[later], s.start[later] + s.windows[later] + LENGTH - 1
     new = np.append(True, (row[1:] != row[:-1]) | (start[1:] > end[:-1]))[:len(later)]
     last = np.append(new[1:], True)[:len(later)]
-    return np.stack([doc[later][new], start[new], end[last]], 1)
+    return np.stack([row[new], start[new], end[last]], 1)
 
 
-FOUND = "anchor long, doc_id long, start long, windows long, skip long, wanted long, digest long"
+FOUND = "anchor long, doc long, row long, start long, windows long, skip long, wanted long"
 
 
 def candidates(rows: DataFrame, buckets: int) -> DataFrame:
@@ -163,14 +179,14 @@ def candidates(rows: DataFrame, buckets: int) -> DataFrame:
     def meet(bucket_rows):
         v = {f: np.concatenate([np.frombuffer(r[f], t) for r in bucket_rows]) for f, t in FIELDS}
         cores = v["cores"].reshape(-1, 4)
-        doc, start = v["doc"], v["start"].astype(np.int64)
+        doc, row, start = v["doc"], v["row"], v["start"].astype(np.int64)
         windows, offset = v["windows"].astype(np.int64), v["offset"].astype(np.int64)
-        kept, later = earliest(v["anchor"], v["digest"], doc, start)
+        kept, later = earliest(v["anchor"], v["digest"], doc, row, start)
         repeats = np.concatenate([np.frombuffer(r["repeats"], np.int64) for r in bucket_rows]).reshape(-1, 3)
-        whole = [np.concatenate(x) for x in ((doc[later], repeats[:, 0]), (start[later], repeats[:, 1]), (windows[later], repeats[:, 2] - repeats[:, 1] - LENGTH + 1))]
+        whole = [np.concatenate(x) for x in ((row[later], repeats[:, 0]), (start[later], repeats[:, 1]), (windows[later], repeats[:, 2] - repeats[:, 1] - LENGTH + 1))]
         none = pa.array([None] * len(whole[0]), pa.int64())
         if len(none):
-            yield pa.RecordBatch.from_arrays([none, *(pa.array(x) for x in whole), none, none, none], names=[f.split()[0] for f in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x) for x in whole), none, none], names=[f.split()[0] for f in FOUND.split(", ")])
         possible = np.zeros((len(kept), 4), bool)
         for q in range(4):
             on = np.flatnonzero(present(offset[kept], windows[kept], q))
@@ -183,8 +199,8 @@ def candidates(rows: DataFrame, buckets: int) -> DataFrame:
             high = np.minimum(HIGH[3 - possible[:, ::-1].argmax(1)], offset[kept])
             low = np.maximum(LOW[possible.argmax(1)], offset[kept] - windows[kept] + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v["anchor"][kept].view(np.int64)), pa.array(doc[kept]), pa.array(start[kept]), pa.array(windows[kept]),
-                 pa.array(offset[kept] - high), pa.array(high - low + 1), pa.array(v["digest"][kept].view(np.int64))],
+                [pa.array(v["anchor"][kept].view(np.int64)), pa.array(doc[kept]), pa.array(row[kept]), pa.array(start[kept]),
+                 pa.array(windows[kept]), pa.array(offset[kept] - high), pa.array(high - low + 1)],
                 names=[f.split()[0] for f in FOUND.split(", ")])
 
     def run(batches):
@@ -276,16 +292,15 @@ def merge_shards(strings: list[bytes], shard: int = SHARD) -> tuple[np.ndarray,
 
 
 def repeated_windows(segments: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, start, end of the windows of (anchor, doc_id, start, bytes) that an earlier segment holds too."""
+    """row, start, end of the windows of (anchor, doc, row, start, bytes) that an earlier segment holds too."""
 
     def merged(group):
-        doc, start = np.array([g[1] for g in group]), np.array([g[2] for g in group])
-        string, at, interval = merge_shards([g[3] for g in group])
-        where, begin = doc[string], start[string] + at
-        order = np.lexsort((begin, where, interval))
+        doc, row, start = (np.array([g[k] for g in group]) for k in (1, 2, 3))
+        string, at, interval = merge_shards([g[4] for g in group])
+        where, begin = row[string], start[string] + at
+        order = np.lexsort((begin, where, doc[string], interval))
         new = np.append(True, interval[order][1:] != interval[order][:-1])
-        head = order[new][np.cumsum(new) - 1]
-        later = order[(where[order] != where[head]) | (begin[order] != begin[head])]
+        later = order[~new]  # a window belongs to one segment, so each place comes once
         if not len(later):
             return None
         w, b = where[later], begin[later]
@@ -293,69 +308,59 @@ def repeated_windows(segments: DataFrame, buckets: int) -> DataFrame:
         w, b = w[o], b[o]
         starts = np.append(True, (w[1:] != w[:-1]) | (b[1:] > b[:-1] + 1))
         last = np.append(np.flatnonzero(starts)[1:] - 1, len(b) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(w[starts]), pa.array(b[starts]), pa.array(b[last] + LENGTH)], names=["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(w[starts]), pa.array(b[starts]), pa.array(b[last] + LENGTH)], names=["row", "start", "end"])
 
     def run(batches):
         group, size, anchor = [], 0, None
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if row[0] != anchor and size >= MERGED:
                     if (out := merged(group)) is not None:
                         yield out
                     group, size = [], 0
                 anchor = row[0]
                 group.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if group and (out := merged(group)) is not None:
             yield out
 
     ordered = segments.repartition(buckets, "anchor").sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, "doc_id long, start long, end long")
+    return ordered.mapInArrow(run, "row long, start long, end long")
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (doc_id, null as the smallest), z (compressed bytes)."""
+def compressed(texts: DataFrame) -> DataFrame:
+    """doc_id, row, z (compressed bytes)."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, offs = utf8(batch.column(1))
         z = zstandard.ZstdCompressor(level=1)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(ids_of(batch)), pa.array([z.compress(buf[a:b].tobytes()) for a, b in zip(offs, offs[1:])], pa.binary())],
-            names=["doc_id", "key", "z"])
+            [batch.column(0), batch.column(2), pa.array([z.compress(buf[a:b].tobytes()) for a, b in zip(offs, offs[1:])], pa.binary())],
+            names=["doc_id", "row", "z"])
 
-    return map_blocks(docs, "doc_id long, key long, z binary", block, BLOCK)
+    return map_blocks(texts, "doc_id long, row long, z binary", block, BLOCK)
 
 
-def wanted_segments(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """anchor, doc_id, start, bytes of the candidates."""
-    wanted = found.where("anchor IS NOT NULL").groupBy("doc_id").agg(
-        F.collect_list(F.struct("anchor", "start", "windows", "skip", "wanted", "digest")).alias("wanted"))  # within one text
-
-    def shrink(batch: pa.RecordBatch) -> pa.RecordBatch:
-        z = zstandard.ZstdCompressor(level=1)
-        buf, offs = utf8(batch.column(1))
-        return pa.RecordBatch.from_arrays([pa.array(ids_of(batch)), pa.array([z.compress(buf[a:b].tobytes()) for a, b in zip(offs, offs[1:])], pa.binary())],
-                                          names=["doc_id", "z"])
+def wanted_segments(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """anchor, doc, row, start, bytes of the candidates."""
+    wanted = found.where("anchor IS NOT NULL").groupBy("row").agg(
+        F.collect_list(F.struct("anchor", "doc", "start", "skip", "wanted")).alias("wanted"))  # within one text
 
     def extract(batches):
         z = zstandard.ZstdDecompressor()
         for b in batches:
             offs, w = struct_lists(b, "wanted")
-            end = w["start"] + w["windows"] + LENGTH - 1
-            for i, doc_id in enumerate(b.column(0).to_pylist()):
+            at = w["start"] + w["skip"]
+            to = at + w["wanted"] + LENGTH - 1
+            for i, row in enumerate(b.column(0).to_pylist()):
                 text = z.decompress(b.column(1)[i].as_py())
-                buf = np.frombuffer(text, np.uint8)
-                k = np.arange(offs[i], offs[i + 1])
-                k = k[end[k] <= len(buf)]  # another text with the same id may be shorter
-                k = k[ta.span_hashes(buf, w["start"][k], end[k]).view(np.int64) == w["digest"][k]]
-                at = w["start"][k] + w["skip"][k]
-                to = at + w["wanted"][k] + LENGTH - 1
+                k = slice(offs[i], offs[i + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w["anchor"][k]), pa.array(np.full(len(k), doc_id), pa.int64()), pa.array(at),
-                     pa.array([text[x:y] for x, y in zip(at.tolist(), to.tolist())], pa.binary())], names=["anchor", "doc_id", "start", "bytes"])
+                    [pa.array(w["anchor"][k]), pa.array(w["doc"][k]), pa.array(np.full(offs[i + 1] - offs[i], row), pa.int64()), pa.array(at[k]),
+                     pa.array([text[x:y] for x, y in zip(at[k].tolist(), to[k].tolist())], pa.binary())], names=["anchor", "doc", "row", "start", "bytes"])
 
-    texts = map_blocks(docs.where(F.octet_length("text") >= LENGTH), "doc_id long, z binary", shrink)
-    return texts.join(wanted, "doc_id").mapInArrow(extract, "anchor long, doc_id long, start long, bytes binary")
+    long = compressed(texts.where(F.octet_length("text") >= LENGTH)).drop("doc_id")
+    return long.join(wanted, "row").mapInArrow(extract, "anchor long, doc long, row long, start long, bytes binary")
 
 
 def struct_lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -376,18 +381,18 @@ def joined_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], 1)
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id (key), start, end of repeated strings."""
-    buckets = shuffle_partitions(docs.sparkSession)
-    found = materialize(candidates(anchor_rows(docs, buckets), buckets), "segments")
-    whole = found.where("anchor IS NULL").select("doc_id", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("end"))
-    return whole.unionAll(repeated_windows(wanted_segments(docs, found), buckets))
+def removed_spans(texts: DataFrame) -> DataFrame:
+    """row, start, end of repeated strings of (doc_id, text, row)."""
+    buckets = shuffle_partitions(texts.sparkSession)
+    found = materialize(candidates(anchor_rows(texts, buckets), buckets), "segments")
+    whole = found.where("anchor IS NULL").select("row", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("end"))
+    return whole.unionAll(repeated_windows(wanted_segments(texts, found), buckets))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every text."""
-    texts = id_and_text(docs)
-    spans = removed_spans(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # within one text
+    texts = materialize(id_and_text(docs).withColumn("row", F.monotonically_increasing_id()), "texts")
+    spans = removed_spans(texts).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # within one text
 
     def finish(batches):
         z = zstandard.ZstdDecompressor()
@@ -397,8 +402,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             found = np.stack([found["start"], found["end"]], 1)
             for i, doc_id in enumerate(b.column(0).to_pylist()):
                 text = z.decompress(b.column(1)[i].as_py())
-                gone = joined_spans(np.minimum(found[offs[i]:offs[i + 1]], len(text)))
-                gone = gone[gone[:, 1] > gone[:, 0]]
+                gone = joined_spans(found[offs[i]:offs[i + 1]])
                 kept = b"".join(text[a:e] for a, e in zip([0, *gone[:, 1].tolist()], [*gone[:, 0].tolist(), len(text)]))
                 rows.append((doc_id, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             for k in range(0, len(rows), 256):
@@ -406,7 +410,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
                                                  names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    both = compressed(texts).join(spans.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "z", "spans")
+    both = compressed(texts).join(spans, "row", "left").select("doc_id", "z", "spans")
     return both.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

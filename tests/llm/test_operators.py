@@ -100,6 +100,32 @@ def test_suffix_dedup(spark, awkward, empty):
     check_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
 
 
+def test_suffix_dedup_tells_rows_apart_that_share_an_id(spark):
+    rng = random.Random(8)
+    a, b, c = ("".join(rng.choices("abcdefgh ", k=400)) for _ in range(3))
+    docs = [(None, a + a), (None, b + b[:10]), (7, c), (7, c[:150] + a[:50] + c), (7, b), (8, c)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    # in the order of the rows: a text's second half, nothing, nothing, all but 50 bytes of a cut copy, all, all
+    want = [(None, 800, 400), (None, 410, 0), (7, 400, 0), (7, 600, 550), (7, 400, 400), (8, 400, 400)]
+    got = suffix_dedup.deduplicate(df)
+    assert sorted(map(repr, map(tuple, got.select("doc_id", "n_bytes", "n_removed").collect()))) == sorted(map(repr, want))
+
+
+def test_suffix_dedup_of_texts_beyond_a_block(spark, monkeypatch):
+    rng = random.Random(9)
+    base = "".join(rng.choices("abcd ", k=9000))
+    docs = [(1, base), (2, base[:4000] + "x" + base[3000:]), (3, "y" + base), (4, base[2000:2120] * 30)]
+    whole = suffix_dedup.pieces_of
+    monkeypatch.setattr(suffix_dedup, "pieces_of", lambda buf, offs: whole(buf, offs, 1000))
+    buf = np.frombuffer(base.encode(), np.uint8)
+    pieces = list(suffix_dedup.pieces_of(buf, np.array([0, len(buf)])))
+    assert len(pieces) == 9 and sum(int(s.windows.sum()) for _, s in pieces) == len(base) - 99
+    for d in docs:  # each text in a block of its own
+        out = [at for at, _ in suffix_dedup.pieces_of(np.frombuffer(d[1].encode(), np.uint8), np.array([0, len(d[1])]))]
+        assert out == list(range(0, len(d[1]) - 99, 1000))
+    check_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+
+
 def test_merge_of_transforms_sorts_windows():
     rng = random.Random(3)
     base = bytes(rng.choices(b"ab", k=400))
