@@ -67,14 +67,17 @@ class Rule(NamedTuple):
     def can_miss_sql(self, n: str):
         return F.expr(f"{n} - ((({self.num} * {n}) + {self.den - 1}) div {self.den})")
 
+    @property
+    def sample(self):
+        """One element in this many is in the pruning sample: enough of a set that more can be unmatched there than a partner may lack."""
+        return max(1, 3 * self.den // (5 * (self.den - self.num))) if self.num < self.den else 1
+
     def most_apart(self, both):
         """Largest symmetric difference of a linked pair with ``both`` elements in its two sets together."""
         return both - 2 * -(-self.num * both // (self.num + self.den))
 
 
 RULE = Rule()
-#: One element in SAMPLE is in the pruning sample of every set.
-SAMPLE = 6
 #: Largest set that may count as light, by the number of subsets.
 MAX_LIGHT = 29
 #: Counters of the table of element frequencies.
@@ -118,7 +121,7 @@ def profile(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*utf8(text_array(batch)), rule.shingle)
-        sample = [s[s % np.uint64(SAMPLE) == 0].view(np.int64) for s in sets]
+        sample = [s[s % np.uint64(rule.sample) == 0].view(np.int64) for s in sets]
         offsets = np.append(0, np.cumsum([len(x) for x in sample])).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [id_array(batch), batch.column(batch.schema.get_field_index("content")), pa.array([len(s) for s in sets], pa.int64()),
@@ -132,12 +135,12 @@ def profile(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def survivors(profiles: DataFrame, rule: Rule) -> DataFrame:
     """node, n and the rep (doc_id, content) of each set that may have a partner."""
-    nodes = profiles.where("n > 0").groupBy("node").agg(
-        F.min(F.struct("doc_id", "content")).alias("rep"), F.max("n").alias("n"), F.first("sample").alias("sample"))  # copies agree
-    alone = (nodes.select("node", F.explode("sample").alias("element")).groupBy("element")
-             .agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1")
+    # an element is unmatched if all texts that hold it have one set; copies add nothing
+    alone = (profiles.select("node", F.explode("sample").alias("element")).groupBy("element")
+             .agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
              .groupBy("node").agg(F.count(F.lit(1)).alias("unmatched")))
-    return (nodes.select("node", "rep", "n").join(alone, "node", "left")
+    nodes = profiles.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("rep"), F.max("n").alias("n"))
+    return (nodes.join(alone, "node", "left")
             .where(F.coalesce("unmatched", F.lit(0)) <= rule.can_miss_sql("n")).select("node", "rep", "n"))
 
 

@@ -381,3 +381,9 @@ def test_pipeline(spark, awkward):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, awkward, SF001).columns == awkward.columns
     assert corpus_pipeline.run(spark, SF001).count() > 0
+
+
+def test_pruning_sample_can_show_more_than_a_partner_may_lack():
+    for rule in (jaccard_join.RULE, jaccard_join.Rule(5, 80, 100), jaccard_join.Rule(2, 1, 2), jaccard_join.Rule(3, 99, 100)):
+        n = 30_000
+        assert n // rule.sample > 1.5 * rule.can_miss(n)
