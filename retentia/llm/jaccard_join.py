@@ -21,7 +21,9 @@ one set, so sets (*nodes*) are joined, not documents.
       by parity bitmaps, which bound the difference from below, and exactly. What links
       is contracted; a second round takes other hubs.
    b. *Scan.* Lists whose sets still lie in several components are compared pair by
-      pair, two blocks at a time, first by their bitmaps: a task returns the closest
+      pair, two blocks at a time, first by place and bitmaps. A pair counts in the list of
+      its first common element only: all its common elements come from there on, so if
+      less than a link needs is left of either set, the pair is none or another list's. A task returns the closest
       pairs that would connect components, fewer than it has sets; they are verified
       and contracted. What may still link by its bitmaps is then compared by its
       elements, and a task returns only links between sets that its own links have not
@@ -72,9 +74,16 @@ class Rule(NamedTuple):
         """One element in this many is in the pruning sample: enough of a set that more can be unmatched there than a partner may lack."""
         return max(1, 3 * self.den // (5 * (self.den - self.num))) if self.num < self.den else 1
 
+    def common(self, both):
+        """Least number of common elements of a linked pair with ``both`` elements in its two sets together."""
+        return -(-self.num * both // (self.num + self.den))
+
+    def common_sql(self, both: str):
+        return F.expr(f"({self.num} * ({both}) + {self.num + self.den - 1}) div {self.num + self.den}")
+
     def most_apart(self, both):
         """Largest symmetric difference of a linked pair with ``both`` elements in its two sets together."""
-        return both - 2 * -(-self.num * both // (self.num + self.den))
+        return both - 2 * self.common(both)
 
 
 RULE = Rule()
@@ -234,7 +243,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def prefix_postings(sets: DataFrame, x: int, rule: Rule) -> DataFrame:
-    """element, node, n: the necessary prefix of every set that can meet a heavy one."""
+    """element, node, n, rest: the necessary prefix of every set that can meet a heavy one; rest counts its elements from this one on."""
     table = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # CELLS counters, whatever the table's size
 
     def post(batches):
@@ -248,10 +257,21 @@ def prefix_postings(sets: DataFrame, x: int, rule: Rule) -> DataFrame:
             if nodes:
                 counts = [len(e) for e in elements]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(elements)), pa.array(np.repeat(np.array(nodes, np.int64), counts)),
-                                                  pa.array(np.repeat(np.array(sizes, np.int64), counts))], names=["element", "node", "n"])
+                                                  pa.array(np.repeat(np.array(sizes, np.int64), counts)),
+                                                  pa.array(np.concatenate([n - np.arange(c) for n, c in zip(sizes, counts)]))], names=["element", "node", "n", "rest"])
 
     heavy = sets.where(F.col("n") * rule.den >= F.lit(rule.num) * x).select("node", "n", "elements")
-    return heavy.mapInArrow(post, "element long, node long, n long")
+    return heavy.mapInArrow(post, "element long, node long, n long, rest long")
+
+
+def useful(postings: DataFrame, rule: Rule) -> DataFrame:
+    """The postings that can be the first common element of a linked pair.
+
+    There the smaller set has enough elements left for a partner of its own size, and the
+    larger one for a partner of the smallest such size in the list.
+    """
+    least = postings.where(F.col("rest") >= rule.common_sql("2 * n")).groupBy("element").agg(F.min("n").alias("least"))
+    return postings.join(least, "element").where(F.col("rest") >= rule.common_sql("n + least")).drop("least")
 
 
 def open_lists(postings: DataFrame, seed: int) -> DataFrame:
@@ -309,22 +329,24 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(check, "u long, v long")
 
 
-def block_links(nodes: list[int], comps: list[int], sides: list[int], raw: list[bytes], x: int, rule: Rule) -> list[tuple[int, int]]:
+def block_links(nodes: list[int], comps: list[int], sides: list[int], raw: list[bytes], x: int, rule: Rule, rests: list[int] | None = None) -> list[tuple[int, int]]:
     """Links among the sets of two blocks (or within one) that connect components, each component pair once.
 
-    ``sides``: pairs within side 0, or between the sides where both occur.
+    ``sides``: pairs within side 0, or between the sides where both occur. ``rests``: elements of each set from the list's on.
     """
     sets = [np.frombuffer(r, np.uint64) for r in raw]
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     n = np.array([len(sets[k]) for k in order])
     comp, side = np.array([comps[k] for k in order]), np.array([sides[k] for k in order])
     bits = np.array([parity_bits(sets[k], BITS[1]) for k in order])
+    rest = n if rests is None else np.array([rests[k] for k in order])
     two, out = side.any(), []
     for i in range(len(n) - 1):
         j = np.arange(i + 1, np.searchsorted(n, n[i] * rule.den // rule.num, "right"))
         j = j[(n[j] > x) & (comp[j] != comp[i])]
         if two:
             j = j[side[j] != side[i]]
+        j = j[np.minimum(rest[j], rest[i]) >= rule.common(n[j] + n[i])]
         if not len(j):
             continue
         apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
@@ -335,8 +357,9 @@ def block_links(nodes: list[int], comps: list[int], sides: list[int], raw: list[
     return out
 
 
-def bit_neighbours(n: np.ndarray, bits: list[np.ndarray], comp: np.ndarray, side: np.ndarray, x: int, rule: Rule):
-    """(i, others, distances) of the pairs of a list that may link by size and bitmap; ``comp`` may change on the way. Rows go by n."""
+def bit_neighbours(n: np.ndarray, bits: list[np.ndarray], comp: np.ndarray, side: np.ndarray, x: int, rule: Rule, rest: np.ndarray | None = None):
+    """(i, others, distances) of the pairs of a list that may link by size, place and bitmap; ``comp`` may change on the way. Rows go by n."""
+    rest = n if rest is None else rest
     words = np.array([len(b) for b in bits])
     maps = {w: np.array([folded(b, w) for b in bits[int(np.searchsorted(words, w)):]]) for w in sorted(set(words.tolist()))}
     two = side.any()
@@ -345,6 +368,7 @@ def bit_neighbours(n: np.ndarray, bits: list[np.ndarray], comp: np.ndarray, side
         j = j[(n[j] > x) & (comp[j] != comp[i])]
         if two:
             j = j[side[j] != side[i]]
+        j = j[np.minimum(rest[j], rest[i]) >= rule.common(n[j] + n[i])]
         if len(j):
             table = maps[int(words[i])]
             skip = len(n) - len(table)
@@ -354,10 +378,10 @@ def bit_neighbours(n: np.ndarray, bits: list[np.ndarray], comp: np.ndarray, side
                 yield i, j[near], apart[near]
 
 
-def likely_links(n, bits, comp, side, x: int, rule: Rule) -> list[tuple[int, int]]:
+def likely_links(n, bits, comp, side, x: int, rule: Rule, rest: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Index pairs that would connect all components that bitmaps let connect, the closest first: fewer than rows."""
     comp, out = comp.copy(), []
-    for i, j, apart in bit_neighbours(n, bits, comp, side, x, rule):
+    for i, j, apart in bit_neighbours(n, bits, comp, side, x, rule, rest):
         j = j[np.argsort(apart, kind="stable")]
         _, first = np.unique(comp[j], return_index=True)
         for k in j[np.sort(first)].tolist():
@@ -367,12 +391,13 @@ def likely_links(n, bits, comp, side, x: int, rule: Rule) -> list[tuple[int, int
 
 
 def blocks_of_lists(postings: DataFrame) -> DataFrame:
-    """element, a, b, side, node, n, comp: the sets of lists in several components, in every pair of blocks they belong to."""
+    """element, a, b, side, node, n, comp, rest: the sets of lists in several components, in every pair of blocks they belong to."""
+    postings = postings if "rest" in postings.columns else postings.withColumn("rest", F.col("n"))  # lists of whole sets
     cut = postings.join(open_lists(postings, 0).select("element", "blocks"), "element")
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return cut.select("element", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
-                      (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "comp")
+                      (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "comp", "rest")
 
 
 def in_groups(df: DataFrame, schema: str, f) -> DataFrame:
@@ -401,20 +426,20 @@ def in_groups(df: DataFrame, schema: str, f) -> DataFrame:
 
 
 def with_bits(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    return rows.join(sets.select("node", "bits"), "node").select("element", "a", "b", "side", "node", "n", "comp", "bits")
+    return rows.join(sets.select("node", "bits"), "node").select("element", "a", "b", "side", "node", "n", "comp", "rest", "bits")
 
 
 def _columns(group):
-    side, node, n, comp, raw = zip(*group)
-    return node, np.array(n), [np.frombuffer(r, np.uint64) for r in raw], np.array(comp), np.array(side)
+    side, node, n, comp, rest, raw = zip(*group)
+    return node, np.array(rest), np.array(n), [np.frombuffer(r, np.uint64) for r in raw], np.array(comp), np.array(side)
 
 
 def scan_candidates(postings: DataFrame, sets: DataFrame, x: int, rule: Rule) -> DataFrame:
     """Distinct (u, v): the closest pairs, by bitmaps, that would connect the components of each list."""
 
     def scan(_, group):
-        node, *rest = _columns(group)
-        pairs = [(node[i], node[k]) for i, k in likely_links(*rest, x, rule)]
+        node, rest, *columns = _columns(group)
+        pairs = [(node[i], node[k]) for i, k in likely_links(*columns, x, rule, rest)]
         return [[min(p) for p in pairs], [max(p) for p in pairs]]
 
     return in_groups(with_bits(blocks_of_lists(postings), sets), "u long, v long", scan).distinct()
@@ -424,20 +449,20 @@ def scan_links(postings: DataFrame, sets: DataFrame, x: int, rule: Rule) -> Data
     """Links between components, from the sets of open lists that may still link by their bitmaps."""
 
     def members(key, group):
-        node, n, bits, comp, side = _columns(group)
+        node, rest, n, bits, comp, side = _columns(group)
         some = np.zeros(len(n), bool)
-        for i, j, _ in bit_neighbours(n, bits, comp, side, x, rule):
+        for i, j, _ in bit_neighbours(n, bits, comp, side, x, rule, rest):
             some[i] = some[j] = True
         at = np.flatnonzero(some).tolist()
         return [[key[0]] * len(at), [key[1]] * len(at), [key[2]] * len(at), [int(side[k]) for k in at], [node[k] for k in at],
-                [int(n[k]) for k in at], [int(comp[k]) for k in at]]
+                [int(n[k]) for k in at], [int(comp[k]) for k in at], [int(rest[k]) for k in at]]
 
-    left = in_groups(with_bits(blocks_of_lists(postings), sets), "element long, a long, b long, side long, node long, n long, comp long", members)
-    whole = left.join(sets.select("node", "elements"), "node").select("element", "a", "b", "side", "node", "n", "comp", "elements")
+    left = in_groups(with_bits(blocks_of_lists(postings), sets), "element long, a long, b long, side long, node long, n long, comp long, rest long", members)
+    whole = left.join(sets.select("node", "elements"), "node").select("element", "a", "b", "side", "node", "n", "comp", "rest", "elements")
 
     def verify(_, group):
-        side, node, _, comp, raw = zip(*group)
-        pairs = block_links(node, comp, side, raw, x, rule)
+        side, node, _, comp, rest, raw = zip(*group)
+        pairs = block_links(node, comp, side, raw, x, rule, rest)
         return [[min(p) for p in pairs], [max(p) for p in pairs]]
 
     return in_groups(whole, "u long, v long", verify)
@@ -447,12 +472,12 @@ def links(sets: DataFrame, rule: Rule) -> DataFrame:
     """Enough verified edges (u, v) between nodes to connect all that links connect."""
     sizes = {r["n"]: r["c"] for r in sets.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     x = boundary(sizes, rule)
-    postings = materialize(prefix_postings(sets, x, rule), "postings")
+    postings = materialize(useful(materialize(prefix_postings(sets, x, rule), "prefixes"), rule), "postings")
     found = materialize(light_edges(sets, x, rule), "links")
 
     def with_components() -> DataFrame:
         comps = connected_components(found)
-        return postings.join(comps, "node", "left").select("element", "node", "n", F.coalesce("component", "node").alias("comp"))
+        return postings.join(comps, "node", "left").select("element", "node", "n", "rest", F.coalesce("component", "node").alias("comp"))
 
     for seed in range(STARS):
         candidates = star_candidates(with_components(), x, seed, rule)
