@@ -94,6 +94,8 @@ CELLS = 1 << 20
 #: Sets, and elements, of one block of a list that is scanned.
 BLOCK, BLOCK_ELEMENTS = 2048, 400_000
 STARS = 2
+#: A list names its open pairs if they are at most this many times its sets, else its open sets.
+PAIRS = 2
 BITS = (64, 4096)
 
 
@@ -410,7 +412,7 @@ def in_groups(df: DataFrame, schema: str, f) -> DataFrame:
 
         def done():
             out = f(key, group) if len(group) > 1 else None
-            return [pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)] if out and len(out[0]) else []
+            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)] if out and len(out[0]) else []
 
         for b in batches:
             for e, p, q, *row in zip(*(c.to_pylist() for c in b.columns)):
@@ -450,22 +452,29 @@ def scan_links(postings: DataFrame, sets: DataFrame, x: int, rule: Rule) -> Data
 
     def members(key, group):
         node, rest, n, bits, comp, side = _columns(group)
-        some = np.zeros(len(n), bool)
+        some, pairs = np.zeros(len(n), bool), []
         for i, j, _ in bit_neighbours(n, bits, comp, side, x, rule, rest):
             some[i] = some[j] = True
+            if len(pairs) <= PAIRS * len(n):
+                pairs += [(node[i], node[k]) for k in j.tolist()]
+        if len(pairs) <= PAIRS * len(n):
+            none = [0] * len(pairs)
+            return [none, none, none, none, [min(p) for p in pairs], none, none, none, [max(p) for p in pairs]]
         at = np.flatnonzero(some).tolist()
         return [[key[0]] * len(at), [key[1]] * len(at), [key[2]] * len(at), [int(side[k]) for k in at], [node[k] for k in at],
-                [int(n[k]) for k in at], [int(comp[k]) for k in at], [int(rest[k]) for k in at]]
+                [int(n[k]) for k in at], [int(comp[k]) for k in at], [int(rest[k]) for k in at], pa.nulls(len(at), pa.int64())]
 
-    left = in_groups(with_bits(blocks_of_lists(postings), sets), "element long, a long, b long, side long, node long, n long, comp long, rest long", members)
-    whole = left.join(sets.select("node", "elements"), "node").select("element", "a", "b", "side", "node", "n", "comp", "rest", "elements")
+    left = materialize(in_groups(with_bits(blocks_of_lists(postings), sets),
+                                 "element long, a long, b long, side long, node long, n long, comp long, rest long, other long", members), "open")
+    few = left.where("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()  # many lists name one pair
+    whole = left.where("other IS NULL").join(sets.select("node", "elements"), "node").select("element", "a", "b", "side", "node", "n", "comp", "rest", "elements")
 
     def verify(_, group):
         side, node, _, comp, rest, raw = zip(*group)
         pairs = block_links(node, comp, side, raw, x, rule, rest)
         return [[min(p) for p in pairs], [max(p) for p in pairs]]
 
-    return in_groups(whole, "u long, v long", verify)
+    return verified(few, sets, rule).unionAll(in_groups(whole, "u long, v long", verify))
 
 
 def links(sets: DataFrame, rule: Rule) -> DataFrame:
