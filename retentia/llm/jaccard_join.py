@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import textarrays as ta
-from retentia.llm.common import id_and_text, id_array, map_blocks, materialize, read_table, text_array, utf8
+from retentia.llm.common import freed_shuffles, id_and_text, id_array, map_blocks, materialize, read_table, text_array, utf8
 from retentia.llm.components import connected_components
 
 
@@ -91,6 +91,8 @@ RULE = Rule()
 MAX_LIGHT = 29
 #: Counters of the table of element frequencies.
 CELLS = 1 << 20
+#: Bits of the filter that keeps texts without a chosen set out of the shuffle: 2 MB, whatever the table's size.
+FILTER = 1 << 24
 #: Sets, and elements, of one block of a list that is scanned.
 BLOCK, BLOCK_ELEMENTS = 2048, 400_000
 STARS = 2
@@ -155,9 +157,18 @@ def survivors(profiles: DataFrame, rule: Rule) -> DataFrame:
             .where(F.coalesce("unmatched", F.lit(0)) <= rule.can_miss_sql("n")).select("node", "rep", "n"))
 
 
+def probably(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts whose ``content`` shares a filter bit with a chosen one: all that are chosen, and few others while those are few."""
+    bit = F.pmod(F.col("content"), F.lit(FILTER))
+    words = (chosen.select((F.pmod(F.col("rep.content"), F.lit(FILTER))).alias("bit"))
+             .groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("ones")))
+    marked = texts.withColumn("bit", bit).join(F.broadcast(words), F.expr("bit div 64") == F.col("word"))  # at most FILTER / 64 rows
+    return marked.where("(shiftright(ones, cast(bit % 64 as int)) & 1) = 1").select(*texts.columns)
+
+
 def sets_of(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
     """node, n, elements (sorted, as bytes) and bits (parity bitmap) of the chosen nodes."""
-    texts = id_and_text(docs).withColumn("content", F.xxhash64("text")).alias("t")
+    texts = probably(id_and_text(docs).withColumn("content", F.xxhash64("text")), chosen).alias("t")
     reps = chosen.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.content").alias("rep_content"))
     mine = texts.join(reps, F.col("t.doc_id").eqNullSafe(F.col("rep_id")) & (F.col("t.content") == F.col("rep_content"))).select("node", "text")
 
@@ -497,9 +508,11 @@ def links(sets: DataFrame, rule: Rule) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
-    profiles = materialize(profile(docs, rule), "profiles")
-    sets = materialize(sets_of(docs, survivors(profiles, rule), rule), "sets")
-    comps = connected_components(links(sets, rule))
+    with freed_shuffles(docs.sparkSession):
+        profiles = materialize(profile(docs, rule), "profiles")
+        chosen = materialize(survivors(profiles, rule), "survivors")
+        sets = materialize(sets_of(docs, chosen, rule), "sets")
+        comps = connected_components(links(sets, rule))
     nodes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id")).join(comps, "node", "left")
     nodes = nodes.select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
