@@ -195,3 +195,16 @@ def test_impossible_dates_defaults_to_now(spark):
 def rv_impossible(o):
     from retentia.operators.quality import impossible_dates
     return impossible_dates(o, lower="2017-01-01").first().rows
+
+
+def test_handoff_sums_beyond_long(spark):
+    """30 orders of one person, each handed over 9998 years later: more microseconds than a long holds."""
+    orders = [order(f"a{k}", "u1", purchase="0001-01-01", carrier="9999-01-01") for k in range(30)]
+    orders += [order("b", "u2", purchase="2018-01-01", carrier="2018-01-03")]
+    o, c, *_ = roles(spark, orders)
+    days = 3651694.0
+    got = {r.group_type: (r.total_orders, r.avg_handoff_days, r.pct_within_3_days) for r in rc.handoff_one_time_vs_repeat(o, c).collect()}
+    assert got == {"3% Repeaters": (30, days, 0.0), "97% One-Timers": (1, 2.0, 100.0)}
+    segments = spark.createDataFrame([("u1", "s"), ("u2", "s")], "customer_unique_id string, segment string")
+    row = rc.handoff_by_segment(o, c, None, segments=segments).first()
+    assert (row.total_orders, row.avg_handoff_days, row.worst_case_handoff) == (31, round((30 * days + 2) / 31, 2), days)
