@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import textarrays as ta
-from retentia.llm.common import freed_shuffles, id_and_text, id_array, map_blocks, materialize, read_table, text_array, utf8
+from retentia.llm.common import freed_shuffles, id_and_text, id_array, map_blocks, materialize, read_table, released, text_array, utf8
 from retentia.llm.components import connected_components
 
 
@@ -215,7 +215,7 @@ def light_edges(sets: DataFrame, x: int, rule: Rule) -> DataFrame:
                         nodes.append(node), sizes.append(n), lengths.append(n - k)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, nodes, sizes, lengths)], names=["key", "node", "n", "c"])
 
-    rows = sets.where(F.col("n") <= x).select("node", "n", "elements").mapInArrow(enumerate_subsets, "key long, node long, n long, c long")
+    rows = sets.where(F.col("n") <= x).select("node", "n", "elements").mapInArrow(released(enumerate_subsets), "key long, node long, n long, c long")
     # one of the smallest members is the hub of the group
     hub = rows.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     return (rows.join(hub, "key").where(F.col("node") != F.col("hub.node"))
@@ -248,7 +248,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         if len(cells):
             yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
 
-    found = sets.select("elements").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = sets.select("elements").mapInArrow(released(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(CELLS, np.int64)
     table = found.toArrow()  # at most CELLS rows
     out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
@@ -274,7 +274,7 @@ def prefix_postings(sets: DataFrame, x: int, rule: Rule) -> DataFrame:
                                                   pa.array(np.concatenate([n - np.arange(c) for n, c in zip(sizes, counts)]))], names=["element", "node", "n", "rest"])
 
     heavy = sets.where(F.col("n") * rule.den >= F.lit(rule.num) * x).select("node", "n", "elements")
-    return heavy.mapInArrow(post, "element long, node long, n long, rest long")
+    return heavy.mapInArrow(released(post), "element long, node long, n long, rest long")
 
 
 def useful(postings: DataFrame, rule: Rule) -> DataFrame:
@@ -318,7 +318,7 @@ def close_enough(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(int(np.bitwise_count(folded(p, w) ^ folded(q, w)).sum()) <= rule.most_apart(n + m))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "u long, v long")
+    return both.mapInArrow(released(check), "u long, v long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
@@ -339,7 +339,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                     for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "u long, v long")
+    return both.mapInArrow(released(check), "u long, v long")
 
 
 def block_links(nodes: list[int], comps: list[int], sides: list[int], raw: list[bytes], x: int, rule: Rule, rests: list[int] | None = None) -> list[tuple[int, int]]:
@@ -435,7 +435,7 @@ def in_groups(df: DataFrame, schema: str, f) -> DataFrame:
         if group:
             yield from done()
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(released(run), schema)
 
 
 def with_bits(rows: DataFrame, sets: DataFrame) -> DataFrame:
