@@ -105,21 +105,27 @@ def release() -> None:
     pa.system_memory_pool().release_unused()
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, a function for mapInArrow, without what its task would leave: reused workers wait idle beside stages that need the memory."""
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+             clear: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function for mapInArrow, without what its task would leave: reused workers wait idle beside stages that need the memory.
+
+    ``clear`` drops the task's caches.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
+            if clear is not None:
+                clear()
             release()
 
     return task
 
 
 def map_blocks(docs: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],
-               limit: int = BLOCK_BYTES) -> DataFrame:
-    """Apply ``f`` to blocks of the rows of ``docs`` (which has a ``text`` column)."""
+               limit: int = BLOCK_BYTES, clear: Callable[[], None] | None = None) -> DataFrame:
+    """Apply ``f`` to blocks of the rows of ``docs`` (which has a ``text`` column); ``clear`` drops its caches when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +137,7 @@ def map_blocks(docs: DataFrame, schema: str | StructType, f: Callable[[pa.Record
                     continue
                 yield from [out] if isinstance(out, pa.RecordBatch) else out
 
-    return docs.mapInArrow(released(run), schema)
+    return docs.mapInArrow(released(run, clear), schema)
 
 
 def id_array(batch: pa.RecordBatch) -> pa.Array:

@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                                           names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_blocks(id_and_text(docs), PIECES, block)
+    return map_blocks(id_and_text(docs), PIECES, block, clear=lambda: encoder.cache_clear())
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

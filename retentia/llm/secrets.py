@@ -164,22 +164,25 @@ def redact(docs: DataFrame, ratio: np.ndarray, mask: str = "[SECRET]") -> DataFr
 
     A column named ``n_chars`` is the text's length and follows it.
     """
-    @F.pandas_udf("string")
-    def masked(texts):
-        def one(text):
-            if not text:
-                return text
-            base = base_spans(text)
-            out, at = [], 0
-            for start, _, end in sorted(base + random_spans(text, ratio, base)):
-                if end <= at:
-                    continue
-                out += [text[at:max(at, start)], mask] if start >= at else []
-                at = end
-            return "".join([*out, text[at:]])
-        return texts.map(one)
-
-    out = docs.withColumn("text", masked(F.col("text")))
+    def one(text):
+        if not text:
+            return text
+        base = base_spans(text)
+        out, at = [], 0
+        for start, _, end in sorted(base + random_spans(text, ratio, base)):
+            if end <= at:
+                continue
+            out += [text[at:max(at, start)], mask] if start >= at else []
+            at = end
+        return "".join([*out, text[at:]])
+
+    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        k = batch.schema.get_field_index("text")
+        masked = pa.array([one(text) for text in batch.column(k).to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([masked if i == k else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    out = map_blocks(typed, typed.schema, block)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.char_length("text").cast(kind))
